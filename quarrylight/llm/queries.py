@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import neighbours, split
+from quarrylight.llm import leakage, neighbours, split
 from quarrylight.storage import materialize, table
 
 #: Rows up to which a table of settings or evaluation tasks is read to the driver.
@@ -55,7 +55,17 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return pair.distinct()
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found}
+def leaks(spark: SparkSession, folder: str) -> DataFrame:
+    tasks = small_table(table(spark, folder, "impact_tasks").select("task_id", "change_description"))
+    return leakage.find_leaks(table(spark, folder, "documents"), leakage.Passages.build([tuple(r) for r in tasks]))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a passage of an evaluation task, with the task."""
+    return leaks(spark, folder).select("doc_id", "task_id").distinct()
+
+
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p8_found": p8_found}
 
 ORACLES = {
     "p3_found": """select distinct m.model_name, s.repository_id, s.content_hash from source_files s
