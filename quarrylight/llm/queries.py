@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import leakage, neighbours, split
+from quarrylight.llm import leakage, neighbours, personal, split
 from quarrylight.storage import materialize, table
 
 #: Rows up to which a table of settings or evaluation tasks is read to the driver.
@@ -65,7 +65,30 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks(spark, folder).select("doc_id", "task_id").distinct()
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p8_found": p8_found}
+def name_model(spark: SparkSession, folder: str) -> personal.NameModel:
+    """Fitted to author and committer names against the words of commit messages, a bounded sample of each."""
+    commits = table(spark, folder, "ria_commit")
+    full = commits.select(F.explode(F.array("author_name", "committer_name")).alias("w")).dropna().distinct()
+    words = commits.select(F.explode(F.regexp_extract_all("message", F.lit(r"\p{L}{3,}"), 0)).alias("w")).distinct()
+
+    def sample(df: DataFrame, most: int) -> list[str]:
+        return [r[0] for r in df.orderBy(F.xxhash64("w"), "w").limit(most).collect()]
+
+    return personal.NameModel(sample(full, personal.MOST_NAMES), sample(words, personal.MOST_WORDS))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal information in each document, once per distinct value."""
+    found = personal.find_personal(table(spark, folder, "documents"), name_model(spark, folder))
+    return found.select("doc_id", "pii_type", "pii_value").distinct()
+
+
+def p9_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text with its personal information replaced by typed, keyed surrogates."""
+    return personal.redact(table(spark, folder, "documents"), name_model(spark, folder), b"set your own key")
+
+
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p8_found": p8_found, "p9_found": p9_found, "p9_redacted": p9_redacted}
 
 ORACLES = {
     "p3_found": """select distinct m.model_name, s.repository_id, s.content_hash from source_files s
