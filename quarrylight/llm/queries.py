@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import leakage, neighbours, personal, split
-from quarrylight.storage import materialize, table
+from quarrylight.llm import leakage, neighbours, personal, split, syntax
+from quarrylight.storage import broadcast_if_small, materialize, table
 
 #: Rows up to which a table of settings or evaluation tasks is read to the driver.
 SETTINGS = 100_000
@@ -25,6 +25,45 @@ def split_rules(spark: SparkSession, folder: str) -> list[split.SplitRule]:
     return [split.SplitRule(*r) for r in sorted(small_table(models))]
 
 
+def counting_units(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """The file units that count: of each key the latest delivery."""
+    key = ["repository_id", "commit_sha", "path"]
+    units = table(spark, folder, "ria_file_unit").select(*key, *columns, "delivered_at")
+    best = F.max(F.struct("delivered_at", *columns)).alias("best")
+    return units.groupBy(*key).agg(best).select(*key, *[f"best.{c}" for c in columns])
+
+
+def invalid_units(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(units, bad): file units of checked languages with a fetched body, and those whose body is not valid.
+
+    Each distinct body is parsed once for each language it is used under; the
+    bodies are moved once, by their unique key, so that copies make no hot key.
+    """
+    files = table(spark, folder, "source_files").where("content is not null")
+    units = counting_units(spark, folder, "language", "content_hash").where(F.col("language").isin(*syntax.PARSERS))
+    units = materialize(units, "units")
+    firsts = files.groupBy("content_hash").agg(F.min("repository_id").alias("repository_id"))
+    wanted = units.select("content_hash", "language").distinct().join(firsts, "content_hash")
+    bodies = files.select("repository_id", "content_hash", "content").join(wanted, ["repository_id", "content_hash"])
+    bad = materialize(syntax.invalid_bodies(bodies).distinct(), "invalid")
+    units = units.join(files.select("repository_id", "content_hash"), ["repository_id", "content_hash"], "left_semi")
+    return units, units.join(broadcast_if_small(bad, bad.count()), ["language", "content_hash"], "left_semi")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """File units whose body is not valid in the language they name."""
+    return invalid_units(spark, folder)[1].select("repository_id", "commit_sha", "path")
+
+
+def p2_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """For each repository and language: file units, those that do not parse, and their share."""
+    units, bad = invalid_units(spark, folder)
+    by = ["repository_id", "language"]
+    counts = units.groupBy(*by).agg(F.count(F.lit(1)).alias("units"))
+    wrong = bad.groupBy(*by).agg(F.count(F.lit(1)).alias("invalid"))
+    return counts.join(wrong, by, "left").select(*by, "units", F.coalesce("invalid", F.lit(0)).alias("invalid"), (F.coalesce("invalid", F.lit(0)) / F.col("units")).alias("rate"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Bodies that come out in pieces, for each model."""
     pieces = split.split_items(table(spark, folder, "source_files"), split_rules(spark, folder))
@@ -88,7 +127,7 @@ def p9_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return personal.redact(table(spark, folder, "documents"), name_model(spark, folder), b"set your own key")
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p8_found": p8_found, "p9_found": p9_found, "p9_redacted": p9_redacted}
+QUERIES = {"p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p8_found": p8_found, "p9_found": p9_found, "p9_redacted": p9_redacted}
 
 ORACLES = {
     "p3_found": """select distinct m.model_name, s.repository_id, s.content_hash from source_files s
