@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import leakage, neighbours, personal, split, syntax
+from quarrylight.llm import leakage, neighbours, personal, provenance, split, syntax
 from quarrylight.storage import broadcast_if_small, materialize, table
 
 #: Rows up to which a table of settings or evaluation tasks is read to the driver.
@@ -94,6 +94,17 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return pair.distinct()
 
 
+def p5_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """File units that were not written by hand in their repository, and why."""
+    units = materialize(counting_units(spark, folder, "language", "content_hash"), "units")
+    return provenance.not_by_hand(units, table(spark, folder, "source_files"), materialize, broadcast_if_small)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """File units that were not written by hand in their repository."""
+    return p5_kinds(spark, folder).select("repository_id", "commit_sha", "path")
+
+
 def leaks(spark: SparkSession, folder: str) -> DataFrame:
     tasks = small_table(table(spark, folder, "impact_tasks").select("task_id", "change_description"))
     return leakage.find_leaks(table(spark, folder, "documents"), leakage.Passages.build([tuple(r) for r in tasks]))
@@ -127,7 +138,7 @@ def p9_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return personal.redact(table(spark, folder, "documents"), name_model(spark, folder), b"set your own key")
 
 
-QUERIES = {"p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p8_found": p8_found, "p9_found": p9_found, "p9_redacted": p9_redacted}
+QUERIES = {"p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_kinds": p5_kinds, "p8_found": p8_found, "p9_found": p9_found, "p9_redacted": p9_redacted}
 
 ORACLES = {
     "p3_found": """select distinct m.model_name, s.repository_id, s.content_hash from source_files s
