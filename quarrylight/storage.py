@@ -8,8 +8,11 @@ as in tests on one machine.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,3 +94,21 @@ def null_safe_hash(*columns: str) -> "F.Column":
     for c in columns:
         parts += [F.col(c).isNull(), F.col(c)]
     return F.xxhash64(*parts)
+
+
+_shipped: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors once, so that their Python workers can import it."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="quarrylight-code-")
+    target = os.path.join(folder, "quarrylight_code.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    context.addPyFile(target)
+    _shipped.add(context.applicationId)
