@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import leakage, neighbours, personal, provenance, split, syntax
+from quarrylight.llm import leakage, neighbours, packing, personal, provenance, split, syntax
 from quarrylight.storage import broadcast_if_small, materialize, table
 
 #: Rows up to which a table of settings or evaluation tasks is read to the driver.
@@ -105,6 +105,21 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return p5_kinds(spark, folder).select("repository_id", "commit_sha", "path")
 
 
+def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of each text or piece of a text, for each model's window."""
+    models = small_table(table(spark, folder, "embedding_model").select("model_name", "window_tokens"))
+    documents = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    return packing.pack(documents, dict(sorted(tuple(r) for r in models)), documents.count())
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """For each model: containers, tokens in them and the share of room used."""
+    capacity = table(spark, folder, "embedding_model").select("model_name", "window_tokens")
+    packed = p7_packed(spark, folder).groupBy("model_name", "container").agg(F.sum("tokens").alias("tokens"))
+    total = packed.groupBy("model_name").agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"))
+    return total.join(capacity, "model_name").withColumn("used", F.col("tokens") / (F.col("containers") * F.col("window_tokens")))
+
+
 def leaks(spark: SparkSession, folder: str) -> DataFrame:
     tasks = small_table(table(spark, folder, "impact_tasks").select("task_id", "change_description"))
     return leakage.find_leaks(table(spark, folder, "documents"), leakage.Passages.build([tuple(r) for r in tasks]))
@@ -138,7 +153,7 @@ def p9_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return personal.redact(table(spark, folder, "documents"), name_model(spark, folder), b"set your own key")
 
 
-QUERIES = {"p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_kinds": p5_kinds, "p8_found": p8_found, "p9_found": p9_found, "p9_redacted": p9_redacted}
+QUERIES = {"p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_kinds": p5_kinds, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p9_found": p9_found, "p9_redacted": p9_redacted}
 
 ORACLES = {
     "p3_found": """select distinct m.model_name, s.repository_id, s.content_hash from source_files s
