@@ -133,9 +133,10 @@ class Index:
         return np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n)
 
 
-def fill(index: Index, owner: np.ndarray, size: np.ndarray, capacity: int) -> np.ndarray:
+def fill(index: Index, owner: np.ndarray, size: np.ndarray, capacity: int) -> list[int]:
     """The container number of each piece; ``owner`` is the text a piece is of, ``size`` its tokens."""
-    container = np.full(len(size), -1, np.int64)
+    sizes = size.tolist()
+    container = [-1] * len(sizes)
     free: dict[int, list[int]] = {}
     for p in np.argsort(-size, kind="stable")[::-1]:
         free.setdefault(int(size[p]), []).append(int(p))
@@ -149,7 +150,7 @@ def fill(index: Index, owner: np.ndarray, size: np.ndarray, capacity: int) -> np
 
     def take(p: int) -> int:
         nonlocal lengths
-        l = int(size[p])  # noqa: E741
+        l = sizes[p]  # noqa: E741
         container[p] = number
         left = free[l]
         if left[-1] == p:
@@ -161,6 +162,8 @@ def fill(index: Index, owner: np.ndarray, size: np.ndarray, capacity: int) -> np
         return l
 
     smallest = int(size.min()) if len(size) else 0
+    least = np.full(index.n, capacity + 1)  # the smallest piece of each text
+    np.minimum.at(least, owner, size)
     rest = np.bincount(owner, minlength=index.n) if len(size) else np.zeros(index.n)
     while lengths:
         seed = free[lengths.bit_length() - 1][-1]
@@ -168,12 +171,12 @@ def fill(index: Index, owner: np.ndarray, size: np.ndarray, capacity: int) -> np
         rest[owner[seed]] -= 1
         if room >= smallest and lengths & ((1 << (room + 1)) - 1):
             score = index.scores(int(owner[seed]))
-            score[rest == 0] = 0
-            for t in np.argsort(-score, kind="stable"):
-                if score[t] <= 0 or room < smallest:
+            near = np.flatnonzero((score > 0) & (rest > 0) & (least <= room))
+            for t in near[np.argsort(-score[near], kind="stable")].tolist():
+                if room < smallest:
                     break
-                for p in by_text[int(t)]:
-                    if container[p] < 0 and size[p] <= room:
+                for p in by_text[t]:
+                    if sizes[p] <= room and container[p] < 0:
                         room -= take(p)
                         rest[t] -= 1
             while room > 0:
@@ -217,7 +220,7 @@ def pack(documents: DataFrame, capacities: dict[str, int], rows: int, ranks: str
         out = []
         for model, capacity in capacities.items():
             pieces = [(i, k, *p) for i, t in enumerate(texts) for k, p in enumerate(coder.pieces(t, encoded[i], capacity))]
-            owner, size = np.array([p[0] for p in pieces]), np.array([p[4] for p in pieces])
+            owner, size = np.array([p[0] for p in pieces], np.int64), np.array([p[4] for p in pieces], np.int64)
             for c, (i, k, a, b, n) in zip(fill(index, owner, size, capacity), pieces, strict=True):
                 out.append((model, f"{key[0]}-{key[1]}-{c}", ids[i], k, a, b, n))
         return pd.DataFrame(out, columns=names)
