@@ -1,6 +1,7 @@
 """The registry of core queries and their SQL counterparts."""
 
-from quarrylight.plans import pipeline
+from quarrylight.plans import graphs, pipeline
 
-QUERIES = {**pipeline.QUERIES}
-ORACLES = {**pipeline.ORACLES}
+_MODULES = (pipeline, graphs)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
