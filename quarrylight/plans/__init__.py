@@ -1,7 +1,7 @@
 """The registry of core queries and their SQL counterparts."""
 
-from quarrylight.plans import graphs, pipeline
+from quarrylight.plans import analytics, graphs, pipeline
 
-_MODULES = (pipeline, graphs)
+_MODULES = (pipeline, graphs, analytics)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
