@@ -343,10 +343,10 @@ def u11_fuzzy_merge(s: SparkSession, d: str) -> DataFrame:
 def _findings(s: SparkSession, d: str) -> DataFrame:
     o = table(s, d, "orders")
     severity = F.element_at(F.array(*[F.lit(x) for x in ("critical", "high", "medium", "low", "info")]), F.substring("o_orderpriority", 1, 1).cast("int"))
-    return o.select(F.col("o_orderkey").alias("id"), "o_custkey", severity.alias("severity"), F.col("o_orderstatus").alias("category"), F.round(F.expr("(o_orderkey % 100) / 1000.0"), 3).alias("confidence"))
+    return o.select(F.col("o_orderkey").alias("id"), "o_custkey", severity.alias("severity"), F.col("o_orderstatus").alias("category"), F.round(F.expr("(o_orderkey % 100) / 1000.0"), 3).cast("double").alias("confidence"))
 
 
-_F = "f as (select o_orderkey as id, o_custkey, ['critical','high','medium','low','info'][substr(o_orderpriority, 1, 1)::int] as severity, o_orderstatus as category, round((o_orderkey % 100) / 1000.0, 3) as confidence from orders)"
+_F = "f as (select o_orderkey as id, o_custkey, ['critical','high','medium','low','info'][substr(o_orderpriority, 1, 1)::int] as severity, o_orderstatus as category, round((o_orderkey % 100) / 1000.0, 3)::double as confidence from orders)"
 
 
 @query("a15_deductions", f"with {_F} select o_custkey, count(*) as findings, greatest(0, round(100 - sum(case severity when 'critical' then 15 when 'high' then 8 when 'medium' then 4 when 'low' then 2 else 0.5 end * confidence), 1))::double as score from f group by 1")
@@ -427,7 +427,7 @@ def w07_priorities(s: SparkSession, d: str) -> DataFrame:
     """Priority score and label of recommendations."""
     p = _findings(s, d).groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("category").alias("e"), F.max("confidence").alias("c"))
     score, label = scoring.priority(F.lit(20), F.lit(10), F.col("n"), F.col("e"), F.col("c"))
-    return p.select("k", score.alias("score"), label.alias("label"))
+    return p.select("k", score.cast("double").alias("score"), label.alias("label"))
 
 
 # ---------------------------------------------------------------- search and retrieval
