@@ -188,7 +188,7 @@ _SLOTS = {  # slot: (JavaScript, TypeScript)
     "CLASSMOD": ("", "'abstract'?"),
     "TARG": ("", "TArgs?"),
     "IMPL": ("", "Impl?"),
-    "PREFIX": ("", "| TArgs"),
+    "PREFIX": ("", "| TArgs | '<' 'const' '>'"),
     "SUFFIX": ("", "| '!' | ('as' | 'satisfies') (Type | 'const') | TArgs"),
     "PMOD": ("", "('public' | 'private' | 'protected' | 'readonly' | 'override')*"),
     "THIS": ("", "| 'this'"),

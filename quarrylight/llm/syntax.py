@@ -224,8 +224,8 @@ class Json(Parser):
             return self.char("STR")
         if t in ("true", "false", "null"):
             return self.char("true")
-        if t[0].isdigit() or (t[0] == "-" and len(t) > 1):
-            return self.char("NUM") if t[-1].isdigit() else self.char("?")
+        if re.fullmatch(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?", t, re.A):
+            return self.char("NUM")
         return t if t in "()[]{}" else self.char(t) if t in self.grammar.bits else self.char("?")
 
     def sequence(self, name: str, s: str) -> bool:
@@ -254,6 +254,8 @@ class Ecma(Parser):
         can_end += [self.word(w) for w in ("this", "super", "null", "true", "false", "return", "break", "continue", "debugger", "void", "x")]
         self.words_as_id = sorted(w for w in self.words if w not in self.reserved and w.islower())
         can_end += [self.word(w) for w in self.words_as_id]
+        if self.language == "typescript":
+            can_end.append(self.char("!"))
         goes_on = [self.char(t) for t in ", . ?. : ; = + - * / % ** << < > <= >= == != === !== && || ?? & | ^ => ? += -= *= /= %= &&= ||= ??= ".split()] + [*"([{)]}"]
         goes_on += [self.word(w) for w in ("instanceof", "in", "catch", "finally", "extends", "implements", "as", "satisfies", "of")] + [self.char("TEMPLATE")]
         esc = lambda cs: "[" + "".join(re.escape(c) for c in dict.fromkeys(cs)) + "]"
