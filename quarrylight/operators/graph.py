@@ -12,13 +12,34 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrylight.storage import materialize, release
+from quarrylight.storage import materialize, release, rows_of
 
 FOREVER = 1_000_000
+#: A graph of at most so many edges may be walked inside one task, and only if
+#: edges times starts stay within the work; the bound is checked before, and
+#: larger graphs take the frontier loops.
+LOCAL_EDGES, LOCAL_WORK = 200_000, 20_000_000
+
+
+def _fits_tasks(edges: DataFrame, starts: DataFrame | None = None) -> bool:
+    """Whether every graph is small enough for a task of its own; one small aggregate."""
+    n = edges.groupBy("g").agg(F.count(F.lit(1)).alias("e"))
+    if starts is None:
+        return (n.agg(F.max("e")).first()[0] or 0) <= LOCAL_EDGES
+    m = n.join(starts.groupBy("g").agg(F.count(F.lit(1)).alias("s")), "g").agg(F.max("e"), F.max(F.col("e") * F.col("s"))).first()
+    return (m[0] or 0) <= LOCAL_EDGES and (m[1] or 0) <= LOCAL_WORK
+
+
+def _adjacency(edges: pd.DataFrame) -> dict:
+    out: dict = {}
+    for a, b in sorted(set(zip(edges["src"], edges["dst"], strict=True))):
+        out.setdefault(a, []).append(b)
+    return out
 
 
 def simple(edges: DataFrame) -> DataFrame:
@@ -60,7 +81,32 @@ def statistics(edges: DataFrame) -> DataFrame:
     return n.join(m, "g").withColumn("density", F.when(F.col("nodes") > 1, F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1))).otherwise(F.lit(0.0)))
 
 
-def reach(edges: DataFrame, starts: DataFrame, max_depth: int = FOREVER, paths: bool = False) -> DataFrame:
+def _reach_in_tasks(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
+    """Breadth first search of each small graph in one task."""
+    kind = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
+    start_kind = dict(starts.dtypes)["start"]
+
+    def walk(key, e, s):
+        nexts, rows = _adjacency(e), []
+        for start in sorted(set(s["start"])):
+            depth = {start: 0}
+            level = [start]
+            while level and depth[level[0]] < max_depth:
+                below = []
+                for a in level:
+                    for b in nexts.get(a, ()):
+                        if b not in depth:
+                            depth[b] = depth[a] + 1
+                            below.append(b)
+                level = below
+            rows += [(key[0], start, n, d) for n, d in depth.items()]
+        return pd.DataFrame(rows, columns=["g", "start", "node", "depth"])
+
+    schema = f"g {kind['g']}, start {start_kind}, node {kind['src']}, depth int"
+    return starts.select("g", "start").dropna().groupBy("g").cogroup(edges.groupBy("g")).applyInPandas(lambda key, s, e: walk(key, e, s), schema)
+
+
+def reach(edges: DataFrame, starts: DataFrame, max_depth: int = FOREVER, paths: bool = False, local: bool = True) -> DataFrame:
     """What can be reached from each start.
 
     starts: (g, start). Result: (g, start, node, depth[, path]), the start itself
@@ -68,6 +114,8 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int = FOREVER, paths:
     ``paths``, under the smallest of the shortest paths by code points.
     """
     edges = edges.select("g", "src", "dst")
+    if local and not paths and _fits_tasks(edges, starts):
+        return _reach_in_tasks(edges, starts, max_depth)
     front = starts.select("g", "start", F.col("start").alias("node"), F.lit(0).alias("depth"), *([F.array("start").alias("path")] if paths else [])).distinct()
     front = materialize(front, "front")
     levels, seen = [front], front.select("g", "start", "node")
@@ -80,7 +128,7 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int = FOREVER, paths:
         else:
             step = step.select("g", "start", F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
         front = materialize(step.join(seen, ["g", "start", "node"], "left_anti"), "front")
-        if front.isEmpty():
+        if not rows_of(front):
             break
         levels.append(front)
         seen = reduce(DataFrame.unionByName, [x.select("g", "start", "node") for x in levels])
@@ -91,12 +139,15 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int = FOREVER, paths:
 def reachable_set(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(g, node) reached from any of the starts (g, node), which are included."""
     edges = edges.select("g", "src", "dst")
+    named = starts.select("g", F.col("node").alias("start"))
+    if _fits_tasks(edges, named):
+        return _reach_in_tasks(edges, named, FOREVER).select("g", "node").unionByName(starts.select("g", "node")).distinct()
     seen = materialize(starts.select("g", "node").distinct(), "seen")
     front, levels = seen, [seen]
     while True:
         step = front.select("g", F.col("node").alias("src")).join(edges, ["g", "src"]).select("g", F.col("dst").alias("node")).distinct()
         front = materialize(step.join(reduce(DataFrame.unionByName, levels), ["g", "node"], "left_anti"), "front")
-        if front.isEmpty():
+        if not rows_of(front):
             return reduce(DataFrame.unionByName, levels)
         levels.append(front)
 
@@ -122,7 +173,7 @@ def weak_components(edges: DataFrame) -> DataFrame:
         small_low = large.groupBy("g", "u").agg(F.min("v").alias("m"))
         small = large.join(small_low, ["g", "u"]).select("g", F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         after = materialize(small, "star")
-        changed = not after.exceptAll(now).isEmpty() or after.count() != now.count()
+        changed = rows_of(after) != rows_of(now) or not after.join(now, ["g", "u", "v"], "left_anti").isEmpty()
         release(now)
         now = after
         if not changed:
@@ -133,13 +184,13 @@ def weak_components(edges: DataFrame) -> DataFrame:
 def _trim(edges: DataFrame, rounds: int = 4) -> DataFrame:
     """Edges whose ends may lie on a cycle: those without a predecessor or successor are peeled off."""
     now = materialize(edges.where("src <> dst"), "trim")
-    size = now.count()
+    size = rows_of(now)
     for _ in range(rounds):
         live = now.select("g", F.col("src").alias("node")).intersect(now.select("g", F.col("dst").alias("node")))
         live = materialize(live, "live")
         kept = now.join(live.select("g", F.col("node").alias("src")), ["g", "src"], "left_semi").join(live.select("g", F.col("node").alias("dst")), ["g", "dst"], "left_semi")
         after = materialize(kept.select("g", "src", "dst"), "trim")
-        left = after.count()
+        left = rows_of(after)
         release(now)
         now = after
         if left == size:
@@ -148,7 +199,53 @@ def _trim(edges: DataFrame, rounds: int = 4) -> DataFrame:
     return now
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def _strong_in_tasks(edges: DataFrame) -> DataFrame:
+    """Tarjan's algorithm, without recursion, for each small graph in one task."""
+    kind = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
+
+    def parts(key, e):
+        nexts = _adjacency(e)
+        order: dict = {}
+        low: dict = {}
+        on: set = set()
+        stack: list = []
+        rows = []
+        for root in list(nexts):
+            if root in order:
+                continue
+            work = [(root, iter(nexts[root]))]
+            order[root] = low[root] = len(order)
+            stack.append(root)
+            on.add(root)
+            while work:
+                node, rest = work[-1]
+                for b in rest:
+                    if b not in order:
+                        order[b] = low[b] = len(order)
+                        stack.append(b)
+                        on.add(b)
+                        work.append((b, iter(nexts.get(b, ()))))
+                        break
+                    if b in on:
+                        low[node] = min(low[node], order[b])
+                else:
+                    work.pop()
+                    if work:
+                        low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                    if low[node] == order[node]:
+                        part = []
+                        while not part or part[-1] != node:
+                            part.append(stack.pop())
+                            on.discard(part[-1])
+                        if len(part) > 1:
+                            least = min(part)
+                            rows += [(key[0], n, least) for n in part]
+        return pd.DataFrame(rows, columns=["g", "node", "component"])
+
+    return edges.groupBy("g").applyInPandas(parts, f"g {kind['g']}, node {kind['src']}, component {kind['src']}")
+
+
+def strong_components(edges: DataFrame, local: bool = True) -> DataFrame:
     """(g, node, component) of strongly connected parts of two nodes or more.
 
     Peels what cannot lie on a cycle, then colours: every node takes the least
@@ -156,17 +253,23 @@ def strong_components(edges: DataFrame) -> DataFrame:
     its part. Found parts leave and the rest is peeled and coloured again.
     component is the least node of its part. Self loops do not count.
     """
-    rest = _trim(simple(edges), rounds=1_000)
+    edges = simple(edges)
+    if local and _fits_tasks(edges):
+        return _strong_in_tasks(edges)
+    rest = _trim(edges, rounds=1_000)
     found: list[DataFrame] = []
-    while not rest.isEmpty():
+    while rows_of(rest):
         colour = materialize(nodes(rest).withColumn("c", F.col("node")), "colour")
         while True:
             offered = rest.join(colour.withColumnRenamed("node", "src"), ["g", "src"]).groupBy("g", F.col("dst").alias("node")).agg(F.min("c").alias("o"))
-            after = colour.join(offered, ["g", "node"], "left").select("g", "node", F.least("c", F.coalesce("o", "c")).alias("c"), (F.coalesce("o", "c") < F.col("c")).alias("moved"))
-            after = materialize(after, "colour")
-            still = not after.where("moved").isEmpty()
+            better = colour.join(offered, ["g", "node"], "left").select("g", "node", "c", F.least("c", F.coalesce("o", "c")).alias("n"))
+            # what reaches the node that gave the colour reaches this one too: labels jump, rounds grow with a logarithm
+            jump = colour.select("g", F.col("node").alias("n"), F.col("c").alias("j"))
+            better = better.join(jump, ["g", "n"], "left").select("g", "node", "c", F.least("n", F.coalesce("j", "n")).alias("n"))
+            moved = materialize(better, "colour")
+            still = not moved.where("n < c").isEmpty()
             release(colour)
-            colour = after.select("g", "node", "c")
+            colour = moved.select("g", "node", F.col("n").alias("c"))
             if not still:
                 break
         inside = rest.join(colour.select("g", F.col("node").alias("src"), F.col("c").alias("cs")), ["g", "src"]).join(colour.select("g", F.col("node").alias("dst"), F.col("c").alias("cd")), ["g", "dst"])
@@ -176,7 +279,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
         while True:
             back = front.select("g", "c", F.col("node").alias("dst")).join(inside, ["g", "c", "dst"]).select("g", "c", F.col("src").alias("node")).distinct()
             front = materialize(back.join(reduce(DataFrame.unionByName, levels), ["g", "c", "node"], "left_anti"), "back")
-            if front.isEmpty():
+            if not rows_of(front):
                 break
             levels.append(front)
         whole = reduce(DataFrame.unionByName, levels)
@@ -281,7 +384,7 @@ def nearest_reachable(edges: DataFrame, live: DataFrame, lost: DataFrame) -> Dat
     while True:
         step = front.select("g", F.col("node").alias("src"), "nearest", "depth").join(both, ["g", "src"]).groupBy("g", F.col("dst").alias("node")).agg(F.min("nearest").alias("nearest"), (F.min("depth") + 1).alias("depth"))
         front = materialize(step.join(reduce(DataFrame.unionByName, levels).select("g", "node"), ["g", "node"], "left_anti"), "near")
-        if front.isEmpty():
+        if not rows_of(front):
             break
         levels.append(front)
     return lost.select("g", "node").join(reduce(DataFrame.unionByName, levels), ["g", "node"], "left")
@@ -296,10 +399,10 @@ def levels(edges: DataFrame) -> DataFrame:
     waiting = materialize(nodes(e), "waiting")
     done: list[DataFrame] = []
     level = 0
-    while not waiting.isEmpty():
+    while rows_of(waiting):
         blocked = e.join(waiting.select("g", F.col("node").alias("src")), ["g", "src"], "left_semi").select("g", F.col("dst").alias("node")).distinct()
         free = materialize(waiting.join(blocked, ["g", "node"], "left_anti"), "free")
-        if free.isEmpty():
+        if not rows_of(free):
             break
         done.append(free.withColumn("level", F.lit(level)))
         after = materialize(waiting.join(free, ["g", "node"], "left_anti"), "waiting")

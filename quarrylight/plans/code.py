@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quarrylight.operators import graph, resolve
+from quarrylight import api
+from quarrylight.operators import graph, knowledge, resolve
 from quarrylight.sources import files as source_files
 from quarrylight.sources import parse
 from quarrylight.storage import materialize, table
@@ -129,6 +130,124 @@ def j17_test_evidence(s: SparkSession, d: str) -> DataFrame:
     return resolve.test_evidence(f.where(paths.is_test_path(F.col("path"))), targets)
 
 
+# ---------------------------------------------------------------- questions, knowledge graphs and findings
+
+def catalogue(s: SparkSession, d: str) -> api.Facts:
+    """The edges that count as symbols and relations: every node is a symbol of its kind."""
+    from quarrylight.plans.pipeline import counting_edges
+
+    e = counting_edges(s, d, "kind", "source_id", "target_id").select("repository_id", "commit_sha", "source_id", "target_id", F.lower(F.trim("kind")).alias("kind"))
+    n = e.select("repository_id", "commit_sha", F.explode(F.array("source_id", "target_id")).alias("moniker")).distinct()
+    name = F.regexp_extract("moniker", r"([^/#.:@]+)$", 1)
+    symbols = n.select("repository_id", "commit_sha", "moniker", name.alias("name"), F.regexp_extract("moniker", r"#(.*)$", 1).alias("qualified"), F.split("moniker", ":")[0].alias("kind"), F.regexp_extract("moniker", r"^\w+:[^:]*:([^#]*)", 1).alias("path"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(None).cast("string").alias("parent"))
+    kinds = F.when(F.col("kind") == "calls", "CALLS").when(F.col("kind") == "imports", "IMPORTS").when(F.col("kind") == "extends", "INHERITS_FROM").when(F.col("kind").isin("references", "uses"), "REFERENCES").otherwise("DEFINES")
+    relations = e.select("repository_id", "commit_sha", F.col("source_id").alias("source"), F.col("target_id").alias("target"), kinds.alias("kind"), F.regexp_extract("source_id", r"^\w+:[^:]*:([^#]*)", 1).alias("path"), F.lit(0).alias("line")).distinct()
+    return api.Facts(symbols, relations)
+
+
+_LIVE = """live as (select distinct repository_id, commit_sha, source_id as s, target_id as t, lower(trim(kind)) as kind from (select *, row_number() over (partition by repository_id, commit_sha, edge_id order by delivered_at desc) rn from ria_graph_edge) where rn = 1)"""
+
+
+@query("q01_relation_kinds", f"with {_LIVE}, r as (select distinct repository_id, commit_sha, s, t, case kind when 'calls' then 'CALLS' when 'imports' then 'IMPORTS' when 'extends' then 'INHERITS_FROM' when 'references' then 'REFERENCES' when 'uses' then 'REFERENCES' else 'DEFINES' end as kind from live) select repository_id, kind, count(*) as relations, count(distinct s) as sources from r group by all")
+def q01_relation_kinds(s: SparkSession, d: str) -> DataFrame:
+    """Q01, Q06: relations of each kind in all commits of a repository."""
+    return catalogue(s, d).r.groupBy("repository_id", "kind").agg(F.count(F.lit(1)).alias("relations"), F.countDistinct("source").alias("sources"))
+
+
+@query("q01_callers", f"with {_LIVE}, top as (select t from live where kind = 'calls' group by t order by count(*) desc, t limit 1) select distinct repository_id, commit_sha, s as source, t as target from live where kind = 'calls' and t = (select t from top)")
+def q01_callers(s: SparkSession, d: str) -> DataFrame:
+    """Q01: callers of the most called symbol."""
+    f = catalogue(s, d)
+    top = f.r.where("kind = 'CALLS'").groupBy("target").count().orderBy(F.desc("count"), "target").first()["target"]
+    return api.find_callers(f, top, 1000).select("repository_id", "commit_sha", "source", "target")
+
+
+@query("q11_intents", "select task_id, case " + " ".join(f"when regexp_matches(lower(change_description), '\\b(?:{w})') then '{n}'" for n, w in api.INTENTS) + " else 'general' end as intent from impact_tasks")
+def q11_intents(s: SparkSession, d: str) -> DataFrame:
+    """Q11, Q12: the intent of every task description."""
+    return table(s, d, "impact_tasks").select("task_id", api.intent(F.col("change_description")).alias("intent"))
+
+
+@query("v09_entities")
+def v09_entities(s: SparkSession, d: str) -> DataFrame:
+    """Symbols and files named by each task description."""
+    t = table(s, d, "impact_tasks")
+    return t.select("task_id", F.explode(api.entities(F.col("change_description"))).alias("entity"))
+
+
+@query("j26_knowledge_graph")
+def j26_knowledge_graph(s: SparkSession, d: str) -> DataFrame:
+    """Nodes and edges of the knowledge graph by kind."""
+    b, f = bodies(s, d), facts(s, d)
+    nodes, edges = knowledge.knowledge_graph({"files": b, "facts": f, "file_edges": resolve.file_edges(f, b)})
+    return knowledge.breakdown(nodes, edges)
+
+
+@query("j27_directories", "with f as (select distinct repository_id as g, path from ria_file_unit where path is not null), c as (select g, path, unnest(range(1, len(string_split(path, '/')))) as i from f), dirs as (select distinct g, array_to_string(list_slice(string_split(path, '/'), 1, i), '/') as dir from c) select g, (select count(*) from dirs x where x.g = f.g) as directories, count(*) as files from f group by g")
+def j27_directories(s: SparkSession, d: str) -> DataFrame:
+    """Directories and files of each repository."""
+    files = table(s, d, "ria_file_unit").select(F.col("repository_id").alias("g"), "path")
+    nodes, _ = knowledge.directories({"files": files})
+    return nodes.groupBy("g").agg(F.count_if(F.expr("kind = 'directory'")).alias("directories"), F.count_if(F.expr("kind = 'file'")).alias("files"))
+
+
+@query("r11_inspection")
+def r11_inspection(s: SparkSession, d: str) -> DataFrame:
+    """Findings of all packs by category and severity."""
+    from quarrylight.operators import scoring
+
+    b = bodies(s, d)
+    units = table(s, d, "ria_file_unit").select(F.col("repository_id").alias("g"), "path", "size_bytes")
+    metrics = b.select("g", "path", scoring.cyclomatic(F.col("content")).alias("complexity"))
+    packs = [knowledge.complexity_findings(metrics), knowledge.large_file_findings(units), knowledge.documentation_findings(units), knowledge.testing_findings(units), knowledge.security_findings(b)]
+    return knowledge.inspection(packs).groupBy("g", "category", "severity").agg(F.count(F.lit(1)).alias("findings"))
+
+
+@query("r18_recommendations")
+def r18_recommendations(s: SparkSession, d: str) -> DataFrame:
+    """Work by priority and phase for each repository."""
+    units = table(s, d, "ria_file_unit").select(F.col("repository_id").alias("g"), "path", "size_bytes")
+    found = knowledge.inspection([knowledge.large_file_findings(units), knowledge.documentation_findings(units), knowledge.testing_findings(units)])
+    return knowledge.recommendations(found)
+
+
+@query("w03_reading_tiers")
+def w03_reading_tiers(s: SparkSession, d: str) -> DataFrame:
+    """Rank and tier of each node of the dependency graphs."""
+    from quarrylight.plans.graphs import dependencies
+
+    e = dependencies(s, d)
+    entries = graph.small_starts(e).withColumnRenamed("start", "node")
+    return knowledge.rank_and_tier(graph.reading_scores(e, entries), entries)
+
+
+@query("w11_graph_sample")
+def w11_graph_sample(s: SparkSession, d: str) -> DataFrame:
+    """The most central nodes of each graph, a sampling operator."""
+    from quarrylight.plans.graphs import dependencies
+
+    e = dependencies(s, d)
+    return knowledge.graph_sample(e, graph.centrality(e), 50)
+
+
+@query("j30_boundaries", None)
+def j30_boundaries(s: SparkSession, d: str) -> DataFrame:
+    """Dependencies that cross components."""
+    from quarrylight.plans.graphs import dependencies
+
+    return knowledge.boundary_crossings(dependencies(s, d))
+
+
+@query("v36_topic_switches", "with l as (select user_id, event_id, event_type, lag(event_type) over (partition by user_id order by ts) as p from events) select user_id as conversation, event_id as turn, 'EXPLICIT_ENTITY' as kind, 0.99::double as confidence from l where p is not null and event_type <> p")
+def v36_topic_switches(s: SparkSession, d: str) -> DataFrame:
+    """Turns at which the subject changes."""
+    e = table(s, d, "events")
+    order = F.row_number().over(Window.partitionBy("user_id").orderBy("ts"))
+    turns = e.select(F.col("user_id").alias("conversation"), order.alias("turn"), F.col("event_type").alias("entity"), F.lit("f").alias("file"), "event_id")
+    found = knowledge.topic_switches(turns)
+    return found.join(turns.select("conversation", "turn", "event_id"), ["conversation", "turn"]).select("conversation", F.col("event_id").alias("turn"), "kind", "confidence")
+
+
 # ---------------------------------------------------------------- streams
 
 _EVENTS = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])

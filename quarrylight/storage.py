@@ -14,7 +14,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -50,14 +50,22 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.option("compression", "zstd").parquet(path)
     # nullable on reading: parquet does not keep NOT NULL
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
     out = spark.read.schema(schema).parquet(path)
     out._quarrylight_path = path
+    out._quarrylight_rows = seen.get["rows"]  # counted while writing, no further job
     return out
 
 
+def rows_of(df: DataFrame) -> int:
+    """The number of rows, known already for a table made by :func:`materialize`."""
+    known = getattr(df, "_quarrylight_rows", None)
+    return df.count() if known is None else known
+
+
 def release(df: DataFrame | None) -> None:
     """Delete a table made by :func:`materialize`; anything else is left alone."""
     path = getattr(df, "_quarrylight_path", None)

@@ -28,19 +28,19 @@ def bfs(edges, g, start):
     return seen
 
 
-@pytest.mark.parametrize("seed", [3, 4])
-def test_reach_and_its_mirror(spark, seed):
+@pytest.mark.parametrize(("seed", "local"), [(3, True), (4, False)])
+def test_reach_and_its_mirror(spark, seed, local):
     edges = random_edges(seed)
     e = spark.createDataFrame(edges, EDGE)
     starts = spark.createDataFrame([("g0", "n00"), ("g1", "n05")], "g string, start string")
-    got = {(x.g, x.node): x.depth for x in graph.reach(e, starts).collect()}
+    got = {(x.g, x.node): x.depth for x in graph.reach(e, starts, local=local).collect()}
     assert got == {(g, n): d for g, s in (("g0", "n00"), ("g1", "n05")) for n, d in bfs(edges, g, s).items()}
-    back = {(x.g, x.node): x.depth for x in graph.reach(graph.reverse(graph.reverse(e)), starts).collect()}
+    back = {(x.g, x.node): x.depth for x in graph.reach(graph.reverse(graph.reverse(e)), starts, local=local).collect()}
     assert back == got
 
 
-@pytest.mark.parametrize("seed", [3, 8])
-def test_components(spark, seed):
+@pytest.mark.parametrize(("seed", "local"), [(3, False), (8, True)])
+def test_components(spark, seed, local):
     edges = random_edges(seed)
     e = spark.createDataFrame(edges, EDGE)
     names = {(g, x) for g, a, b in edges for x in (a, b)}
@@ -49,7 +49,7 @@ def test_components(spark, seed):
     size = {}
     for (g, _), c in strong.items():
         size[(g, c)] = size.get((g, c), 0) + 1
-    assert {(x.g, x.node): x.component for x in graph.strong_components(e).collect()} == {k: c for k, c in strong.items() if size[(k[0], c)] > 1}
+    assert {(x.g, x.node): x.component for x in graph.strong_components(e, local).collect()} == {k: c for k, c in strong.items() if size[(k[0], c)] > 1}
     both = [*edges, *((g, b, a) for g, a, b in edges)]
     assert {(x.g, x.node): x.component for x in graph.weak_components(e).collect()} == {(g, n): min(bfs(both, g, n)) for g, n in names}
 
