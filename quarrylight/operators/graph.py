@@ -103,7 +103,8 @@ def _reach_in_tasks(edges: DataFrame, starts: DataFrame, max_depth: int) -> Data
         return pd.DataFrame(rows, columns=["g", "start", "node", "depth"])
 
     schema = f"g {kind['g']}, start {start_kind}, node {kind['src']}, depth int"
-    return starts.select("g", "start").dropna().groupBy("g").cogroup(edges.groupBy("g")).applyInPandas(lambda key, s, e: walk(key, e, s), schema)
+    fresh = lambda df, *names: df.select(*[F.col(c).alias(c) for c in names])  # noqa: E731  both sides may stem from one table
+    return fresh(starts, "g", "start").dropna().groupBy("g").cogroup(fresh(edges, "g", "src", "dst").groupBy("g")).applyInPandas(lambda key, s, e: walk(key, e, s), schema)
 
 
 def reach(edges: DataFrame, starts: DataFrame, max_depth: int = FOREVER, paths: bool = False, local: bool = True) -> DataFrame:

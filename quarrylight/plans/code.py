@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quarrylight import api
-from quarrylight.operators import graph, knowledge, resolve
+from quarrylight.operators import calls, context, graph, knowledge, resolve
 from quarrylight.sources import files as source_files
 from quarrylight.sources import parse
 from quarrylight.storage import materialize, table
@@ -238,6 +238,101 @@ def j30_boundaries(s: SparkSession, d: str) -> DataFrame:
     return knowledge.boundary_crossings(dependencies(s, d))
 
 
+@query("g03_depth_first")
+def g03_depth_first(s: SparkSession, d: str) -> DataFrame:
+    """Preorder from the start of each graph."""
+    from quarrylight.plans.graphs import dependencies
+
+    e = dependencies(s, d)
+    return calls.depth_first(e, graph.small_starts(e))
+
+
+@query("w02_best_first")
+def w02_best_first(s: SparkSession, d: str) -> DataFrame:
+    """The reading order of each graph, fifty nodes."""
+    from quarrylight.plans.graphs import dependencies
+
+    e = dependencies(s, d)
+    entries = graph.small_starts(e).withColumnRenamed("start", "node")
+    scored = graph.reading_scores(e, entries).join(entries.withColumn("entry", F.lit(True)), ["g", "node"], "left").na.fill(False, ["entry"])
+    return calls.best_first(e, scored)
+
+
+_DEP = """dl as (select distinct repository_id || '@' || commit_sha as g, source_id as src, target_id as dst from (select *, row_number() over (partition by repository_id, commit_sha, edge_id order by delivered_at desc) rn from ria_graph_edge) where rn = 1 and lower(trim(kind)) in ('calls','imports','uses','references','extends'))"""
+
+
+@query("a07_call_graph", f"with {_DEP}, deg as (select g, node, sum(i)::bigint as fan_in, sum(o)::bigint as fan_out from (select g, src as node, 0 as i, 1 as o from dl union all select g, dst, 1, 0 from dl) group by all) select g, node, fan_in, fan_out, fan_in = 0 as is_entry, exists (select 1 from dl where dl.g = deg.g and dl.src = deg.node and dl.dst = deg.node) as is_recursive from deg")
+def a07_call_graph(s: SparkSession, d: str) -> DataFrame:
+    """Fan-in, fan-out, entries and recursion of each node."""
+    from quarrylight.plans.graphs import dependencies
+
+    e = dependencies(s, d).select("g", F.col("src").alias("caller"), F.col("dst").alias("callee"), F.lit(1).alias("line"), F.lit("HIGH").alias("confidence"))
+    return calls.call_graph(e)[1]
+
+
+@query("g13_caller_closure")
+def g13_caller_closure(s: SparkSession, d: str) -> DataFrame:
+    """Callers within three steps with path, tier and layer transitions."""
+    from quarrylight.plans.graphs import dependencies
+
+    e = dependencies(s, d)
+    found = calls.caller_closure(e, graph.small_starts(e, "dst"))
+    return calls.layer_transitions(found).withColumn("path", F.array_join("path", " > "))
+
+
+@query("g24_module_dependencies", f"with {_DEP}, m as (select distinct g, regexp_replace(regexp_replace(src, '#.*$', ''), '/[^/]*$', '') as module, regexp_replace(regexp_replace(dst, '#.*$', ''), '/[^/]*$', '') as other from dl) select g, module, array_to_string(list_sort(list(other)), ',') as depends_on from m where module <> other group by all")
+def g24_module_dependencies(s: SparkSession, d: str) -> DataFrame:
+    """What each module depends on."""
+    from quarrylight.plans.graphs import dependencies
+
+    return calls.module_dependencies(dependencies(s, d)).withColumn("depends_on", F.array_join("depends_on", ","))
+
+
+@query("g26_architecture_findings")
+def g26_architecture_findings(s: SparkSession, d: str) -> DataFrame:
+    """Layer violations, unused nodes and hotspots."""
+    from quarrylight.plans.graphs import dependencies
+
+    return calls.architecture_findings(dependencies(s, d))
+
+
+@query("p18_word_references")
+def p18_word_references(s: SparkSession, d: str) -> DataFrame:
+    """How many files mention each symbol as a word."""
+    b, f = bodies(s, d), facts(s, d)
+    return context.references_symbol(b, f.where("fact = 'symbol'")).groupBy("g", "name").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query("r03_seed_files")
+def r03_seed_files(s: SparkSession, d: str) -> DataFrame:
+    """Seed files of every task description, ten each."""
+    t = table(s, d, "impact_tasks").select(F.col("task_id").alias("id"), F.col("change_description").alias("text"))
+    return context.seed_files(t, table(s, d, "ria_file_unit").select("path").where("path is not null"))
+
+
+@query("v28_expand")
+def v28_expand(s: SparkSession, d: str) -> DataFrame:
+    """Context of the most called symbol."""
+    f = catalogue(s, d)
+    top = f.r.where("kind = 'CALLS'").groupBy(F.col("target").alias("moniker")).count().orderBy(F.desc("count"), "moniker").limit(1).select("moniker")
+    return context.retrieve("explain", top, f)
+
+
+@query("v01_hashed_vectors")
+def v01_hashed_vectors(s: SparkSession, d: str) -> DataFrame:
+    """Vectors of all documents by the built-in backend."""
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return context.hashed_vectors(docs).select("id", F.size("embedding").alias("dims"))
+
+
+@query("r33_dependency_story", f"with {_DEP}, o as (select g, src as node, array_to_string(list_sort(list(dst)), ', ') as uses from dl group by all), i as (select g, dst as node, array_to_string(list_sort(list(src)), ', ') as used from dl group by all) select g, node, concat_ws('; ', 'uses ' || uses, 'is used by ' || used) as text from o full join i using (g, node)")
+def r33_dependency_story(s: SparkSession, d: str) -> DataFrame:
+    """Each node's neighbours as a sentence."""
+    from quarrylight.plans.graphs import dependencies
+
+    return context.dependency_story(dependencies(s, d))
+
+
 @query("v36_topic_switches", "with l as (select user_id, event_id, event_type, lag(event_type) over (partition by user_id order by ts) as p from events) select user_id as conversation, event_id as turn, 'EXPLICIT_ENTITY' as kind, 0.99::double as confidence from l where p is not null and event_type <> p")
 def v36_topic_switches(s: SparkSession, d: str) -> DataFrame:
     """Turns at which the subject changes."""

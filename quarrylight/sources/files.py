@@ -124,3 +124,19 @@ def entry_points(files: DataFrame) -> DataFrame:
     found = code.select("path", by_name.alias("r")).where("r is not null").select("path", F.col("r")["col1"].alias("reason"), F.col("r")["col2"].alias("priority"))
     both = named.unionByName(found)
     return both.groupBy("path").agg(F.min_by("reason", "priority").alias("reason"), F.min("priority").alias("priority"))
+
+
+def read_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """JSON documents (repository, key, subkey, data) written by :func:`write_documents`; data is one JSON text."""
+    return spark.read.schema("repository string, key string, subkey string, data string").json(folder)
+
+
+def write_documents(documents: DataFrame, folder: str) -> None:
+    """Replace the documents of a folder; Spark publishes them with its job commit."""
+    documents.select("repository", "key", "subkey", "data").write.mode("overwrite").json(folder)
+
+
+def changed_files(request: DataFrame, tree: DataFrame) -> DataFrame:
+    """Files of a pull request (path, status, additions, deletions) matched to a tree without case."""
+    known = tree.select("path").distinct().select(F.lower("path").alias("k"), F.col("path").alias("tree_path"))
+    return request.withColumn("k", F.lower("path")).join(known, "k", "left").drop("k")
