@@ -36,7 +36,7 @@ def partial_call_graph(old: DataFrame, calls: DataFrame, changed: DataFrame, ren
     """
     stale = old.join(changed.select("g", "path"), ["g", "path"], "left_anti").join(renamed.select("g", "name"), ["g", "name"], "left_anti")
     hit = calls.join(changed.select("g", "path"), ["g", "path"], "left_semi").unionByName(calls.join(renamed.select("g", "name"), ["g", "name"], "left_semi"))
-    return stale.unionByName(hit).distinct()
+    return stale.unionByName(hit).distinct().select(old.columns)
 
 
 def update_index(postings: DataFrame, changed: DataFrame, new: DataFrame) -> DataFrame:
