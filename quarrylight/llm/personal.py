@@ -75,11 +75,13 @@ def emails(text: str) -> list[tuple[int, int]]:
 # ---------------------------------------------------------------- phones and identity numbers
 
 _NUMBER = re.compile(
-    r"(?<![\w.,:/#@+-])(?:(?:\+|00)[1-9]\d{0,2}[\s./-]?|1[ .-](?=\())?(?:\(\d{1,5}\)[\s./-]?)?\d{1,5}(?:[\s./-]\d{1,5}){1,6}(?![\w]|[.,:/-]\d|%)"
+    r"(?<![\w.,:/#@+-])(?:(?:\+|00)[1-9]\d{0,2}[ \xa0./-]?|1[ .-](?=\())?(?:\(\d{1,5}\)[ \xa0./-]?)?\d{1,5}(?:[ \xa0./-]\d{1,5}){1,6}(?![\w]|[.,:/-]\d|%)"
     r"|(?<![\w.,:/#@+-])(?:\+|00)[1-9]\d{8,14}(?!\w)"
-    r"|(?<![\w.,:/#@+-])\(\d{2,5}\)[\s./-]?\d{3,9}(?!\w)"
+    r"|(?<![\w.,:/#@+-])\(\d{2,5}\)[ \xa0./-]?\d{3,9}(?!\w)"
     r"|(?<![\w.:/#@+-])\d{8,15}(?![\w]|[.,:/-]\d)"
 )
+#: fixed values: words before numbers that are neither phones nor identities
+_OTHER_WORD = re.compile(r"(?i)\b(?:build|version|release|rev|revision|rows?|lines?|zeile|ligne|línea|port|chunk|trace|span|host|ip|uuid|sha|commit|run|job|ticket|issue|pr|step|order|invoice|batch|page)(?: (?:id|no|nr|number))?\.?\s?[:#=]?\s?$")
 #: fixed values: words that stand before a phone number, and before an identity number
 _PHONE_WORD = re.compile(r"(?i)(?:\b(?:tel|tél|fon|phone|fax|mobile?|mobil|handy|call|ring|number is|numéro est|appeler|telefono|teléfono|llame|rufnummer|whatsapp|sms)\b[^\n\d]{0,30})$")
 _ID_WORD = re.compile(
@@ -130,6 +132,9 @@ def numbers(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     def labelled(a: int) -> bool:
         return bool(_ID_WORD.search(text[max(0, a - 40) : a]))
 
+    def other(a: int) -> bool:
+        return bool(_OTHER_WORD.search(text[max(0, a - 24) : a]))
+
     # only neighbourhoods of long runs of digits or capitals are looked at closely
     near: list[list[int]] = []
     for m in _RUN.finditer(text):
@@ -141,7 +146,7 @@ def numbers(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     for pattern, needs_label in ((_SSN, False), (_NIR, True), (_STEUER, True), (_DNI, True), (_COMPACT, True)):
         for m in (m for a, b in near for m in pattern.finditer(text, a, b)):
             a, b = m.span()
-            if (not needs_label or labelled(a)) and free(a, b):
+            if (labelled(a) or not (needs_label or other(a))) and free(a, b):
                 ids.append((a, b))
                 taken.append((a, b))
     phones: list[tuple[int, int]] = []
@@ -153,7 +158,7 @@ def numbers(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
         digits = sum(c.isdigit() for c in s)
         if labelled(a) and 7 <= digits <= 18 and not _PHONE_WORD.search(before):
             ids.append((a, b))
-        elif "\n" not in s and _phone_like(s, before):
+        elif not other(a) and _phone_like(s, before):
             phones.append((a, b))
         else:
             continue

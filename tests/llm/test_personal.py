@@ -26,6 +26,7 @@ def kinds(text):
         ("Mail a.b+c@x1.site.example. Or JOE AT site DOT example, joe(at)site.example; [at]", {"email": ["a.b+c@x1.site.example", "JOE AT site DOT example", "joe(at)site.example"]}),
         ("clone git@host.example:team/repo.git, user@host, @scope/pkg@4.14.1, @handle", {}),
         ("call (212) 555-0163 or +44 (0)20 7946 0372 ext. 12, 030/23125-679, 1 (212) 555 0130", {"phone": ["(212) 555-0163", "+44 (0)20 7946 0372", "030/23125-679", "1 (212) 555 0130"]}),
+        ("Eastmere 40213\n1 (415) 555 0160\nbuild 415-220-1163 failed, Build 910-27-5355, version 636-106-630", {"phone": ["1 (415) 555 0160"]}),
         ("Trace id 04521209414, version 10.1985.248.8, on 2024-09-14, host 192.0.2.250, build 3032-116-2261, rows 5 550 1127", {}),
         ("SSN 910 27 5355; passport no. Q0FPF23LN; Steuer-ID 02 153 464 646; sécurité sociale 9 48 12 73 794 610 89; DNI 99856968F", {"id_number": ["910 27 5355", "Q0FPF23LN", "02 153 464 646", "9 48 12 73 794 610 89", "99856968F"]}),
         ("went to 153B West Orchard Avenue, flat 2. Lane 230 of the tracer Street fixture is new. An Querufer 209, 00415 Ort", {"address": ["153B West Orchard Avenue", "Querufer 209"]}),
