@@ -52,6 +52,18 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     return hit.groupBy("g", "path", "line", "name").agg(F.min_by("candidate", "pos").alias("target"))
 
 
+def import_symbols(imports: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(g, path, line, name, target, symbol) of imports in all languages at once: the imported symbol of the resolved file, null where it has none of that name.
+
+    symbols: (g, path, name) of definitions at the top of files.
+    """
+    found = resolve_imports(imports, files)
+    original = imports.where("fact = 'import' and kind = 'symbol'").select("g", "path", F.col("start").alias("line"), "name", F.regexp_extract("detail", r":([^:]*)$", 1).alias("symbol"))
+    known = symbols.select("g", F.col("path").alias("target"), F.col("name").alias("symbol"), F.lit(True).alias("known")).distinct()
+    out = found.join(original, ["g", "path", "line", "name"], "left").join(known, ["g", "target", "symbol"], "left")
+    return out.select("g", "path", "line", "name", "target", F.when(F.col("known"), F.col("symbol")).alias("symbol"))
+
+
 def file_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
     """(g, src, dst) different dependencies between files."""
     return resolve_imports(imports, files).select("g", F.col("path").alias("src"), F.col("target").alias("dst")).distinct()

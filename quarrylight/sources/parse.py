@@ -23,7 +23,10 @@ Fact = tuple[str, str | None, str | None, str | None, int, int, str | None]  # f
 
 
 def python_facts(text: str) -> Iterator[Fact]:
-    """Symbols with parent and parameters, imports with alias and level, calls with receiver, bases."""
+    """Symbols with parent and parameters, imports with alias and level, calls with receiver, bases.
+
+    J11: types of arguments by annotation and of variables by the call assigned to them.
+    """
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         tree = ast.parse(text.removeprefix("\ufeff"))
