@@ -464,7 +464,7 @@ def q_windows(s: SparkSession, d: str) -> DataFrame:
     """Ranking, offset and frame functions over one sort."""
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     running = F.sum("o_totalprice").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return table(s, d, "orders").select("o_orderkey", F.row_number().over(w).alias("rn"), F.rank().over(w).alias("rk"), F.dense_rank().over(w).alias("dr"), F.round(F.coalesce(F.lag("o_totalprice").over(w), F.lit(0.0)), 2).alias("prev"), F.round(running, 2).alias("running"))
+    return table(s, d, "orders").select("o_orderkey", F.row_number().over(w).cast("bigint").alias("rn"), F.rank().over(w).cast("bigint").alias("rk"), F.dense_rank().over(w).cast("bigint").alias("dr"), F.round(F.coalesce(F.lag("o_totalprice").over(w), F.lit(0.0)), 2).alias("prev"), F.round(running, 2).alias("running"))
 
 
 @query("q_set_operations", "select 'intersect' as op, k from (select o_custkey as k from orders where o_orderstatus = 'F' intersect select o_custkey from orders where o_orderstatus = 'O') union all select 'except', k from (select o_custkey as k from orders where o_orderstatus = 'F' except select o_custkey from orders where o_orderstatus = 'P')")
