@@ -96,26 +96,34 @@ def tokenizer(path: str) -> Tokens:
     return Tokens(path)
 
 
+class _Vocabulary(dict):
+    """Word -> number, in order of first sight."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class Index:
     """Inverted index of a shard with BM25 weights; words in half of the texts or more weigh nothing."""
 
     def __init__(self, texts: list[str]) -> None:
         self.n = len(texts)
-        vocabulary: dict[str, int] = {}
-        self.terms, tfs, lengths = [], [], []
-        for t in texts:
-            ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in _WORD.findall(t.lower())], np.int64)
-            terms, tf = np.unique(ids, return_counts=True)
-            self.terms.append(terms)
-            tfs.append(tf)
-            lengths.append(len(ids))
-        sizes = [len(t) for t in self.terms]
-        term = np.concatenate(self.terms) if self.n else np.zeros(0, np.int64)
-        doc = np.repeat(np.arange(self.n), sizes)
-        tf = np.concatenate(tfs).astype(np.float64) if self.n else np.zeros(0)
+        vocabulary = _Vocabulary()
+        place = vocabulary.__getitem__
+        words = [_WORD.findall(t.lower()) for t in texts]
+        lengths = np.fromiter(map(len, words), np.int64, self.n)
+        ids = np.fromiter((place(w) for ws in words for w in ws), np.int64, int(lengths.sum()))
+        size = max(1, len(vocabulary))
+        # each pair of text and word once, in the order of texts
+        pair, count = np.unique(np.repeat(np.arange(self.n), lengths) * size + ids, return_counts=True)
+        doc, term = pair // size, pair % size
+        ends = np.searchsorted(doc, np.arange(self.n + 1))
+        self.terms = [term[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        tf = count.astype(np.float64)
         df = np.bincount(term, minlength=len(vocabulary))
         idf = np.maximum(0.0, np.log((self.n - df + 0.5) / (df + 0.5)))
-        length = np.array(lengths, np.float64)
+        length = lengths.astype(np.float64)
         norm = K1 * (1 - B + B * length / max(1.0, length.mean() if self.n else 1.0))
         weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
         keep = weight > 0
