@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import re
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -113,7 +114,7 @@ class Index:
         place = vocabulary.__getitem__
         words = [_WORD.findall(t.lower()) for t in texts]
         lengths = np.fromiter(map(len, words), np.int64, self.n)
-        ids = np.fromiter((place(w) for ws in words for w in ws), np.int64, int(lengths.sum()))
+        ids = np.fromiter(map(place, chain.from_iterable(words)), np.int64, int(lengths.sum()))
         size = max(1, len(vocabulary))
         # each pair of text and word once, in the order of texts
         pair, count = np.unique(np.repeat(np.arange(self.n), lengths) * size + ids, return_counts=True)
@@ -222,15 +223,19 @@ def pack(documents: DataFrame, capacities: dict[str, int], rows: int, ranks: str
     def run(key, part):
         coder = tokenizer(ranks)
         part = part.sort_values(["doc_id", "text"], kind="stable")
-        texts, ids = part["text"].tolist(), part["doc_id"].tolist()
+        texts, ids = part["text"].tolist(), part["doc_id"].values
         index = Index(texts)
         encoded = [coder.encode(t) for t in texts]
         out = []
+        mark = f"{key[0]}-{key[1]}-"
         for model, capacity in capacities.items():
-            pieces = [(i, k, *p) for i, t in enumerate(texts) for k, p in enumerate(coder.pieces(t, encoded[i], capacity))]
-            owner, size = np.array([p[0] for p in pieces], np.int64), np.array([p[4] for p in pieces], np.int64)
-            for c, (i, k, a, b, n) in zip(fill(index, owner, size, capacity), pieces, strict=True):
-                out.append((model, f"{key[0]}-{key[1]}-{c}", ids[i], k, a, b, n))
-        return pd.DataFrame(out, columns=names)
+            cut = [coder.pieces(t, tokens, capacity) for t, tokens in zip(texts, encoded, strict=True)]
+            many = np.fromiter(map(len, cut), np.int64, len(cut))
+            owner = np.repeat(np.arange(len(cut)), many)
+            start, end, size = (np.array(x, np.int64) for x in zip(*chain.from_iterable(cut), strict=True))
+            number = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+            where = fill(index, owner, size, capacity)
+            out.append(pd.DataFrame({"model_name": model, "container": [mark + str(c) for c in where], "doc_id": ids[owner], "piece_no": number, "start": start, "end": end, "tokens": size}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=names)
 
     return dealt.groupBy("lang", "shard").applyInPandas(run, schema)
