@@ -45,18 +45,23 @@ def run_available(spark: SparkSession, source: str, schema, build: Callable[[Dat
     """Run a streaming query over all files of ``source`` now and return what it wrote.
 
     mode ``complete`` keeps the last full result, ``append`` and ``update`` every batch.
+    Without any file the result is empty.
     """
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(schema).parquet(source)
     if watermark:
         stream = stream.withWatermark("ts", watermark)
 
-    def write(batch: DataFrame, _: int) -> None:
+    wrote: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        wrote.append(number)
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/out")
 
-    q = build(stream).writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    result = build(stream)
+    q = result.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    return spark.read.parquet(f"{base}/out") if wrote else spark.createDataFrame([], result.schema)
 
 
 TRIGGERS = "key long, ts timestamp, reason string"
