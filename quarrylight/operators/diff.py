@@ -109,8 +109,8 @@ MOST_IN_GROUP = 20_000
 def fuzzy_merge(findings: DataFrame, ratio: float = 0.75) -> DataFrame:
     """Greedy merge of findings (category, ord, text, severity, confidence) of one category.
 
-    A finding whose text has a matching-block ratio of at least ``ratio`` with an
-    earlier kept one joins the first such; severity and confidence take the
+    A finding whose text has a matching-block ratio, without case, of at least ``ratio``
+    with an earlier kept one joins the first such; severity and confidence take the
     greater value, count the number. The order matters, so a category is one
     task; a larger category than MOST_IN_GROUP is an error and must be split by key.
     """
@@ -121,7 +121,7 @@ def fuzzy_merge(findings: DataFrame, ratio: float = 0.75) -> DataFrame:
         kept: list[list] = []
         for r in part.sort_values(["ord", "text"]).itertuples(index=False):
             for k in kept:
-                m = difflib.SequenceMatcher(None, k[2], r.text)
+                m = difflib.SequenceMatcher(None, k[2].lower(), r.text.lower())
                 if m.real_quick_ratio() >= ratio and m.quick_ratio() >= ratio and m.ratio() >= ratio:
                     k[3], k[4], k[5] = max(k[3], r.severity), max(k[4], r.confidence), k[5] + 1
                     break

@@ -334,7 +334,7 @@ def u14_conflicts(s: SparkSession, d: str) -> DataFrame:
 @query("u11_fuzzy_merge", None)
 def u11_fuzzy_merge(s: SparkSession, d: str) -> DataFrame:
     """Similar task descriptions of one repository merged."""
-    t = table(s, d, "impact_tasks").select(F.col("repository").alias("category"), F.xxhash64("task_id").alias("ord"), F.substring("change_description", 1, 300).alias("text"), F.lit(2).alias("severity"), F.lit(0.5).alias("confidence"))
+    t = table(s, d, "impact_tasks").select(F.col("repository").alias("category"), F.xxhash64("task_id").alias("ord"), F.col("change_description").alias("text"), F.lit(2).alias("severity"), F.lit(0.5).alias("confidence"))
     return diff.fuzzy_merge(t)
 
 
