@@ -20,9 +20,13 @@ def ordered_hash(path: Column, digest: Column) -> Column:
     return F.sha2(F.array_join(F.transform(pairs, lambda s: F.concat(s["p"], s["h"])), ""), 256)
 
 
+#: fixed values: the characters that Python's ``str.strip`` takes for white space, as a class of Java's patterns
+BLANK = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def cache_key(model: Column, version: Column, text: Column, backend: str = "onnx", quantization: str = "int8") -> Column:
-    """the key of an embedding in its cache."""
-    stripped = F.regexp_replace(text, r"^\s+|\s+$", "")
+    """the key of an embedding in its cache; the outer white space is Unicode's, as in Python's ``strip``."""
+    stripped = F.regexp_replace(text, rf"\A[{BLANK}]+|[{BLANK}]+\z", "")
     return F.sha2(F.concat_ws(":", model, version, F.lit(backend), F.lit(quantization), stripped), 256)
 
 

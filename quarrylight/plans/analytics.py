@@ -139,7 +139,7 @@ def f01_repository_hash(s: SparkSession, d: str) -> DataFrame:
 
 @query("f02_cache_key", r"select m.model_name, s.repository_id, s.content_hash, sha256(m.model_name || ':' || m.model_version || ':onnx:int8:' || regexp_replace(s.content, '^\s+|\s+$', '', 'g')) as chunk_hash from source_files s join embedding_model m on length(s.content) <= 300 where s.content is not null and regexp_full_match(s.content, '[\x09-\x7e]*')")
 def f02_cache_key(s: SparkSession, d: str) -> DataFrame:
-    """The cache key of every short plain body for each model."""
+    """The cache key of every short plain body for each model, the part that the SQL states; f02_cache_keys has them all."""
     short = table(s, d, "source_files").where("char_length(content) <= 300").where(F.col("content").rlike(r"^[\x09-\x7e]*$"))
     models = table(s, d, "embedding_model").select("model_name", "model_version").limit(1001).collect()
     if len(models) > 1000:
@@ -149,6 +149,18 @@ def f02_cache_key(s: SparkSession, d: str) -> DataFrame:
     return short.select("model_name", "repository_id", "content_hash", text.cache_key(F.col("model_name"), F.col("model_version"), F.col("content")).alias("chunk_hash"))
 
 
+@query("f02_cache_keys", None)
+def f02_cache_keys(s: SparkSession, d: str) -> DataFrame:
+    """the cache key of every body that is one piece for a model, in any script; p3_pieces keys the pieces of longer ones."""
+    models = table(s, d, "embedding_model").select("model_name", "model_version", "max_chars").limit(1001).collect()
+    if len(models) > 1000:
+        raise ValueError("more than 1000 models where a small table was expected")
+    bodies = table(s, d, "source_files").select("repository_id", "content_hash", "content").where("content is not null")
+    each = F.array(*[F.struct(F.lit(m[0]).alias("model_name"), F.lit(m[1]).alias("model_version"), F.lit(m[2]).alias("max_chars")) for m in models])
+    fits = bodies.select("repository_id", "content_hash", "content", F.inline(each)).where("char_length(content) <= max_chars")
+    return fits.select("model_name", "repository_id", "content_hash", text.cache_key(F.col("model_name"), F.col("model_version"), F.col("content")).alias("chunk_hash"))
+
+
 @query("f06_queries", r"select task_id, lower(trim(regexp_replace(trim(regexp_replace(replace(change_description, '`', ''), '\s+', ' ', 'g')), '[?!.,]+$', ''))) as query from impact_tasks")
 def f06_queries(s: SparkSession, d: str) -> DataFrame:
     """Normalised questions."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from quarrylight.plans import QUERIES
 
 
@@ -15,3 +17,13 @@ def test_fuzzy_merge_compares_whole_texts(spark, tmp_path):
     write(spark, tmp_path, "impact_tasks", [(k, "r", v) for k, v in texts.items()], "task_id string, repository string, change_description string")
     got = sorted((r.text.lower(), r["count"]) for r in QUERIES["u11_fuzzy_merge"](spark, str(tmp_path)).collect())
     assert len(same) > 300 and got == sorted([(texts["a"], 2), (texts["b"], 1)])
+
+
+def test_cache_keys_of_all_bodies_of_one_piece(spark, tmp_path):
+    write(spark, tmp_path, "embedding_model", [("m", "1", 900), ("n", "2", 5)], "model_name string, model_version string, max_chars int")
+    blanks = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+    bodies = {"plain": " a\n", "long": "x y " * 200, "unicode": "\u00a0\u3000naïve 変数 \u0085", "edges": blanks + "\u200bq w\n\n" + blanks, "too long": "z" * 901, "five": "\U0001f600" * 5, "blank": " \t", "none": None}
+    write(spark, tmp_path, "source_files", [("r", k, v) for k, v in bodies.items()], "repository_id string, content_hash string, content string")
+    got = {(r.model_name, r.content_hash): r.chunk_hash for r in QUERIES["f02_cache_keys"](spark, str(tmp_path)).collect()}
+    want = {(m, k): hashlib.sha256(f"{m}:{v}:onnx:int8:{b.strip()}".encode()).hexdigest() for m, v, most in (("m", "1", 900), ("n", "2", 5)) for k, b in bodies.items() if b is not None and len(b) <= most}
+    assert len(want) == 9 and got == want
