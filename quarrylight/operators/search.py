@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -94,6 +96,47 @@ def nearest_l2(vectors: DataFrame, query: list[float], k: int = 10) -> DataFrame
     return vectors.where(f"size(embedding) = {len(query)}").select("vec_id", F.round(d, 6).alias("distance")).orderBy("distance", "vec_id").limit(k)
 
 
+#: Vectors and queries that are compared in one task at a time.
+POINT_BLOCK, QUERY_BLOCK = 8_192, 4_096
+
+
+def nearest_each(vectors: DataFrame, queries: DataFrame, k: int = 10, squared: bool = False) -> DataFrame:
+    """(query_id, vec_id, distance) of the k vectors nearest to each query vector, exactly.
+
+    vectors, queries: (vec_id, embedding). The distance is that of :func:`nearest_to`, or
+    with ``squared`` that of :func:`nearest_l2`; ties go to the smaller id. Blocks of queries
+    meet blocks of vectors of the same size in one task each, which keeps k of a query.
+    Nulls, vectors that hold NaN and, for the cosine, zero vectors are left out.
+    """
+    spread = lambda df, rows, name: df.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.size("embedding").alias("n"), F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-df.count() // rows)))).alias(name))
+    points, asked = spread(vectors, POINT_BLOCK, "p"), spread(queries, QUERY_BLOCK, "q")
+    fresh = lambda df: df.select(*[F.col(c).alias(c) for c in ("n", "q", "p", "vec_id", "embedding")])  # noqa: E731  both sides stem from one table
+    ask = fresh(asked.join(F.broadcast(points.select(F.col("n").alias("n"), F.col("p").alias("p")).distinct()), "n"))
+    offer = fresh(points.join(F.broadcast(asked.select(F.col("n").alias("n"), F.col("q").alias("q")).distinct()), "n"))
+
+    def unpack(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        if not len(part):
+            return np.zeros(0, np.int64), np.zeros((0, 0))
+        x = np.stack([np.asarray(v, np.float64) for v in part["embedding"]])
+        norm = np.sqrt((x * x).sum(1))
+        keep = np.isfinite(norm) & (squared | (norm > 0))
+        return part["vec_id"].values[keep], x[keep] if squared else x[keep] / norm[keep, None]
+
+    def best(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        (qid, qx), (pid, px) = unpack(q), unpack(p)
+        out = []
+        for i, v in zip(qid, qx, strict=True) if len(pid) else ():
+            d = np.floor(((px - v) ** 2).sum(1) * 1e6 + 0.5) / 1e6 if squared else np.maximum(0.0, np.floor((1 - px @ v) * 1e4 + 0.5) / 1e4)
+            near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
+            near = near[np.lexsort((pid[near], d[near]))][:k]
+            out.append(pd.DataFrame({"query_id": i, "vec_id": pid[near], "distance": d[near]}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["query_id", "vec_id", "distance"])
+
+    found = ask.groupBy("n", "q", "p").cogroup(offer.groupBy("n", "q", "p")).applyInPandas(best, "query_id long, vec_id long, distance double")
+    w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+    return found.withColumn("r", F.row_number().over(w)).where(f"r <= {k}").drop("r")
+
+
 #: fixed values: rank classes of a path in retrieval (label, score)
 CLASSES = (("generated", 1e3), ("test", 1e4), ("config", 4e5), ("docs", 2.5e5), ("example", 2e5), ("production", 7e5))
 

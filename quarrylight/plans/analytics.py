@@ -478,7 +478,7 @@ def v14_highlight(s: SparkSession, d: str) -> DataFrame:
 
 @query("v02_nearest", "with q as (select embedding::double[] as q from embeddings order by vec_id limit 1) select vec_id, greatest(0, round(1 - list_cosine_similarity(embedding::double[], q), 4))::double as distance from embeddings, q order by distance, vec_id limit 10")
 def v02_nearest(s: SparkSession, d: str) -> DataFrame:
-    """The vectors nearest to a query vector by cosine, a top-k report."""
+    """The vectors nearest to the first vector by cosine, a top-k report; v02_nearest_each asks for many."""
     v = table(s, d, "embeddings")
     return search.nearest_to(v, v.orderBy("vec_id").first()["embedding"])
 
@@ -490,6 +490,23 @@ def v03_nearest_l2(s: SparkSession, d: str) -> DataFrame:
     return search.nearest_l2(v, v.orderBy("vec_id").first()["embedding"])
 
 
+_EACH = "with q as (select vec_id as query_id, embedding::double[] as q from embeddings where vec_id % 50 = 0), r as (select query_id, vec_id, {} as distance from embeddings, q) select * from r qualify row_number() over (partition by query_id order by distance, vec_id) <= 10"
+
+
+@query("v02_nearest_each", _EACH.format("greatest(0, round(1 - list_cosine_similarity(embedding::double[], q), 4))::double"))
+def v02_nearest_each(s: SparkSession, d: str) -> DataFrame:
+    """The 10 vectors nearest to every vector with an id divisible by 50, by cosine."""
+    v = table(s, d, "embeddings")
+    return search.nearest_each(v, v.where("vec_id % 50 = 0"))
+
+
+@query("v03_nearest_l2_each", _EACH.format("round(list_sum(list_transform(list_zip(embedding::double[], q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6)"))
+def v03_nearest_l2_each(s: SparkSession, d: str) -> DataFrame:
+    """The same by squared distance."""
+    v = table(s, d, "embeddings")
+    return search.nearest_each(v, v.where("vec_id % 50 = 0"), squared=True)
+
+
 @query("v07_hybrid", None)
 def v07_hybrid(s: SparkSession, d: str) -> DataFrame:
     """Best documents for a question by class, distance and overlap, a top-k report."""

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
+
+from quarrylight.operators import search
 from quarrylight.plans import QUERIES
 
 
@@ -27,3 +30,18 @@ def test_cache_keys_of_all_bodies_of_one_piece(spark, tmp_path):
     got = {(r.model_name, r.content_hash): r.chunk_hash for r in QUERIES["f02_cache_keys"](spark, str(tmp_path)).collect()}
     want = {(m, k): hashlib.sha256(f"{m}:{v}:onnx:int8:{b.strip()}".encode()).hexdigest() for m, v, most in (("m", "1", 900), ("n", "2", 5)) for k, b in bodies.items() if b is not None and len(b) <= most}
     assert len(want) == 9 and got == want
+
+
+def test_every_query_vector_is_searched_in_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search, "POINT_BLOCK", 40)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 2)
+    x = np.random.default_rng(3).standard_normal((160, 8)).astype(np.float32)
+    x[77] = x[50]
+    write(spark, tmp_path, "embeddings", [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(160, None, 0), (161, [1.0], 0)], "vec_id long, embedding array<float>, label int")
+    y = x.astype(np.float64)
+    u = y / np.linalg.norm(y, axis=1, keepdims=True)
+    for name, far, digits in (("v02_nearest_each", np.maximum(0, 1 - u @ u.T), 4), ("v03_nearest_l2_each", ((y[:, None] - y[None]) ** 2).sum(2), 6)):
+        got = {(r.query_id, r.vec_id): r.distance for r in QUERIES[name](spark, str(tmp_path)).collect()}
+        d = np.round(far, digits)
+        want = {(q, int(i)): d[q, i] for q in (0, 50, 100, 150) for i in np.lexsort((np.arange(160), d[q]))[:10]}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and got[50, 77] == 0
