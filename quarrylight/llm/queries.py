@@ -94,6 +94,12 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return pair.distinct()
 
 
+def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 most similar chunks of every usable vector under its model, however similar they are."""
+    near = neighbours.nearest(cached_vectors(spark, folder), materialize, k=10, summed=True)
+    return near.select(F.col("grp").alias("model_name"), F.col("id").alias("chunk_hash"), "neighbour", "similarity", "place")
+
+
 def p5_kinds(spark: SparkSession, folder: str) -> DataFrame:
     """File units that were not written by hand in their repository, and why."""
     units = materialize(counting_units(spark, folder, "language", "content_hash"), "units")
@@ -153,7 +159,7 @@ def p9_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return personal.redact(table(spark, folder, "documents"), name_model(spark, folder), b"set your own key")
 
 
-QUERIES = {"p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_kinds": p5_kinds, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p9_found": p9_found, "p9_redacted": p9_redacted}
+QUERIES = {"p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_kinds": p5_kinds, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p9_found": p9_found, "p9_redacted": p9_redacted}
 
 ORACLES = {
     "p3_found": """select distinct m.model_name, s.repository_id, s.content_hash from source_files s

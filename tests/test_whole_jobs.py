@@ -6,8 +6,11 @@ import hashlib
 
 import numpy as np
 
+from quarrylight.llm import neighbours
+from quarrylight.llm.queries import QUERIES as LLM_QUERIES
 from quarrylight.operators import search
 from quarrylight.plans import QUERIES
+from quarrylight.storage import materialize
 
 
 def write(spark, folder, name, rows, schema):
@@ -45,3 +48,18 @@ def test_every_query_vector_is_searched_in_blocks(spark, tmp_path, monkeypatch):
         d = np.round(far, digits)
         want = {(q, int(i)): d[q, i] for q in (0, 50, 100, 150) for i in np.lexsort((np.arange(160), d[q]))[:10]}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and got[50, 77] == 0
+
+
+def test_ten_neighbours_without_a_floor(spark, tmp_path):
+    x = np.random.default_rng(5).standard_normal((600, 16)).astype(np.float32)
+    write(spark, tmp_path, "embedding_model", [("m", 16)], "model_name string, dims int")
+    write(spark, tmp_path, "embedding_cache", [(f"{i:03d}", "m", v.tolist(), 1) for i, v in enumerate(x)], "chunk_hash string, model_name string, embedding array<float>, updated_at int")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    want = {(f"{a:03d}", f"{b:03d}") for a in range(600) for b in np.argsort(-s[a])[:10]}
+    vectors = LLM_QUERIES["p4_neighbours"](spark, str(tmp_path)).collect()
+    assert len(want & {(r.chunk_hash, r.neighbour) for r in vectors}) >= 0.999 * 6000 and len(vectors) == 6000
+    usable = neighbours.usable_vectors(spark.createDataFrame([("m", f"{i:03d}", v.tolist()) for i, v in enumerate(x)], "grp string, id string, embedding array<float>"), spark.createDataFrame([("m", 16)], "grp string, dims int"))
+    cells = neighbours.nearest(usable, materialize, k=10, cell=40, summed=True).collect()
+    assert len(want & {(r.id, r.neighbour) for r in cells}) >= 0.9 * 6000 and len(cells) == 6000
