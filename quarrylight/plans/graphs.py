@@ -56,7 +56,7 @@ def query(name: str, sql: str | None = None):
 @query("g01_bfs", f"""with recursive {E_SQL}, w as (select g, start, start as node, 0 as depth from so union select w.g, w.start, e.dst, w.depth + 1 from w join e on e.g = w.g and e.src = w.node where w.depth < 5)
 select g, start, node, min(depth) as depth from w group by all""")
 def g01_bfs(s: SparkSession, d: str) -> DataFrame:
-    """Breadth first from the node with the most dependencies of each graph, five levels."""
+    """Breadth first from the node with the most dependencies of each graph, five levels; g01_bfs_all has every start and level."""
     e = dependencies(s, d)
     return graph.reach(e, graph.small_starts(e), 5)
 
@@ -64,11 +64,30 @@ def g01_bfs(s: SparkSession, d: str) -> DataFrame:
 @query("g02_reverse_bfs", f"""with recursive {E_SQL}, w as (select g, start, start as node, 0 as depth from si union select w.g, w.start, e.src, w.depth + 1 from w join e on e.g = w.g and e.dst = w.node where w.depth < 3)
 select g, start, node, min(depth) as depth from w where node <> start group by all""")
 def g02_reverse_bfs(s: SparkSession, d: str) -> DataFrame:
-    """Who depends on the most used node, up to three steps, the start left out."""
+    """Who depends on the most used node, up to three steps, the start left out; g02_reverse_bfs_all has every node and step."""
     e = dependencies(s, d)
     return graph.reach(graph.reverse(e), graph.small_starts(e, "dst"), 3).where("node <> start")
 
 
+def every_node(e: DataFrame) -> DataFrame:
+    """(g, start): each node of each graph."""
+    return graph.nodes(e).withColumnRenamed("node", "start")
+
+
+@query("g01_bfs_all", None)
+def g01_bfs_all(s: SparkSession, d: str) -> DataFrame:
+    """Breadth first from every node of each graph, over any number of levels."""
+    e = dependencies(s, d)
+    return graph.reach(e, every_node(e))
+
+
+@query("g02_reverse_bfs_all", None)
+def g02_reverse_bfs_all(s: SparkSession, d: str) -> DataFrame:
+    """Who depends on each node, over any number of steps, the start left out."""
+    e = dependencies(s, d)
+    return graph.reach(graph.reverse(e), every_node(e)).where("node <> start")
+
+
 @query("g04_closure", f"""with recursive {E_SQL}, w as (select g, start, start as node from so union select w.g, w.start, e.dst from w join e on e.g = w.g and e.src = w.node)
 select g, start, count(*) - 1 as reached from w group by all""")
 def g04_closure(s: SparkSession, d: str) -> DataFrame:

@@ -63,3 +63,13 @@ def test_ten_neighbours_without_a_floor(spark, tmp_path):
     usable = neighbours.usable_vectors(spark.createDataFrame([("m", f"{i:03d}", v.tolist()) for i, v in enumerate(x)], "grp string, id string, embedding array<float>"), spark.createDataFrame([("m", 16)], "grp string, dims int"))
     cells = neighbours.nearest(usable, materialize, k=10, cell=40, summed=True).collect()
     assert len(want & {(r.id, r.neighbour) for r in cells}) >= 0.9 * 6000 and len(cells) == 6000
+
+
+def test_searches_from_every_node_to_the_end(spark, tmp_path):
+    rows = [("r", "c", f"e{i}", "calls", f"n{i}", f"n{(i + 1) % 9}", 1.0, 1) for i in range(9)] + [("r", "c", "x", "calls", "n8", "out", 1.0, 1)]
+    write(spark, tmp_path, "ria_graph_edge", rows, "repository_id string, commit_sha string, edge_id string, kind string, source_id string, target_id string, weight double, delivered_at int")
+    want = {(f"n{a}", f"n{b}", (b - a) % 9) for a in range(9) for b in range(9)} | {(f"n{a}", "out", 9 - a) for a in range(9)}
+    got = {(r.start, r.node, r.depth) for r in QUERIES["g01_bfs_all"](spark, str(tmp_path)).collect()}
+    assert got == want | {("out", "out", 0)}
+    back = {(r.node, r.start, r.depth) for r in QUERIES["g02_reverse_bfs_all"](spark, str(tmp_path)).collect()}
+    assert back == {x for x in want if x[0] != x[1]}
