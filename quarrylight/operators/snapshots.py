@@ -92,7 +92,7 @@ def _follow(pointers: DataFrame, label: str) -> DataFrame:
             (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"),
             F.coalesce("done2", F.lit(True)).alias("done"),
         )
-        after = materialize(done.unionByName(jumped).coalesce(8), label)
+        after = materialize(done.unionByName(jumped), label)
         release(now)
         now = after
     raise ValueError("the first parents of some commit form a cycle")

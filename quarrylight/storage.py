@@ -17,11 +17,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-#: Rows up to which a side may be broadcast explicitly. With the short key rows
-#: used here (two ids and a few numbers) this is at most about 30 MB.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes up to which a side may be broadcast explicitly. The bytes are
+#: those of the files that are read (compressed about fourfold here).
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 8_000_000
 
 _own_folder: dict[str, str] = {}
 
@@ -36,6 +35,8 @@ def shared_folder(spark: SparkSession) -> str:
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     key = spark.sparkContext.applicationId
     if key not in _own_folder:
         _own_folder[key] = tempfile.mkdtemp(prefix="quarrylight-")
@@ -77,23 +78,30 @@ def release(df: DataFrame | None) -> None:
     df._quarrylight_path = None
 
 
-def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """Hint a broadcast only where the counted rows are within the bound."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Hint a broadcast only where the counted rows and the bytes behind them are within the bounds.
+
+    The rows of a table made by :func:`materialize` are known, as are the bytes
+    of its files; a frame whose bytes the optimizer cannot tell is left to it.
+    """
+    rows = rows_of(df) if rows is None else rows
+    if rows > BROADCAST_ROWS or int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > BROADCAST_BYTES:
+        return df
+    return F.broadcast(df)
 
 
 def latest_rows(df: DataFrame, key: list[str], stamp: str) -> DataFrame:
     """Of the rows of one key, the one with the greatest ``stamp``.
 
     Re-deliveries repeat a key; the latest one counts. Equal stamps are settled
-    by the remaining columns in schema order, greatest first, so the result is
-    one definite row. Rows with a null stamp come last; null keys form a key of
-    their own.
+    by the remaining columns in schema order, greatest first (maps by their
+    JSON), so the result is one definite row. Rows with a null stamp come last;
+    null keys form a key of their own. An aggregate: it combines before the shuffle.
     """
     rest = [c for c in df.columns if c not in key and c != stamp]
-    order = [F.col(stamp).desc_nulls_last()] + [F.to_json(F.struct(F.col(c))).desc() for c in rest]
-    w = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+    order = [F.to_json(c) if isinstance(df.schema[c].dataType, T.MapType) else F.col(c) for c in rest]
+    best = F.max_by(F.struct(stamp, *rest), F.struct(F.col(stamp), *order)).alias("_best")
+    return df.groupBy(*key).agg(best).select(*[F.col(c) if c in key else F.col(f"_best.{c}").alias(c) for c in df.columns])
 
 
 def null_safe_hash(*columns: str) -> "F.Column":
