@@ -6,14 +6,20 @@ identifiers is trained on all bodies; then, for each body,
 * names whose cross-entropy under the model is high are mangled: minified;
 * definitions whose names repeat each other's characters are made from a
   template: generated;
-* names in a wording that stands in other repositories too are foreign: vendored,
-  also where copies were edited. Packages that foreign files name in their
-  headers are learned, and a vendor folder of such a package is foreign as well;
+* names joined in another style than the repository's own (underscores against
+  inner capitals) are foreign; that sign is reported but decides nothing, as code
+  under a wrong extension shows it and copies in the repository's own style do not.
+  Copies are told by their wording instead: 0.8 or more of a body's runs of five
+  words stand in copies in other repositories. Packages that foreign files name
+  in their leading comments are learned, and a vendor folder of such a package is
+  foreign as well: vendored;
 * bodies that are mostly literals are data saved as code.
 
 Banners and folder names alone decide nothing: writers of generators have them
-in their own code. Two passes over the bodies; what is shuffled are trigram
-counts (bounded by the alphabet) and sketches of a few numbers for each body.
+in their own code. The sketch of a body only proposes it as a copy; whether it
+is one is decided on all its runs. What is shuffled are trigram counts (bounded
+by the alphabet), sketches of a few numbers for each body, and all runs of the
+proposed bodies.
 """
 
 from __future__ import annotations
@@ -34,14 +40,23 @@ from pyspark.sql import functions as F
 #: language's (bits a character) that means mangled, for short names and for any;
 #: share of different 4-grams among defined names, and of names with one start,
 #: that mean templates, from so many definitions; share of literals that means
-#: data; size of a sketch and share of it that must be foreign.
-MANGLED, MANGLED_LONG, DIVERSITY, ALIKE, DEFINED, LITERALS, SKETCH, FOREIGN, SHINGLE = 3.0, 4.0, 0.78, 0.43, 5, 0.75, 16, 0.8, 5
+#: data; fewest names whose cross-entropy is judged.
+MANGLED, MANGLED_LONG, DIVERSITY, ALIKE, DEFINED, LITERALS, NAMES = 3.0, 4.0, 0.78, 0.43, 5, 0.75, 8
+#: Parameters of wording: words of a run; words under which a body counts as one
+#: run; size of a sketch; share of a sketch that proposes a copy (at a true share
+#: of 0.8, 6 of 16 are missed with a chance of 2 in 100,000); share of all runs that makes one.
+SHINGLE, SHORT, SKETCH, PROPOSED, FOREIGN = 5, 12, 16, 0.375, 0.8
+#: Parameters of style: names of two parts or more that a body, and the rest of its
+#: repository in that language, must have, and how far their shares must lie apart.
+STYLED, STYLED_REST, STYLE = 8, 200, 0.8
 
 _WORD = re.compile(r"\w+")
 _BOUND = re.compile(r"(?<![\w$.'\"`#@/\\])[A-Za-z_$][\w$]*")
 _STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`")
 _COMMENT = re.compile(r"/\*[\s\S]*?\*/|(?<![:\"'])//[^\n]*|(?m:^[ \t]*#[^\n]*)|\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''")
-_NUMBERS = re.compile(r"(?:[-+]?(?:0[xX][0-9A-Fa-f]+|\d[\d_.]*(?:[eE][-+]?\d+)?)[lLfFuU]?[\s,;\]\[(){}]+){8,}")
+_LITERAL_RUN = re.compile(r"(?:(?:[-+]?(?:0[xX][0-9A-Fa-f]+|\d[\d_.]*(?:[eE][-+]?\d+)?)[lLfFuU]?|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|\b(?:true|false|null|nil|None|True|False)\b)[\s,:;\]\[(){}]+){8,}")
+_LEADING = re.compile(r"(?:\s|\ufeff|#[^\n]*|//[^\n]*|/\*[\s\S]*?\*/|<!--[\s\S]*?-->|--[^\n]*|;[^\n]*)*")
+_CAMEL, _SNAKE = re.compile(r"[a-z0-9][A-Z]"), re.compile(r"[A-Za-z0-9]_[A-Za-z0-9]")
 #: fixed values: words that a definition's line begins with
 _DEFINERS = frozenset("def class function function* interface enum record struct trait fn func public private protected static final abstract export async const let var synchronized declare default".split())
 _DEFINED = re.compile(
@@ -84,7 +99,7 @@ def bound_names(code: str) -> set[str]:
 
 def _grams(name: str) -> list[str]:
     """Trigrams of a name between edge marks; letters without case, digits and other signs folded."""
-    s = re.sub(r"[^a-z_$0]", "?", re.sub(r"\d", "0", name.lower()[:60]))
+    s = re.sub(r"[^a-z_$0]", "?", re.sub(r"\d", "0", name.lower()))
     s = f"^{s}|"
     return [s[max(0, i - 2) : i + 1] for i in range(1, len(s))]
 
@@ -166,15 +181,23 @@ def templated(text: str) -> bool:
 
 
 def literal_share(text: str, code: str) -> float:
-    """Share of a body that is runs of numbers or long strings without blanks; ``code`` is its bare code."""
-    if 8 * sum(map(code.count, "0123456789")) < len(code) and max(map(len, text.split()), default=0) < 48:
-        return 0.0  # too few digits, and no string that is solid enough
-    dense = sum(len(m) for m in _NUMBERS.findall(text))
-    for m in _STRING.finditer(text):
+    """Share of a body that is runs of literals or long strings without blanks; ``code`` is its bare code."""
+    if 8 * sum(map(code.count, "0123456789")) < len(code) and 4 * text.count('"') + 4 * text.count("'") < len(code) and max(map(len, text.split()), default=0) < 48:
+        return 0.0  # too few digits and quotes, and no string that is solid enough
+    solid = len(text) - text.count(" ") - text.count("\n")
+    dense = 0
+
+    def count(m: re.Match) -> str:
+        nonlocal dense
+        s = m.group()
+        dense += len(s) - s.count(" ") - s.count("\n")
+        return " "
+
+    rest = _LITERAL_RUN.sub(count, text)
+    for m in _STRING.finditer(rest):
         s = m.group()
         if len(s) >= 50 and s.count(" ") * 40 < len(s):
             dense += len(s)
-    solid = len(text) - text.count(" ") - text.count("\n")
     return min(1.0, dense / max(1, solid))
 
 
@@ -193,40 +216,52 @@ class _Places(dict):
 _places = _Places()
 
 
-def sketch(plain: str, size: int = SKETCH) -> list[int]:
-    """The smallest hashes of runs of five words of a body without comments; near copies share most of them.
+def shingles(text: str, plain: str) -> np.ndarray:
+    """Different hashes of the runs of five words of a body without comments.
 
-    Empty for a body of under eight such runs, which says too little.
+    A body of under twelve such words says too little by its runs; it counts as
+    one run of all its words, comments included. A body without words has none.
     """
     words = _WORD.findall(plain)
-    if len(words) < SHINGLE + 7:
-        return []
+    width = SHINGLE
+    if len(words) < SHORT:
+        words = _WORD.findall(text)
+        width = len(words)
+        if not words:
+            return np.zeros(0, np.uint64)
     if len(_places) > 300_000:
         _places.clear()
         _places.table = array("Q")
     at = np.fromiter(map(_places.__getitem__, words), np.int64, len(words))
     h = np.frombuffer(_places.table, np.uint64)[at]  # a copy: the table may grow again
-    out = h[: len(h) - SHINGLE + 1].copy()
-    for k in range(1, SHINGLE):
-        out = (out * np.uint64(0x9E3779B97F4A7C15)) ^ h[k : len(h) - SHINGLE + 1 + k]
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    least = np.unique(np.partition(out, 4 * size)[: 4 * size]) if len(out) > 4 * size else np.unique(out)
-    if len(least) < size < len(out):
-        least = np.unique(out)  # many runs repeat
-    return least[:size].astype(np.int64).tolist()
+    out = h[: len(h) - width + 1].copy()
+    for k in range(1, width):
+        out = (out * np.uint64(0x9E3779B97F4A7C15)) ^ h[k : len(h) - width + 1 + k]
+    return np.unique(out * np.uint64(0xBF58476D1CE4E5B9))
+
+
+def sketch(text: str, plain: str, size: int = SKETCH) -> list[int]:
+    """The smallest of :func:`shingles`; near copies share most of them."""
+    return shingles(text, plain)[:size].view(np.int64).tolist()
 
 
 def upstream(text: str) -> str | None:
-    """The package that a header names as the origin of the file."""
-    head = text[:500]
+    """The package that a leading comment names as the origin of the file."""
+    head = _LEADING.match(text).group()
     low = head.lower()
     m = _UPSTREAM.search(head) if any(w in low for w in _UPSTREAM_WORDS) else None
     return next(filter(None, m.groups())).lower().rstrip(".,") if m else None
 
 
+def style(names: set[str]) -> tuple[int, int]:
+    """(names with inner capitals, names with underscores) among names in small or mixed letters."""
+    mixed = [n for n in names if not n.isupper()]
+    return sum(bool(_CAMEL.search(n)) for n in mixed), sum(bool(_SNAKE.search(n)) for n in mixed)
+
+
 #: fixed values: languages whose files are no code
 NO_CODE = ("json", "markdown", "text", "yaml", "xml", "csv", "unknown")
-FEATURES = "repository_id string, content_hash string, language string, templated boolean, data boolean, package string, sketch array<long>, names string"
+FEATURES = "repository_id string, content_hash string, language string, templated boolean, data boolean, package string, sketch array<long>, names string, camel int, snake int"
 
 
 def features(bodies: DataFrame) -> DataFrame:
@@ -241,17 +276,52 @@ def features(bodies: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for repository, content_hash, language, text in batch.itertuples(index=False):
+                plain = without_comments(text)
                 if language in NO_CODE:
-                    rows.append((repository, content_hash, language, False, False, upstream(text), sketch(without_comments(text)), None))
+                    rows.append((repository, content_hash, language, False, False, upstream(text), sketch(text, plain), None, 0, 0))
                     continue
-                plain = without_comments(text)
                 code = bare(plain)
-                rows.append((repository, content_hash, language, templated(code), literal_share(text, code) >= LITERALS, upstream(text), sketch(plain), " ".join(sorted(bound_names(code)))))
+                names = bound_names(code)
+                rows.append((repository, content_hash, language, templated(code), literal_share(text, code) >= LITERALS, upstream(text), sketch(text, plain), " ".join(sorted(names)), *style(names)))
             yield pd.DataFrame(rows, columns=columns)
 
     return bodies.where("content is not null").select("repository_id", "content_hash", "language", "content").mapInPandas(look, FEATURES)
 
 
+def copied(bodies: DataFrame, judged: DataFrame, materialize, broadcast_if_small) -> DataFrame:
+    """(repository_id, content_hash): bodies of which 0.8 or more of all runs of words stand in copies in other repositories.
+
+    A sketch proposes: so many of its hashes must stand in sketches of other
+    repositories. Then all runs of the proposed bodies are compared.
+    """
+    key = ["repository_id", "content_hash"]
+    marks = judged.select(*key, F.size("sketch").alias("size"), F.explode("sketch").alias("h")).distinct()
+    shared = materialize(marks.groupBy("h").agg(F.min("repository_id").alias("low"), F.max("repository_id").alias("high")).where("low <> high").select("h"), "shared")
+    hits = marks.join(broadcast_if_small(shared), "h", "left_semi").groupBy(*key, "size").agg(F.count(F.lit(1)).alias("hits"))
+    proposed = materialize(hits.where(F.col("hits") >= PROPOSED * F.col("size")).select(*key), "proposed")
+
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for repository, content_hash, text in batch.itertuples(index=False):
+                h = shingles(text, without_comments(text)).view(np.int64)
+                yield pd.DataFrame({"repository_id": repository, "content_hash": content_hash, "h": h, "size": len(h)})
+
+    texts = bodies.where("content is not null").select(*key, "content").join(broadcast_if_small(proposed), key, "left_semi").distinct()
+    every = materialize(texts.mapInPandas(runs, "repository_id string, content_hash string, h long, size int"), "runs")
+    elsewhere = materialize(every.groupBy("h").agg(F.min("repository_id").alias("low"), F.max("repository_id").alias("high")).where("low <> high").select("h"), "elsewhere")
+    known = every.join(broadcast_if_small(elsewhere), "h", "left_semi").groupBy(*key, "size").agg(F.count(F.lit(1)).alias("n"))
+    return known.where(F.col("n") >= FOREIGN * F.col("size")).select(*key)
+
+
+def foreign_style(judged: DataFrame) -> DataFrame:
+    """(id): bodies whose names are joined in another style than those of the rest of their repository in their language."""
+    own = F.col("camel") + F.col("snake")
+    whole = judged.groupBy("repository_id", "language").agg(F.sum("camel").alias("c"), F.sum("snake").alias("s"))
+    rest = F.col("c") + F.col("s") - own
+    apart = F.abs(F.col("camel") / own - (F.col("c") - F.col("camel")) / rest) >= STYLE
+    return judged.where(own >= STYLED).join(whole, ["repository_id", "language"]).where((rest >= STYLED_REST) & apart).select("id")
+
+
 def mangled(judged: DataFrame, counts: dict[str, dict[str, int]]) -> DataFrame:
     """The ids of (id, language, names) whose names have too high a cross-entropy."""
 
@@ -261,7 +331,7 @@ def mangled(judged: DataFrame, counts: dict[str, dict[str, int]]) -> DataFrame:
             bad = []
             for i, language, joined in batch.itertuples(index=False):
                 names = joined.split()
-                if language in models and len(names) >= 8:
+                if language in models and len(names) >= NAMES:
                     short = len(joined) + 1 <= 4 * len(names)
                     if models[language].excess(names) > (MANGLED if short else MANGLED_LONG):
                         bad.append(i)
@@ -275,36 +345,36 @@ def not_by_hand(units: DataFrame, bodies: DataFrame, materialize, broadcast_if_s
 
     units: (repository_id, commit_sha, path, language, content_hash), one row for each unit;
     bodies: (repository_id, content_hash, content). The two functions write a
-    table to shared storage and hint a broadcast for a counted small table.
-
-    Result: (repository_id, commit_sha, path, minified, generated, data, vendored).
-    Units without a fetched body, and null ids, are never a case; a body used
-    under several languages is judged under the first by name. Empty tables give
-    no rows.
+    table to shared storage and hint a broadcast for a written table of checked size.
+
+    Result: (repository_id, commit_sha, path, minified, generated, data, vendored),
+    of vendored which sign was seen: copied (wording), named (a leading comment)
+    and placed (a folder or file name of a package that some leading comment
+    names), and styled (names in a foreign style, which decides nothing). Which of two repositories wrote a
+    shared text first is not known: both are vendored. Units without a fetched
+    body, and null ids, are never a case; a body used under several languages is
+    judged under each. Files in :data:`NO_CODE` can be vendored only. Empty
+    tables give no rows.
     """
     key = ["repository_id", "content_hash"]
-    language = units.groupBy(*key).agg(F.min(F.coalesce("language", F.lit("unknown"))).alias("language"))
-    joined = bodies.where("content is not null").select(*key, "content").join(language, key)
+    units = units.withColumn("language", F.coalesce("language", F.lit("unknown")))
+    joined = bodies.where("content is not null").select(*key, "content").join(units.select(*key, "language").distinct(), key)
     judged = materialize(features(joined).withColumn("id", F.monotonically_increasing_id()), "judged")
     bad = mangled(judged, train(judged)).withColumn("mangled", F.lit(True))
+    styled = foreign_style(judged).withColumn("styled", F.lit(True))
+    same = copied(bodies, judged, materialize, broadcast_if_small).withColumn("copied", F.lit(True))
+    flags = ["mangled", "styled", "copied"]
+    known = judged.join(bad, "id", "left").join(styled, "id", "left").join(same, key, "left").na.fill(False, flags)
+    known = materialize(known.select(*key, "language", *flags, "templated", "data", "package"), "known")
 
-    # names in an order that stands in several repositories
-    marks = judged.select("id", F.xxhash64("repository_id").alias("r"), F.explode("sketch").alias("h"))
-    shared = materialize(marks.groupBy("h").agg(F.min("r").alias("low"), F.max("r").alias("high")).where("low <> high").select("h"), "shared")
-    hits = marks.join(broadcast_if_small(shared, shared.count()), "h", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("hits"))
-    known = judged.join(hits, "id", "left").join(bad, "id", "left").select(
-        *key, "language", F.coalesce("mangled", F.lit(False)).alias("mangled"), "templated", "data", "package", (F.coalesce("hits", F.lit(0)) >= FOREIGN * F.greatest(F.size("sketch"), F.lit(1))).alias("foreign")
-    )
-    known = materialize(known, "known")
-
-    packages = known.where("package is not null").select("package").distinct()
-    packages = broadcast_if_small(packages, packages.count())
+    packages = broadcast_if_small(materialize(known.where("package is not null").select("package").distinct(), "packages"))
     folder = F.lower(F.regexp_extract("path", rf"(?i)(?:^|/)(?:{VENDOR_FOLDERS})/(?:[^/]+/)*?(?=[^/]+/[^/]*$)([^/]+)/", 1))
     stem = F.lower(F.regexp_extract("path", r"(?:^|/)([A-Za-z][A-Za-z-]*?)[\d_.-]*\.[A-Za-z.]+$", 1))
     placed = units.select(*key, "commit_sha", "path", F.explode(F.array_distinct(F.array(folder, stem))).alias("package"))
     placed = placed.join(packages, "package", "left_semi").select("repository_id", "commit_sha", "path").distinct().withColumn("placed", F.lit(True))
 
-    out = units.join(known.drop("language"), key).join(placed, ["repository_id", "commit_sha", "path"], "left")
-    vendored = F.col("foreign") | F.col("package").isNotNull() | F.col("placed").isNotNull()
-    out = out.select("repository_id", "commit_sha", "path", F.col("mangled").alias("minified"), F.col("templated").alias("generated"), "data", vendored.alias("vendored"))
+    out = units.join(known, [*key, "language"]).join(placed, ["repository_id", "commit_sha", "path"], "left").na.fill(False, ["placed"])
+    out = out.withColumn("named", F.col("package").isNotNull())
+    vendored = F.col("copied") | F.col("named") | F.col("placed")
+    out = out.select("repository_id", "commit_sha", "path", F.col("mangled").alias("minified"), F.col("templated").alias("generated"), "data", vendored.alias("vendored"), "copied", "named", "placed", "styled")
     return out.where("minified or generated or data or vendored")

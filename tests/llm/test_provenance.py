@@ -29,6 +29,8 @@ def table(spark):
     letters = "abcdefghijklmnopqrstuvwxyz"
     body[("r3", "d.js")] = ";".join(f"function {rnd.choice(letters)}{i}({rnd.choice(letters)},{rnd.choice(letters)}){{return {rnd.choice(letters)}.{rnd.choice(WORDS)}({rnd.choice(letters)}||{i})}}" for i in range(60))
     body[("r3", "e.js")] = "export const table = [\n" + "\n".join(f"  [{rnd.randrange(999)}, {rnd.randrange(99999)}, {rnd.randrange(9)}]," for _ in range(80)) + "\n];\n"
+    body[("r3", "mixed.js")] = "export const rows = [\n" + "\n".join(f"  [{rnd.randrange(999)}, {rnd.randrange(99999)}, \"{rnd.choice(WORDS)}\", true]," for _ in range(40)) + "\n];\n"
+    body[("r0", "short.js")] = body[("r1", "lib/short.js")] = "// kept as is\nmodule.exports = require('./libby');\n"
     body[("r1", "vendor_portal/f.js")] = "const banner = '// Code generated by x. DO NOT EDIT.';\n" + hand(rnd)
     units = [(r, "c", p, "javascript", f"h{i}", "x") for i, (r, p) in enumerate(body)]
     files = [(r, f"h{i}", t) for i, ((r, p), t) in enumerate(body.items())]
@@ -54,6 +56,9 @@ def test_kinds(spark):
         "gen/c.js": {"generated"},
         "d.js": {"minified"},
         "e.js": {"data"},
+        "mixed.js": {"data"},
+        "short.js": {"vendored"},
+        "lib/short.js": {"vendored"},
     }
 
 
@@ -61,7 +66,28 @@ def test_empty(spark):
     assert run(spark, [], []) == {} and run(spark, table(spark)[0], []) == {}
 
 
+def test_sketch_only_proposes(spark):
+    """A body whose sketch lies in other repositories but whose runs do not is no copy; signs are reported apart."""
+    rnd = random.Random(5)
+    own = [hand(rnd, 12) for _ in range(3)]
+    mixed = "\n".join([own[0], own[1]])  # half of it stands elsewhere
+    rows = [("a", "1", own[0]), ("b", "2", own[0]), ("c", "3", mixed), ("d", "4", own[2])]
+    bodies = spark.createDataFrame(rows, "repository_id string, content_hash string, content string")
+    judged = provenance.features(bodies.selectExpr("*", "'javascript' as language"))
+    found = {r["repository_id"] for r in provenance.copied(bodies, materialize(judged), materialize, broadcast_if_small).collect()}
+    assert found == {"a", "b"}
+
+
+def test_style(spark):
+    rows = [(i, "r", "python", 0, 12) for i in range(30)] + [(99, "r", "python", 12, 0), (100, "s", "python", 12, 0)]
+    judged = spark.createDataFrame(rows, "id long, repository_id string, language string, camel int, snake int")
+    assert [r["id"] for r in provenance.foreign_style(judged).collect()] == [99]
+    assert provenance.style({"aB", "a_b", "AB_C", "plain"}) == (1, 1)
+
+
 def test_upstream_headers():
+    assert provenance.upstream("/*\n" + "licence text\n" * 200 + "*/\n// Copied verbatim from snowy 8.17.9. Keep in step\nx = 1") == "snowy"
+    assert provenance.upstream("x = 1\n// Copied verbatim from snowy 8.17.9.") is None
     assert provenance.upstream("// Copied verbatim from snowy 8.17.9. Keep in step") == "snowy"
     assert provenance.upstream("# grum 9.2.0 - https://grum.example/x") == "grum"
     assert provenance.upstream("// borrowed idea from the vendor manual, written from scratch here") is None
