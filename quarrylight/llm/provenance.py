@@ -18,8 +18,7 @@ identifiers is trained on all bodies; then, for each body,
 Banners and folder names alone decide nothing: writers of generators have them
 in their own code. The sketch of a body only proposes it as a copy; whether it
 is one is decided on all its runs. What is shuffled are trigram counts (bounded
-by the alphabet), sketches of a few numbers for each body, and all runs of the
-proposed bodies.
+by the alphabet), sixteen keys for each body, and all runs of the proposed bodies.
 """
 
 from __future__ import annotations
@@ -43,9 +42,10 @@ from pyspark.sql import functions as F
 #: data; fewest names whose cross-entropy is judged.
 MANGLED, MANGLED_LONG, DIVERSITY, ALIKE, DEFINED, LITERALS, NAMES = 3.0, 4.0, 0.78, 0.43, 5, 0.75, 8
 #: Parameters of wording: words of a run; words under which a body counts as one
-#: run; size of a sketch; share of a sketch that proposes a copy (at a true share
-#: of 0.8, 6 of 16 are missed with a chance of 2 in 100,000); share of all runs that makes one.
-SHINGLE, SHORT, SKETCH, PROPOSED, FOREIGN = 5, 12, 16, 0.375, 0.8
+#: run; bands of a sketch and least hashes in each (two bodies that share 0.8 of
+#: their runs have no band in common with a chance of 2 in 10,000, two that share
+#: 0.1 have one with a chance of 2 in 1,000); share of all runs that makes a copy.
+SHINGLE, SHORT, BANDS, BAND, FOREIGN = 5, 12, 16, 4, 0.8
 #: Parameters of style: names of two parts or more that a body, and the rest of its
 #: repository in that language, must have, and how far their shares must lie apart.
 STYLED, STYLED_REST, STYLE = 8, 200, 0.8
@@ -240,9 +240,21 @@ def shingles(text: str, plain: str) -> np.ndarray:
     return np.unique(out * np.uint64(0xBF58476D1CE4E5B9))
 
 
-def sketch(text: str, plain: str, size: int = SKETCH) -> list[int]:
-    """The smallest of :func:`shingles`; near copies share most of them."""
-    return shingles(text, plain)[:size].view(np.int64).tolist()
+_TURNS = np.random.default_rng(5).integers(0, 2**63, BANDS * BAND, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def sketch(text: str, plain: str) -> list[int]:
+    """Keys of the bands of least hashes of :func:`shingles`; near copies have one in common, others seldom."""
+    h = shingles(text, plain)
+    if not len(h):
+        return []
+    turned = h[None, :] * _TURNS[:, None]
+    least = (turned ^ (turned >> np.uint64(31))).min(1).reshape(BANDS, BAND)
+    out = np.arange(BANDS, dtype=np.uint64)
+    for k in range(BAND):
+        out = (out ^ least[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64).tolist()
 
 
 def upstream(text: str) -> str | None:
@@ -291,26 +303,30 @@ def features(bodies: DataFrame) -> DataFrame:
 def copied(bodies: DataFrame, judged: DataFrame, materialize, broadcast_if_small) -> DataFrame:
     """(repository_id, content_hash): bodies of which 0.8 or more of all runs of words stand in copies in other repositories.
 
-    A sketch proposes: so many of its hashes must stand in sketches of other
-    repositories. Then all runs of the proposed bodies are compared.
+    A sketch proposes: one of its bands must stand in another repository. Then
+    all runs of the proposed bodies are compared.
     """
     key = ["repository_id", "content_hash"]
-    marks = judged.select(*key, F.size("sketch").alias("size"), F.explode("sketch").alias("h")).distinct()
-    shared = materialize(marks.groupBy("h").agg(F.min("repository_id").alias("low"), F.max("repository_id").alias("high")).where("low <> high").select("h"), "shared")
-    hits = marks.join(broadcast_if_small(shared), "h", "left_semi").groupBy(*key, "size").agg(F.count(F.lit(1)).alias("hits"))
-    proposed = materialize(hits.where(F.col("hits") >= PROPOSED * F.col("size")).select(*key), "proposed")
+
+    def elsewhere(marks: DataFrame) -> DataFrame:
+        ends = marks.groupBy("h").agg(F.min("r").alias("low"), F.max("r").alias("high"))
+        return marks.join(broadcast_if_small(materialize(ends.where("low <> high").select("h"), "shared")), "h", "left_semi")
+
+    marks = judged.select("id", F.xxhash64("repository_id").alias("r"), F.explode("sketch").alias("h"))
+    proposed = judged.select("id", *key).join(elsewhere(marks).select("id").distinct(), "id", "left_semi").select(*key).distinct()
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for repository, content_hash, text in batch.itertuples(index=False):
-                h = shingles(text, without_comments(text)).view(np.int64)
-                yield pd.DataFrame({"repository_id": repository, "content_hash": content_hash, "h": h, "size": len(h)})
-
-    texts = bodies.where("content is not null").select(*key, "content").join(broadcast_if_small(proposed), key, "left_semi").distinct()
-    every = materialize(texts.mapInPandas(runs, "repository_id string, content_hash string, h long, size int"), "runs")
-    elsewhere = materialize(every.groupBy("h").agg(F.min("repository_id").alias("low"), F.max("repository_id").alias("high")).where("low <> high").select("h"), "elsewhere")
-    known = every.join(broadcast_if_small(elsewhere), "h", "left_semi").groupBy(*key, "size").agg(F.count(F.lit(1)).alias("n"))
-    return known.where(F.col("n") >= FOREIGN * F.col("size")).select(*key)
+            h = [shingles(t, without_comments(t)).view(np.int64) for t in batch["content"]]
+            yield pd.DataFrame({"repository_id": batch["repository_id"], "content_hash": batch["content_hash"], "runs": h})
+
+    proposed = materialize(proposed, "proposed")
+    texts = bodies.where("content is not null").select(*key, "content").join(broadcast_if_small(proposed), key, "left_semi").dropDuplicates(key)
+    every = texts.mapInPandas(runs, "repository_id string, content_hash string, runs array<long>").withColumn("id", F.monotonically_increasing_id())
+    every = materialize(every, "runs")
+    known = elsewhere(every.select("id", F.xxhash64("repository_id").alias("r"), F.explode("runs").alias("h")))
+    known = known.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return every.select("id", *key, F.size("runs").alias("size")).join(known, "id").where(F.col("n") >= FOREIGN * F.col("size")).select(*key)
 
 
 def foreign_style(judged: DataFrame) -> DataFrame:

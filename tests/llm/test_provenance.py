@@ -73,7 +73,7 @@ def test_sketch_only_proposes(spark):
     mixed = "\n".join([own[0], own[1]])  # half of it stands elsewhere
     rows = [("a", "1", own[0]), ("b", "2", own[0]), ("c", "3", mixed), ("d", "4", own[2])]
     bodies = spark.createDataFrame(rows, "repository_id string, content_hash string, content string")
-    judged = provenance.features(bodies.selectExpr("*", "'javascript' as language"))
+    judged = provenance.features(bodies.selectExpr("*", "'javascript' as language")).selectExpr("*", "monotonically_increasing_id() as id")
     found = {r["repository_id"] for r in provenance.copied(bodies, materialize(judged), materialize, broadcast_if_small).collect()}
     assert found == {"a", "b"}
 
