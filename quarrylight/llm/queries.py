@@ -96,7 +96,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The 10 most similar chunks of every usable vector under its model, however similar they are."""
-    near = neighbours.nearest(cached_vectors(spark, folder), materialize, k=10, summed=True)
+    near = neighbours.nearest(cached_vectors(spark, folder), materialize, k=10)
     return near.select(F.col("grp").alias("model_name"), F.col("id").alias("chunk_hash"), "neighbour", "similarity", "place")
 
 
