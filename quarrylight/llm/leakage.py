@@ -11,7 +11,8 @@ windowed over against it; a document with hits is verified word by word:
   the passages, must make up ``coverage`` of it.
 
 Words are runs of letters and digits without case; escapes, entities and tags
-are blanked first, keeping offsets, so found spans can be cut from the original.
+are blanked first, keeping offsets, so found spans can be cut from the original:
+:func:`remove_leaks` cuts all of them, or drops a document that is mostly leaked.
 One pass over the documents, no shuffle.
 """
 
@@ -36,8 +37,11 @@ _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>|<!--|-->")
 #: Parameters: words of an n-gram, hits that ask for verification, words of a
 #: run, share of a whole passage, share of passages that state an opening request.
 GRAM, HITS, RUN, COVERAGE, OPENING = 5, 3, 15, 0.7, 0.05
-#: Words that all passages together may have; they are held by every worker.
+#: Words that all passages together may have, checked before they are broadcast
+#: (about 30 bytes a word); every worker prepares its tables once.
 MOST_WORDS = 5_000_000
+#: Share of a document's words from which on it is dropped rather than cut.
+MOSTLY = 0.5
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -179,6 +183,40 @@ class Passages:
                 best, found = whole, (whole, i, i + n + self.gram - 1)
         return found
 
+    def runs(self, p: int, hits: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
+        """(start, end) of all runs of at least ``least`` whole words, as :meth:`longest_run` counts them."""
+        left, out = list(hits), []
+        while left:
+            n, a, b = self.longest_run(p, left)
+            if n < least:
+                break
+            out.append((a, b))
+            left = [(i, j) for i, j in left if i + self.gram <= a or i >= b]
+        return out
+
+    def tight(self, p: int, ids: np.ndarray, low: int, high: int) -> tuple[int, int]:
+        """The least part of the words low to high that holds the same aligned words of the passage."""
+        own, part = self.own[p], ids[low:high].tolist()
+        text = [self.vocabulary[w] for w in self.texts[p][own:]]
+        full = (1 << len(text)) - 1
+
+        def last(part: list[int], text: list[int]) -> int:
+            mask: dict[int, int] = defaultdict(int)
+            for i, w in enumerate(text):
+                mask[w] |= 1 << i
+            v, most, at = full, 0, -1
+            for k, w in enumerate(part):
+                u = v & mask.get(w, 0)
+                if u:
+                    v = ((v + u) | (v - u)) & full
+                    length = len(text) - v.bit_count()
+                    if length > most:
+                        most, at = length, k
+            return at
+
+        end = last(part, text)
+        return high - 1 - last(part[::-1], text[::-1]) if end >= 0 else low, low + end + 1
+
     def cover(self, p: int, ids: np.ndarray, hits: list[tuple[int, int]]) -> tuple[float, int, int]:
         """(share, start, end): the best alignment of the whole passage around its hits."""
         own, mask = self.own[p], self.masks[p]
@@ -203,6 +241,34 @@ class Passages:
         return best
 
 
+def _places(passages: Passages, ids: np.ndarray, hits: int, run: int, coverage: float) -> Iterator[tuple[int, int, float, list[tuple[int, int]]]]:
+    """(passage, words of the longest run, share, word spans) of every passage that stands in a document's words."""
+    for p, pairs in passages.hits(ids).items():
+        need = min(hits, len(passages.texts[p]) - passages.own[p] - passages.gram + 1)
+        if len(pairs) < need:
+            continue
+        n = passages.longest_run(p, pairs)[0]
+        if n >= run:
+            yield p, n, 0.0, passages.runs(p, pairs, run)
+            continue
+        share, a, b = passages.cover(p, ids, pairs)
+        if share >= coverage:
+            yield p, n, share, [passages.tight(p, ids, a, b)]
+
+
+def _shared(documents: DataFrame, passages: Passages):
+    """The passages as a broadcast, and a function that gives them prepared, once in each worker."""
+    held = documents.sparkSession.sparkContext.broadcast(passages)
+
+    def prepared() -> Passages:
+        own = held.value
+        if not hasattr(own, "table"):
+            own.prepare()
+        return own
+
+    return prepared
+
+
 def find_leaks(documents: DataFrame, passages: Passages, *, hits: int = HITS, run: int = RUN, coverage: float = COVERAGE, id_type: str = "bigint") -> DataFrame:
     """Every document that holds a passage or a run of one.
 
@@ -210,33 +276,71 @@ def find_leaks(documents: DataFrame, passages: Passages, *, hits: int = HITS, ru
     text has no leaks; rows that repeat give repeated results; no passages or no
     documents give none.
 
-    Result: (doc_id, task_id, run_words, coverage, start, end); start and end are
-    the characters of the run, or of the aligned place, in the original text.
+    Result: (doc_id, task_id, run_words, coverage, start, end), a row for each
+    span; start and end are the characters of a run, or of the aligned words, in
+    the original text.
     """
     schema = f"doc_id {id_type}, task_id string, run_words int, coverage double, start int, end int"
     names = ["doc_id", "task_id", "run_words", "coverage", "start", "end"]
+    prepared = _shared(documents, passages)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        passages.prepare()
-        known = passages.vocabulary.get
+        own = prepared()
+        known = own.vocabulary.get
         for batch in batches:
             rows = []
             for doc_id, text in batch.itertuples(index=False):
                 ids = np.array([known(w, 0) for w in words(text)], np.int64)
                 offsets = None
-                for p, pairs in passages.hits(ids).items():
-                    need = min(hits, len(passages.texts[p]) - passages.own[p] - passages.gram + 1)
-                    if len(pairs) < need:
-                        continue
-                    n, a, b = passages.longest_run(p, pairs)
-                    share = 0.0
-                    if n < run:
-                        share, a, b = passages.cover(p, ids, pairs)
-                        if share < coverage:
-                            continue
+                for p, n, share, spans in _places(own, ids, hits, run, coverage):
                     if offsets is None:
                         offsets = [m.span() for m in WORD.finditer(blanked(text))]
-                    rows.append((doc_id, passages.ids[p], n, share, offsets[a][0], offsets[b - 1][1]))
+                    rows += [(doc_id, own.ids[p], n, share, offsets[a][0], offsets[b - 1][1]) for a, b in spans]
             yield pd.DataFrame(rows, columns=names)
 
     return documents.select("doc_id", "text").where("text is not null").mapInPandas(search, schema)
+
+
+def remove_leaks(documents: DataFrame, passages: Passages, *, hits: int = HITS, run: int = RUN, coverage: float = COVERAGE, mostly: float = MOSTLY, id_type: str = "bigint") -> DataFrame:
+    """(doc_id, text, tasks, removed): every document without the passages that leaked into it.
+
+    Found spans are cut and the rest is searched again, until none is left. A
+    document of whose words ``mostly`` or more are cut is dropped: its text is
+    null and removed is its whole length. tasks lists the passages in order,
+    empty for a clean document, whose text stays as it is; removed counts
+    characters. A null text stays null; repeated rows are treated alike.
+    """
+    prepared = _shared(documents, passages)
+
+    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = prepared()
+        known = own.vocabulary.get
+        for batch in batches:
+            rows = []
+            for doc_id, text in batch.itertuples(index=False):
+                tasks: set[str] = set()
+                now, total, gone = text, None, 0
+                while now is not None:
+                    ids = np.array([known(w, 0) for w in words(now)], np.int64)
+                    total = len(ids) if total is None else total
+                    found = list(_places(own, ids, hits, run, coverage))
+                    if not found:
+                        break
+                    tasks |= {own.ids[p] for p, *_ in found}
+                    offsets = [m.span() for m in WORD.finditer(blanked(now))]
+                    cut = np.zeros(len(ids), bool)
+                    parts, at = [], 0
+                    for a, b in sorted(span for *_, spans in found for span in spans):
+                        cut[a:b] = True
+                        low, high = offsets[a][0], offsets[b - 1][1]
+                        if high > at:
+                            parts.append(now[at : max(at, low)])
+                            at = high
+                    gone += int(cut.sum())
+                    now = "".join([*parts, now[at:]])
+                if tasks and gone >= mostly * total:
+                    now = None
+                rows.append((doc_id, now, sorted(tasks), 0 if text is None else len(text) - len(now or "")))
+            yield pd.DataFrame(rows, columns=["doc_id", "text", "tasks", "removed"])
+
+    return documents.select("doc_id", "text").mapInPandas(clean, f"doc_id {id_type}, text string, tasks array<string>, removed int")

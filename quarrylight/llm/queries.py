@@ -126,14 +126,19 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     return total.join(capacity, "model_name").withColumn("used", F.col("tokens") / (F.col("containers") * F.col("window_tokens")))
 
 
-def leaks(spark: SparkSession, folder: str) -> DataFrame:
+def passages(spark: SparkSession, folder: str) -> leakage.Passages:
     tasks = small_table(table(spark, folder, "impact_tasks").select("task_id", "change_description"))
-    return leakage.find_leaks(table(spark, folder, "documents"), leakage.Passages.build([tuple(r) for r in tasks]))
+    return leakage.Passages.build([tuple(r) for r in tasks])
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold a passage of an evaluation task, with the task."""
-    return leaks(spark, folder).select("doc_id", "task_id").distinct()
+    return leakage.find_leaks(table(spark, folder, "documents"), passages(spark, folder)).select("doc_id", "task_id").distinct()
+
+
+def p8_cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the passages that leaked into it."""
+    return leakage.remove_leaks(table(spark, folder, "documents"), passages(spark, folder))
 
 
 def name_model(spark: SparkSession, folder: str) -> personal.NameModel:
@@ -159,7 +164,7 @@ def p9_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return personal.redact(table(spark, folder, "documents"), name_model(spark, folder), b"set your own key")
 
 
-QUERIES = {"p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_kinds": p5_kinds, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p9_found": p9_found, "p9_redacted": p9_redacted}
+QUERIES = {"p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_kinds": p5_kinds, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_cleaned": p8_cleaned, "p9_found": p9_found, "p9_redacted": p9_redacted}
 
 ORACLES = {
     "p3_found": """select distinct m.model_name, s.repository_id, s.content_hash from source_files s

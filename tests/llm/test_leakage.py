@@ -62,3 +62,31 @@ def test_blanking_keeps_offsets():
     for s in ("a\\nb", "x &amp; y", "<i>z</i> q", "gr\\u00fcn", "plain", "&eacute;t"):
         assert len(leakage.blanked(s)) == len(s)
     assert leakage.words("gr\\u00fcn &eacute;t <i>Z</i>") == ["grün", "ét", "z"]
+
+
+def test_removal_cuts_exactly_and_leaves_nothing(spark):
+    t = dict(passages())
+    w = t["t3"].split(": ")[1].split()
+    edited = " ".join(x for i, x in enumerate(w) if i % 9 != 4)
+    long = " ".join(f"word{i}" for i in range(300))
+    docs = [
+        (1, f"{long} BEFORE {t['t1'].split(': ')[1]} AFTER {long}", "x"),
+        (2, f"{long}\n{t['t2']}\n{long}\n{t['t2']}\n", "x"),
+        (3, f"{long}. {edited}. {long}", "x"),
+        (4, t["t4"], "x"),
+        (5, long, "x"),
+        (6, None, "x"),
+        (7, "", "x"),
+    ]
+    p = leakage.Passages.build(passages())
+    df = spark.createDataFrame(docs, "doc_id long, text string, task_id string")
+    cleaned = leakage.remove_leaks(df, p)
+    out = {r.doc_id: r for r in cleaned.collect()}
+    assert out[1].text == f"{long} BEFORE  AFTER {long}" and out[1].tasks == ["t1"]
+    assert out[2].text.startswith(long) and out[2].text.count(long) == 2 and w[0] not in out[2].text.split("word")[-1]
+    assert out[3].text == f"{long}. . {long}" and out[3].tasks == ["t3"]
+    assert out[4].text is None and out[4].removed == len(t["t4"]) and out[4].tasks == ["t4"]
+    assert out[5].text == long and out[5].tasks == [] and out[5].removed == 0
+    assert out[6].text is None and out[6].removed == 0 and out[7].text == ""
+    assert leakage.find_leaks(cleaned, p).count() == 0
+    assert leakage.remove_leaks(df, leakage.Passages.build([])).where("size(tasks) > 0").count() == 0
