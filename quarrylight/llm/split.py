@@ -1,13 +1,14 @@
 """Splitting oversized items at natural boundaries, with overlap.
 
 Separators form a hierarchy: section, paragraph, sentence or line, word, single
-character. A piece is packed as full as the limit allows and ends at the last
-boundary of the highest level found in its later half, else of that level
-anywhere in it; the level below is tried where there is none. Each further piece
-begins with the last ``overlap`` characters of the one before.
-
-The work of an item is linear in its length: every window searches boundaries
-only inside itself. Items are independent, so the plan has no shuffle.
+character. An item over the limit is parted at its highest separators, each part
+that is still too long at the next ones, and so on; then neighbouring parts are
+packed greedily into pieces up to the limit. Each further piece begins with the
+last ``overlap`` characters of the one before, so its new part is that much
+shorter.
+
+A character is looked at once for each level at most, so the work is linear in
+an item's length. Items are independent, so the plan has no shuffle.
 """
 
 from __future__ import annotations
@@ -51,48 +52,71 @@ class SplitRule:
         return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def _last_boundary(text: str, level: re.Pattern, low: int, high: int) -> int:
-    """End of the last separator of ``level`` that ends in (low, high], or -1."""
-    best = -1
-    for m in level.finditer(text, low, high):
-        if m.end() > low:
-            best = m.end()
-    return best
+def _parts(text: str, start: int, end: int, level: int, most: int) -> Iterator[tuple[int, int]]:
+    """(end, level) of the parts of a stretch, none longer than ``most``; the level of the separator that ends it."""
+    if end - start <= most:
+        yield end, level
+        return
+    if level == len(LEVELS):
+        at = start
+        while end - at > most:
+            cut = at + most
+            # a character that combines with the one before is not parted from it, nor a line feed from its carriage return
+            while cut > at + 1 and (unicodedata.combining(text[cut]) or text[cut - 1 : cut + 1] == "\r\n"):
+                cut -= 1
+            at = cut if cut > at + 1 or most == 1 else at + most
+            yield at, level
+        yield end, level
+        return
+    at = start
+    for m in LEVELS[level].finditer(text, start, end):
+        if at < m.end() < end:
+            yield from _ended(_parts(text, at, m.end(), level + 1, most), level)
+            at = m.end()
+    yield from _parts(text, at, end, level + 1, most)
+
+
+def _ended(parts: Iterator[tuple[int, int]], level: int) -> Iterator[tuple[int, int]]:
+    """The parts, the last of them ending at a separator of ``level``."""
+    before = None
+    for part in parts:
+        if before:
+            yield before
+        before = part
+    yield before[0], level
 
 
 def cut_points(text: str, max_chars: int, overlap: int) -> list[int]:
     """Where the pieces end. One point, the length, for an item within the limit.
 
-    Piece i is ``text[cut[i - 1] - overlap : cut[i]]``. A character that combines
-    with the one before is not parted from it, nor is a line feed from its
-    carriage return, unless the limit leaves no other place.
+    Piece i is ``text[cut[i - 1] - overlap : cut[i]]``. Parts are packed while
+    they fit. A full piece ends at the highest separator in the later half of
+    its new part, what follows it goes to the next piece; the first piece is
+    longer than ``overlap``, so that it has as much to repeat.
     """
-    size, cuts, done = len(text), [], 0
-    while True:
-        limit = (max_chars - overlap if done else max_chars) + done
-        if limit >= size:
-            cuts.append(size)
-            return cuts
-        # the new part of a piece must exceed the overlap's share, else little progress is made
-        middle = max(done + (limit - done) // 2, min(overlap, limit - 1))
-        at = -1
-        for level in LEVELS:
-            at = _last_boundary(text, level, middle, limit)
-            if at > 0:
-                break
-        if at < 0:
-            for level in LEVELS:
-                at = _last_boundary(text, level, max(done, min(overlap, middle)), middle)
-                if at > 0:
-                    break
-        if at < 0:
-            at = limit
-            while at > done + 1 and (unicodedata.combining(text[at]) or text[at - 1 : at + 1] == "\r\n"):
-                at -= 1
-            if at <= min(overlap, limit - 1):
-                at = limit
-        cuts.append(at)
-        done = at
+    size = len(text)
+    if size <= max_chars:
+        return [size]
+    room = max_chars - overlap  # of the new part of a further piece
+    cuts: list[int] = []
+    done, ends = 0, []  # of the piece being packed: its start, the ends of its parts
+
+    def limit() -> int:
+        return done + (room if cuts else max_chars)
+
+    for end, level in _parts(text, 0, size, 0, room):
+        while end > limit():
+            middle = done + (limit() - done) // 2 if cuts else max(max_chars // 2, overlap)
+            late = [e for e in ends if e[0] > middle] or [e for e in ends if cuts or e[0] > overlap]
+            if late:
+                at = min(late, key=lambda e: (e[1], -e[0]))[0]
+            else:
+                at = limit()  # the first piece has no end beyond the overlap
+            cuts.append(at)
+            done, ends = at, [e for e in ends if e[0] > at]
+        ends.append((end, level))
+    cuts.append(size)
+    return cuts
 
 
 def split_text(text: str, max_chars: int, overlap: int) -> list[tuple[int, int]]:
