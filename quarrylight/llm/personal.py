@@ -8,25 +8,50 @@ committer names) against ordinary words.
 Replacement is keyed and consistent with the type: letters and digits of an
 entity are permuted by a keyed Feistel network that keeps length, case and
 separators, so equal entities stay equal wherever they stand, different ones of
-one shape stay different, and formats stay valid; names get surrogate names of
-the same case, order and (by title or ending) gender, with a collision check
-inside each document. Every surrogate stands in a placeholder that names its type.
+one shape stay different, and formats stay valid. Words of names and streets
+are permuted likewise and then spelled in syllables of their own script, one to
+one, so different names stay different in the whole corpus; an initial becomes
+the first letter of whatever replaces the names that begin with it, and given
+names end by gender (title or ending). Every surrogate stands in a placeholder
+that names its type.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Labelled names and ordinary words that the trigram score is fitted to, at most,
+#: and words of names that workers hold as a list; more are joined to the documents.
+MOST_NAMES, MOST_WORDS, MOST_HELD = 50_000, 50_000, 500_000
+
+class Taken:
+    """Spans without overlap, in order."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.spans: list[tuple[int, int]] = []
+
+    def free(self, a: int, b: int) -> bool:
+        k = bisect.bisect_left(self.starts, b)
+        return not k or self.spans[k - 1][1] <= a
+
+    def add(self, a: int, b: int) -> None:
+        k = bisect.bisect_left(self.starts, a)
+        self.starts.insert(k, a)
+        self.spans.insert(k, (a, b))
 
-#: Distinct labelled names and ordinary words that the name model is fitted to, at most.
-MOST_NAMES, MOST_WORDS = 50_000, 50_000
 
 # ---------------------------------------------------------------- emails
 
@@ -96,7 +121,7 @@ _DNI = re.compile(r"(?<![\w.+-])(?:\d{8}|\d{2}\.\d{3}\.\d{3})[ -]?[A-HJ-NP-TV-Z]
 _COMPACT = re.compile(r"(?<![\w./+-])(?=[A-Z0-9]{0,14}\d)[A-Z]{1,3}[0-9A-Z]{6,14}(?![\w-])|(?<![\w./+-])(?=[A-Z0-9]{0,14}[A-Z])\d[0-9A-Z]{6,14}(?![\w-])")
 
 
-_RUN = re.compile(r"\d[\d ().\-/\n]{4,}\d|\d{4}[-. ]?[A-Z]|[A-Z0-9]{7,15}")
+_RUN = re.compile(r"\d[\d \xa0().\-/\n]{4,}\d|\d{4}[-. ]?[A-Z]|[A-Z0-9]{7,15}")
 
 
 def _phone_like(s: str, before: str) -> bool:
@@ -124,10 +149,7 @@ def _phone_like(s: str, before: str) -> bool:
 def numbers(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """(phones, identity numbers) as spans."""
     ids: list[tuple[int, int]] = []
-    taken: list[tuple[int, int]] = []
-
-    def free(a: int, b: int) -> bool:
-        return all(b <= x or a >= y for x, y in taken)
+    taken = Taken()
 
     def labelled(a: int) -> bool:
         return bool(_ID_WORD.search(text[max(0, a - 40) : a]))
@@ -146,13 +168,13 @@ def numbers(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     for pattern, needs_label in ((_SSN, False), (_NIR, True), (_STEUER, True), (_DNI, True), (_COMPACT, True)):
         for m in (m for a, b in near for m in pattern.finditer(text, a, b)):
             a, b = m.span()
-            if (labelled(a) or not (needs_label or other(a))) and free(a, b):
+            if (labelled(a) or not (needs_label or other(a))) and taken.free(a, b):
                 ids.append((a, b))
-                taken.append((a, b))
+                taken.add(a, b)
     phones: list[tuple[int, int]] = []
     for m in (m for a, b in near for m in _NUMBER.finditer(text, a, b)):
         a, b = m.span()
-        if not free(a, b):
+        if not taken.free(a, b):
             continue
         s, before = m.group(), text[max(0, a - 40) : a]
         digits = sum(c.isdigit() for c in s)
@@ -162,7 +184,7 @@ def numbers(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
             phones.append((a, b))
         else:
             continue
-        taken.append((a, b))
+        taken.add(a, b)
     return phones, ids
 
 
@@ -207,37 +229,52 @@ def addresses(text: str) -> list[tuple[int, int]]:
 
 # ---------------------------------------------------------------- names
 
-_TOKEN = re.compile(r"(?<![\w@])[A-ZÀ-ÖØ-Þ](?:['’][A-ZÀ-ÖØ-Þ])?(?:[a-zß-öø-ÿ]+|[A-ZÀ-ÖØ-Þß]+)(?:-[A-ZÀ-ÖØ-Þ](?:[a-zß-öø-ÿ]+|[A-ZÀ-ÖØ-Þß]+))*(?!\w)")
-_GAP = re.compile(r" (?:[A-ZÀ-ÖØ-Þ]\.? ){0,2}(?:(?:van|von|de|der|den|da|del|di|la|le|y) ){0,2}")
-_INITIAL = re.compile(r"(?<![\w.])(?:[A-ZÀ-ÖØ-Þ]\.[ -]?){1,2}$")
-_AFTER = re.compile(r"(?: [A-ZÀ-ÖØ-Þ]\.){1,2}(?!\w)")
+#: Capital and small letters of Latin, Greek and Cyrillic; other scripts have none.
+_UP, _LOW = "A-ZÀ-ÖØ-ÞĀ-ĿΑ-ΫА-ЯЁ", "a-zß-öø-ÿā-ſά-ώа-яё"
+_TOKEN = re.compile(rf"(?<![\w@])[{_UP}](?:['’][{_UP}])?(?:[{_LOW}]+|[{_UP}ß]+)(?:-[{_UP}](?:[{_LOW}]+|[{_UP}ß]+))*(?!\w)")
+_GAP = re.compile(rf" (?:[{_UP}]\.? ){{0,2}}(?:(?:van|von|de|der|den|da|del|di|la|le|y) ){{0,2}}")
+_INITIAL = re.compile(rf"(?<![\w.])(?:[{_UP}]\.[ -]?){{1,2}}$")
+_AFTER = re.compile(rf"(?: [{_UP}]\.){{1,2}}(?!\w)")
 #: fixed values: titles, which are not part of a name and tell gender
 _HE = {"mr", "herr", "sr", "señor", "monsieur", "don"}
 _SHE = {"mrs", "ms", "miss", "mme", "mlle", "frau", "sra", "srta", "señora", "madame", "doña"}
 _TITLES = _HE | _SHE | {"dr", "prof", "dra", "ing", "sir", "madam"}
 
 
+def name_words(full: str) -> tuple[str, str] | None:
+    """The given and the family name of a labelled full name, without case; None if it has no two."""
+    parts = [p for p in full.split() if not re.fullmatch(r"\w\.?", p)]
+    if len(parts) >= 2 and all(p[0].isupper() and not any(c.isdigit() for c in p) for p in parts):
+        return parts[0].casefold(), parts[-1].casefold()
+    return None
+
+
 class NameModel:
     """Given names, family names and a character-trigram score of being a name.
 
-    Fitted to labelled full names ("Given Family") against ordinary words. A
-    token unknown to both lists is name-like if the mean log odds of its
-    trigrams under the two kinds of words exceed 0.
+    Fitted to labelled full names ("Given Family") against ordinary words, of
+    each at most :data:`MOST_NAMES` and :data:`MOST_WORDS`. A token unknown to
+    both lists is name-like if the mean log odds of its trigrams under the two
+    kinds of words exceed 0. ``given`` and ``family`` are the lists of all known
+    names; without them, those of the fitted ones.
     """
 
-    def __init__(self, names: Iterable[str], words: Iterable[str]) -> None:
-        self.given: set[str] = set()
-        self.family: set[str] = set()
-        for full in sorted(set(filter(None, names)))[:MOST_NAMES]:
-            parts = [p for p in full.split() if not re.fullmatch(r"\w\.?", p)]
-            if len(parts) >= 2 and all(p[0].isupper() and not any(c.isdigit() for c in p) for p in parts):
-                self.given.add(parts[0].casefold())
-                self.family.add(parts[-1].casefold())
-        ordinary = {w.casefold() for w in sorted(set(filter(None, words)))[:MOST_WORDS]} - self.given - self.family
+    def __init__(self, names: Iterable[str], words: Iterable[str], given: Iterable[str] | None = None, family: Iterable[str] | None = None) -> None:
+        pairs = [p for p in map(name_words, sorted(set(filter(None, names)))[:MOST_NAMES]) if p]
+        fitted = {p[0] for p in pairs} | {p[1] for p in pairs}
+        self.given = set(given) if given is not None else {p[0] for p in pairs}
+        self.family = set(family) if family is not None else {p[1] for p in pairs}
+        ordinary = {w.casefold() for w in sorted(set(filter(None, words)))[:MOST_WORDS]} - fitted
         self.words = ordinary
-        self._name, self._word = self._grams(self.given | self.family), self._grams(ordinary)
+        self._name, self._word = self._grams(fitted), self._grams(ordinary)
         self._cache: dict[str, float] = {}
 
+    def knowing(self, given: Iterable[str], family: Iterable[str]) -> NameModel:
+        """The same score with other lists of known names."""
+        out = object.__new__(NameModel)
+        out.__dict__.update(self.__dict__, given=set(given), family=set(family))
+        return out
+
     @staticmethod
     def _grams(tokens: set[str]) -> tuple[Counter, float]:
         c = Counter(f"^{t}$"[i : i + 3] for t in tokens for i in range(len(t)))
@@ -313,7 +350,7 @@ def names(text: str, model: NameModel, taken: list[tuple[int, int]]) -> list[tup
             if m and model.alone(word):
                 out.append((a - len(m.group()), b))
             elif low in model.family:
-                m = re.match(r", (?:[A-ZÀ-ÖØ-Þ]\.)(?: ?[A-ZÀ-ÖØ-Þ]\.)?(?!\w)", text[b : b + 10])
+                m = re.match(rf", (?:[{_UP}]\.)(?: ?[{_UP}]\.)?(?!\w)", text[b : b + 10])
                 if m:
                     out.append((a, b + m.end()))
         i += 1
@@ -325,13 +362,16 @@ def names(text: str, model: NameModel, taken: list[tuple[int, int]]) -> list[tup
 
 def find(text: str, model: NameModel) -> list[tuple[int, int, str]]:
     """(start, end, type) of all entities, in order and without overlap."""
-    found: list[tuple[int, int, str]] = [(a, b, "email") for a, b in emails(text)]
+    found: list[tuple[int, int, str]] = []
+    taken = Taken()
 
     def add(spans: list[tuple[int, int]], kind: str) -> None:
         for a, b in sorted(spans, key=lambda s: (s[0], -s[1])):
-            if all(b <= x or a >= y for x, y, _ in found):
+            if taken.free(a, b):
                 found.append((a, b, kind))
+                taken.add(a, b)
 
+    add(emails(text), "email")
     phones, ids = numbers(text)
     add(ids, "id_number")
     add(phones, "phone")
@@ -340,28 +380,67 @@ def find(text: str, model: NameModel) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
-def find_personal(documents: DataFrame, model: NameModel, id_type: str = "bigint") -> DataFrame:
+@dataclass
+class KnownNames:
+    """A fitted score, and all known names: held, or as a table (word, given, family) that is too long to hold."""
+
+    model: NameModel
+    words: DataFrame | None = None
+
+    def rows(self, documents: DataFrame) -> DataFrame:
+        """(doc_id, text, given, family): documents with the known names among their words, null where the model holds all."""
+        docs = documents.select("doc_id", "text")
+        none = F.lit(None).cast("array<string>")
+        if self.words is None:
+            return docs.select("doc_id", "text", none.alias("given"), none.alias("family"))
+        # equal texts share one key, so that copies are split once; a lower-cased token is what find() looks up
+        docs = docs.withColumn("t", F.xxhash64("text")).withColumn("u", F.xxhash64(F.lit(1), "text"))
+        tokens = docs.where("text is not null").dropDuplicates(["t", "u"]).select("t", "u", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"[\p{L}'’-]{2,}"), 0), casefolded))).alias("word"))
+        hits = tokens.join(self.words, "word")
+        own = hits.groupBy("t", "u").agg(F.collect_list(F.when(F.col("given"), F.col("word"))).alias("given"), F.collect_list(F.when(F.col("family"), F.col("word"))).alias("family"))
+        own = docs.join(own, ["t", "u"], "left")
+        return own.select("doc_id", "text", F.coalesce("given", F.array().cast("array<string>")).alias("given"), F.coalesce("family", F.array().cast("array<string>")).alias("family"))
+
+    def of(self, given, family) -> NameModel:
+        return self.model if given is None else self.model.knowing(given, family)
+
+
+def casefolded(word: "F.Column") -> "F.Column":
+    """As str.casefold for letters of Latin, Greek and Cyrillic names."""
+    return F.regexp_replace(F.regexp_replace(F.lower(word), "ß", "ss"), "ς", "σ")
+
+
+def find_personal(documents: DataFrame, model: NameModel | KnownNames, id_type: str = "bigint") -> DataFrame:
     """(doc_id, pii_type, pii_value, start, end) of every entity in every text.
 
     documents: (doc_id, text); further columns are not read. Null, empty and
     blank texts give no rows; repeated rows give repeated results.
     """
     cols = ["doc_id", "pii_type", "pii_value", "start", "end"]
+    known = model if isinstance(model, KnownNames) else KnownNames(model)
+    own = KnownNames(known.model)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([(d, kind, t[a:b], a, b) for d, t in batch.itertuples(index=False) for a, b, kind in find(t, model)], columns=cols)
+            yield pd.DataFrame([(d, kind, t[a:b], a, b) for d, t, g, f in batch.itertuples(index=False) for a, b, kind in find(t, own.of(g, f))], columns=cols)
+
+    return known.rows(documents.where("text is not null")).mapInPandas(search, f"doc_id {id_type}, pii_type string, pii_value string, start int, end int")
 
-    return documents.select("doc_id", "text").where("text is not null").mapInPandas(search, f"doc_id {id_type}, pii_type string, pii_value string, start int, end int")
+
+#: Scripts whose names are spelled in syllables: their letters, vowels and consonants.
+_SCRIPTS = [
+    ("abcdefghijklmnopqrstuvwxyz", "aeiouy", "bcdfghjklmnpqrstvwxz"),
+    ("абвгдежзийклмнопрстуфхцчшщъыьэюя", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ"),
+    ("αβγδεζηθικλμνξοπρστυφχψω", "αεηιουω", "βγδζθκλμνξπρστφχψ"),
+]
 
 
 class Surrogates:
     """Keyed replacements that keep shape, case and separators."""
 
-    _VOWELS, _CONSONANTS = "aeiou", "bdfgklmnprstvz"
-
     def __init__(self, key: bytes) -> None:
         self.key = key
+        self._done: dict[tuple[str, str, str], str] = {}
 
     def _number(self, *parts: object) -> int:
         return int.from_bytes(hmac.new(self.key, repr(parts).encode("utf-8", "surrogatepass"), hashlib.sha256).digest()[:16], "big")
@@ -395,17 +474,53 @@ class Surrogates:
             out[i] = c
         return "".join(out)
 
-    def word(self, value: str, tag: str, salt: int = 0) -> str:
-        """A pronounceable word for a name, equal for equal names without case, in the case pattern given."""
-        f = self._number(tag, value.casefold(), salt)
-        out = []
-        for i in range(max(4, min(len(value), 12))):
-            letters = self._VOWELS if i % 2 else self._CONSONANTS
-            f, k = divmod(f, len(letters))
-            out.append(letters[k])
-        s = "".join(out)
+    def word(self, value: str, tag: str, ending: str = "") -> str:
+        """:meth:`spelled`, remembered: names return often."""
+        at = (value, tag, ending)
+        if at not in self._done:
+            if len(self._done) > 100_000:
+                self._done.clear()
+            self._done[at] = self.spelled(*at)
+        return self._done[at]
+
+    def spelled(self, value: str, tag: str, ending: str = "") -> str:
+        """A pronounceable word for a name, one to one for each tag and ending, in the case pattern given.
+
+        The first letter of the result depends on the first letter of the value
+        alone. Letters are permuted in their script and spelled in syllables (two
+        letters in three, a last one in two); marks stay on their letters. Letters
+        of scripts without such syllables are permuted among their neighbours.
+        """
+        base, marks = [], {}
+        for c in unicodedata.normalize("NFD", value.casefold()):
+            if unicodedata.combining(c) and base:
+                marks[len(base) - 1] = marks.get(len(base) - 1, "") + c
+            else:
+                base.append(c)
+        script = next((x for x in _SCRIPTS if all(c in x[0] for c in base)), None)
+        if not script:
+            return "".join(self._apart(c, tag) for c in value)
+        letters, vowels, consonants = script
+        first = self.permute(base[0], letters, "first")
+        rest = self.permute("".join(base[1:]), letters, f"{tag}{len(letters)}-{len(base) - 1}") if len(base) > 1 else ""
+        out = [first + marks.get(0, "")]
+        v, c = len(vowels), len(consonants)
+        for i in range(0, len(rest), 2):
+            two = rest[i : i + 2]
+            x = letters.index(two[0]) * (len(letters) if len(two) == 2 else 1) + (letters.index(two[1]) if len(two) == 2 else 0)
+            out.append(vowels[x % v] + marks.get(i + 1, "") + consonants[x // v % c])
+            if len(two) == 2:
+                out.append(vowels[x // v // c] + marks.get(i + 2, ""))
+        s = unicodedata.normalize("NFC", "".join(out) + ending)
         return s.upper() if value.isupper() and len(value) > 1 else s.capitalize() if value[:1].isupper() else s
 
+    def _apart(self, c: str, tag: str) -> str:
+        """A letter of another script, permuted among the letters of its block of 256."""
+        if not c.isalpha():
+            return c
+        block = [chr(x) for x in range(ord(c) & ~255, (ord(c) | 255) + 1) if unicodedata.category(chr(x)) == unicodedata.category(c)]
+        return self.permute(c, "".join(block), f"{tag}{block[0]}")
+
     def letters(self, value: str) -> str:
         """Letters and digits of a value permuted run by run, case by case."""
 
@@ -428,15 +543,15 @@ class Surrogates:
         keep = sum(c.isdigit() for c in m.group()) if m else int(bool(re.match(r"\(?0", value)))
         return self.digits(value, keep)
 
-    def name(self, value: str, female: bool | None, salt: int) -> str:
+    def name(self, value: str, female: bool | None) -> str:
+        given = 0 if "," not in value else value.find(",") + 2
+
         def part(m: re.Match) -> str:
             s = m.group()
             if len(s) == 1:
-                return self.word(s * 4, "initial")[0].upper()
-            new = self.word(s, "name", salt)
-            if female is not None and m.start() == (0 if "," not in value else value.find(",") + 2):
-                new = new[:-1] + (("a" if female else "o") if not new.isupper() else ("A" if female else "O"))
-            return new
+                return self.word(s, "initial")
+            ending = "" if female is None or m.start() != given or len(s) < 3 or not s.isascii() else "a" if female else "o"
+            return self.word(s, "given" if m.start() == given else "name", ending)
 
         return re.sub(r"[^\W\d_]+", part, value)
 
@@ -452,21 +567,22 @@ class Surrogates:
         return self.digits(re.sub(r"[^\W\d_]+", part, value))
 
     def replace(self, text: str, found: list[tuple[int, int, str]]) -> str:
-        """``text`` with each entity replaced by ``[type surrogate]``; all else is kept."""
-        given: dict[str, str] = {}  # surrogate -> canonical entity of this document
+        """``text`` with each entity replaced by ``[type surrogate]``; all else is kept.
+
+        A given name has one gender in a document: that of a title before it
+        somewhere, else that of its ending.
+        """
+        title: dict[str, bool] = {}
+        for a, b, kind in found:
+            if kind == "name" and (m := re.search(r"(\w+)\.? $", text[max(0, a - 10) : a])) and (t := m.group(1).casefold()) in _HE | _SHE:
+                title.setdefault(_given(text[a:b]), t in _SHE)
         out, last = [], 0
         for a, b, kind in found:
             value = text[a:b]
             if kind == "name":
-                title = re.search(r"(\w+)\.? $", text[max(0, a - 10) : a])
-                t = title.group(1).casefold() if title else ""
-                first = value.split(", ")[-1].split()[0].casefold()
-                female = True if t in _SHE else False if t in _HE else first.endswith(("a", "e", "ie", "y")) if len(first) > 2 else None
-                canonical, salt = " ".join(sorted(re.findall(r"[^\W\d_]{2,}", value.casefold()))), 0
-                new = self.name(value, female, salt)
-                while given.setdefault(new.casefold(), canonical) != canonical:
-                    salt += 1
-                    new = self.name(value, female, salt)
+                first = _given(value)
+                female = title.get(first, first.endswith(("a", "e", "ie", "y")) if len(first) > 2 else None)
+                new = self.name(value, female)
             else:
                 new = {"email": self.email, "phone": self.phone, "id_number": self.letters, "address": self.address}[kind](value)
             out += [text[last:a], f"[{kind} {new}]"]
@@ -474,16 +590,23 @@ class Surrogates:
         return "".join([*out, text[last:]])
 
 
-def redact(documents: DataFrame, model: NameModel, key: bytes, id_type: str = "bigint") -> DataFrame:
+def _given(value: str) -> str:
+    """The given name or initial of a name, in either order, without case."""
+    return value.split(", ")[-1].split()[0].casefold()
+
+
+def redact(documents: DataFrame, model: NameModel | KnownNames, key: bytes, id_type: str = "bigint") -> DataFrame:
     """(doc_id, text, entities): every text with its entities replaced; a null text stays null."""
     surrogates = Surrogates(key)
+    known = model if isinstance(model, KnownNames) else KnownNames(model)
+    own = KnownNames(known.model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for d, t in batch.itertuples(index=False):
-                found = find(t, model) if t is not None else []
+            for d, t, g, f in batch.itertuples(index=False):
+                found = find(t, own.of(g, f)) if t is not None else []
                 rows.append((d, surrogates.replace(t, found) if found else t, len(found)))
             yield pd.DataFrame(rows, columns=["doc_id", "text", "entities"])
 
-    return documents.select("doc_id", "text").mapInPandas(run, f"doc_id {id_type}, text string, entities int")
+    return known.rows(documents).mapInPandas(run, f"doc_id {id_type}, text string, entities int")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.llm import leakage, neighbours, packing, personal, provenance, split, syntax
-from quarrylight.storage import broadcast_if_small, materialize, table
+from quarrylight.storage import broadcast_if_small, materialize, rows_of, table
 
 #: Rows up to which a table of settings or evaluation tasks is read to the driver.
 SETTINGS = 100_000
@@ -141,8 +142,8 @@ def p8_cleaned(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.remove_leaks(table(spark, folder, "documents"), passages(spark, folder))
 
 
-def name_model(spark: SparkSession, folder: str) -> personal.NameModel:
-    """Fitted to author and committer names against the words of commit messages, a bounded sample of each."""
+def known_names(spark: SparkSession, folder: str) -> personal.KnownNames:
+    """All author and committer names, and a score fitted to bounded samples of them and of the words of commit messages."""
     commits = table(spark, folder, "ria_commit")
     full = commits.select(F.explode(F.array("author_name", "committer_name")).alias("w")).dropna().distinct()
     words = commits.select(F.explode(F.regexp_extract_all("message", F.lit(r"\p{L}{3,}"), 0)).alias("w")).distinct()
@@ -150,18 +151,30 @@ def name_model(spark: SparkSession, folder: str) -> personal.NameModel:
     def sample(df: DataFrame, most: int) -> list[str]:
         return [r[0] for r in df.orderBy(F.xxhash64("w"), "w").limit(most).collect()]
 
-    return personal.NameModel(sample(full, personal.MOST_NAMES), sample(words, personal.MOST_WORDS))
+    def roles(batches):
+        for batch in batches:
+            pairs = [p for p in map(personal.name_words, batch["w"]) if p]
+            yield pd.DataFrame([(p[0], True, False) for p in pairs] + [(p[1], False, True) for p in pairs], columns=["word", "given", "family"])
+
+    listed = full.mapInPandas(roles, "word string, given boolean, family boolean").groupBy("word").agg(F.max("given").alias("given"), F.max("family").alias("family"))
+    listed = materialize(listed, "names")
+    names, ordinary = sample(full, personal.MOST_NAMES), sample(words, personal.MOST_WORDS)
+    if rows_of(listed) > personal.MOST_HELD:
+        return personal.KnownNames(personal.NameModel(names, ordinary), listed)
+    held = listed.collect()
+    return personal.KnownNames(personal.NameModel(names, ordinary, [r["word"] for r in held if r["given"]], [r["word"] for r in held if r["family"]]))
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Personal information in each document, once per distinct value."""
-    found = personal.find_personal(table(spark, folder, "documents"), name_model(spark, folder))
+    found = personal.find_personal(table(spark, folder, "documents"), known_names(spark, folder))
     return found.select("doc_id", "pii_type", "pii_value").distinct()
 
 
 def p9_redacted(spark: SparkSession, folder: str) -> DataFrame:
-    """Every text with its personal information replaced by typed, keyed surrogates."""
-    return personal.redact(table(spark, folder, "documents"), name_model(spark, folder), b"set your own key")
+    """Every text with its personal information replaced by typed surrogates, keyed by the setting spark.quarrylight.surrogates.key."""
+    key = spark.conf.get("spark.quarrylight.surrogates.key", "set your own key").encode()
+    return personal.redact(table(spark, folder, "documents"), known_names(spark, folder), key)
 
 
 QUERIES = {"p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_kinds": p5_kinds, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_cleaned": p8_cleaned, "p9_found": p9_found, "p9_redacted": p9_redacted}

@@ -70,3 +70,47 @@ def test_rows(spark):
     clean = {x.doc_id: (x.text, x.entities) for x in personal.redact(df, MODEL, b"k").collect()}
     assert clean[2] == (None, 0) and clean[3] == ("", 0) and clean[1][1] == 2
     assert personal.find_personal(df.where("false"), MODEL).count() == 0
+
+
+def test_surrogates_stay_distinct_over_the_corpus():
+    s = personal.Surrogates(b"k")
+    letters = "abcdefgh"
+    words = [a + b + c + d for a in letters for b in letters for c in letters for d in letters] + [a + b + c for a in letters for b in letters for c in letters] + ["josé", "jose", "jösé", "weiß", "weiss"]
+    for tag, ending in (("name", ""), ("given", "a"), ("street", "")):
+        assert len({s.word(w, tag, ending) for w in words}) == len({w.casefold() for w in words})
+    assert s.word("SMITH", "name") == s.word("Smith", "name").upper() == s.word("smith", "name").upper()
+
+
+def test_initials_and_genders_agree():
+    s = personal.Surrogates(b"k")
+    full, short = s.name("Gerwulf Ashwick", False), s.name("G. Ashwick", None)
+    assert short == f"{full[0]}. {full.split()[1]}" and full.split()[0].endswith("o") and s.name("Corvina Ashwick", True).split()[0].endswith("a")
+    text = "Herr Corvina Starbrook wrote. Corvina Starbrook left, and C. Starbrook too."
+    marks = re.findall(r"\[name ([^\]]+)\]", s.replace(text, personal.find(text, MODEL)))
+    assert marks[0] == marks[1] and marks[2] == f"{marks[0][0]}. {marks[0].split()[1]}"
+
+
+def test_scripts_are_kept():
+    s = personal.Surrogates(b"k")
+    model = personal.NameModel(["Иван Петров", "Νίκος Παπαδάκης"], ["слово", "λέξη"])
+    text = "Пишет Иван Петров, και ο Νίκος Παπαδάκης."
+    found = personal.find(text, model)
+    assert [text[a:b] for a, b, _ in found] == ["Иван Петров", "Νίκος Παπαδάκης"]
+    a, b = re.findall(r"\[name ([^\]]+)\]", s.replace(text, found))
+    assert re.fullmatch("[А-Яа-яЁё ]+", a) and a != "Иван Петров" and all("GREEK" in __import__("unicodedata").name(c) for c in b if c.isalpha())
+    assert s.word("王伟", "name") != "王伟" and len(s.word("王伟", "name")) == 2
+
+
+def test_no_break_spaces_in_numbers():
+    assert kinds("tel +33\xa06\xa012\xa034\xa056\xa078") == {"phone": ["+33\xa06\xa012\xa034\xa056\xa078"]}
+
+
+def test_joined_names_equal_held_ones(spark):
+    texts = ["Thanks to Corvina B. Starbrook and Ashwick, Gerwulf; M. Pellham too.", "HILDRUN WEISSHÜGEL met Élodine Fontclair", None, "", "nobody"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 2)], "doc_id long, text string")
+    rows = [(g.casefold(), True, False) for g in GIVEN] + [(f.casefold(), False, True) for f in FAMILY]
+    words = spark.createDataFrame(rows, "word string, given boolean, family boolean")
+    held = {tuple(r) for r in personal.find_personal(docs, MODEL).collect()}
+    joined = {tuple(r) for r in personal.find_personal(docs, personal.KnownNames(MODEL.knowing([], []), words)).collect()}
+    assert held == joined and len(held) == 10
+    assert personal.redact(docs, personal.KnownNames(MODEL.knowing([], []), words), b"k").count() == 10
