@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.operators.hierarchy import Hierarchy, parent_links
+from quarrylight.operators.hierarchy import Hierarchy, further_parents, parent_links
 from quarrylight.operators.snapshots import SnapshotTable, first_parents, snapshot_changes, validity_intervals
-from quarrylight.storage import latest_rows, table
+from quarrylight.storage import table
 
 
 def counting_edges(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
@@ -39,6 +39,11 @@ def p1_descendants(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.groupBy("repository_id", "commit_sha", "node_id").agg(F.count(F.lit(1)).alias("descendants"), F.max("distance").alias("height"))
 
 
+def p1_conflicts(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes with several parents: each of these links, and whether the trees follow it."""
+    return further_parents(counting_edges(spark, folder, "kind", "source_id", "target_id"))
+
+
 def _snapshot_tables(spark: SparkSession, folder: str) -> list[SnapshotTable]:
     return [
         SnapshotTable("file", table(spark, folder, "ria_file_unit"), "path", ("content_hash",)),
@@ -96,6 +101,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_hierarchy": p1_hierarchy,
     "p1_descendants": p1_descendants,
+    "p1_conflicts": p1_conflicts,
     "p6_found": p6_found,
     "p6_change_counts": p6_change_counts,
 }
@@ -113,6 +119,12 @@ select u.repository_id, u.commit_sha, u.n as node_id, min(u.top) as cycle_head f
 up as (select repository_id, commit_sha, n, depth, path from tree),
 pairs as (select repository_id, commit_sha, unnest(string_split(path, chr(10))) as a, unnest(range(0, depth + 1)) as i, depth from up)
 select repository_id, commit_sha, a as node_id, count(*) as descendants, max(depth - i)::int as height from pairs where i < depth group by all""",
+    "p1_conflicts": f"""with l as (select distinct repository_id, commit_sha,
+      case when lower(trim(kind)) in ('contains','owns','declares') then target_id else source_id end as node_id,
+      case when lower(trim(kind)) in ('contains','owns','declares') then source_id else target_id end as parent_id
+      from ({_LATEST_EDGE}) where lower(trim(kind)) in ('contains','owns','declares','belongs_to','defined_in')),
+    m as (select *, min(parent_id) over w as least, max(parent_id) over w as most from l where node_id is not null and parent_id is not null window w as (partition by repository_id, commit_sha, node_id))
+    select repository_id, commit_sha, node_id, parent_id, parent_id = least as followed from m where least <> most""",
     "p6_found": f"{_CHANGES} select * from changes",
     "p6_change_counts": f"{_CHANGES} select record_kind, repository_id, commit_sha, change_kind, count(*) as records from changes group by all",
 }
