@@ -2,8 +2,8 @@
 
 The grammars state what the language definitions state, written for recognition:
 operators of all precedences share a level, and what is a matter of names, types
-or early errors is left open. Several dialects of one language are several start
-symbols of its grammar.
+or early errors is left open. One dialect of each language is stated: Python 3,
+modules of JavaScript, TypeScript, Java, Go and strict JSON.
 """
 
 from __future__ import annotations
@@ -21,8 +21,7 @@ Members = (Pair (',' Pair)*)?
 
 PYTHON = """
 Simple = Small (';' Small)* ';'?
-Small = Stars (AugOp (Yield | Stars) | ':' Expr ('=' (Yield | Stars))? | ('=' (Yield | Stars))*)
-  | Yield ('=' (Yield | Stars))*
+Small = Stars | Single AugOp (Yield | Stars) | (Single | p:Single1) ':' Expr ('=' (Yield | Stars))? | (Targets '=')+ (Yield | Stars) | Yield
   | 'pass' | 'break' | 'continue' | 'return' Stars? | 'raise' (Expr ('from' Expr)?)?
   | ('global' | 'nonlocal') ID (',' ID)* | 'del' Targets | 'assert' Expr (',' Expr)?
   | 'import' Dotted ('as' ID)? (',' Dotted ('as' ID)?)*
@@ -48,17 +47,30 @@ Paren = (Yield | Named Comp | StarNamed (',' StarNamed)* ','?)?
 List = (Named Comp | StarNamed (',' StarNamed)* ','?)?
 Braces = (Pair (',' Pair)* ','? | Expr ':' Expr Comp | Named Comp | StarNamed (',' StarNamed)* ','?)?
 Pair = Expr ':' Expr | '**' Flat
-Args = (Arg (',' Arg)* ','?)?
-Arg = Named Comp? | ID '=' Expr | '*' Expr | '**' Expr
+Args = (Named Comp | ArgList ','?)?
+ArgList = Given (',' Given)* (',' Kw (',' Kw)*)? (',' Kd (',' Kd)*)? | Kw (',' Kw)* (',' Kd (',' Kd)*)? | Kd (',' Kd)*
+Given = Named | '*' Expr
+Kw = ID '=' Expr | '*' Expr
+Kd = '**' Expr | ID '=' Expr
 Subs = Slice (',' Slice)* ','?
 Slice = Named | '*' Flat | Expr? ':' Expr? (':' Expr?)?
 Comp = ('async'? 'for' Targets 'in' Flat ('if' (ID ':=')? (Flat | 'lambda' LParams? ':' Expr))*)+
-Target = '*'? Atom Trailer*
+Single = ID | 'await'? Atom Trailer* ('.' ID | b:Subs)
+Single1 = Single | p:Single1
+Target = '*'? (Single | p:Inner | b:Inner)
 Targets = Target (',' Target)* ','?
-LParams = LParam (',' LParam)* ','?
-LParam = ID ('=' Expr)? | '*' ID? | '**' ID | '/'
-Params = (Param (',' Param)* ','?)?
-Param = ID (':' Expr)? ('=' Expr)? | '*' (ID (':' Star)?)? | '**' ID (':' Expr)? | '/'
+Inner = Targets?
+LParams = (LPlace (',' LRest)? | LRest) ','?
+LPlace = LNeed (',' LNeed)* (',' '/' (',' LNeed)*)? (',' LOpt)* | (LNeed ',')* LOpt (',' LOpt)* (',' '/' (',' LOpt)*)?
+LNeed = ID
+LOpt = ID '=' Expr
+LRest = '*' ID (',' (LNeed | LOpt))* (',' '**' ID)? | '*' (',' (LNeed | LOpt))+ (',' '**' ID)? | '**' ID
+Params = ((Place (',' Rest)? | Rest) ','?)?
+Place = Need (',' Need)* (',' '/' (',' Need)*)? (',' Opt)* | (Need ',')* Opt (',' Opt)* (',' '/' (',' Opt)*)?
+Need = ID (':' Expr)?
+Opt = ID (':' Expr)? '=' Expr
+Rest = '*' ID (':' Star)? (',' (Need | Opt))* (',' Kwargs)? | '*' (',' (Need | Opt))+ (',' Kwargs)? | Kwargs
+Kwargs = '**' ID (':' Expr)?
 TypeParams = TypeParam (',' TypeParam)* ','?
 TypeParam = ('*' | '**')? ID (':' Expr)? ('=' Star)?
 Decorator = '@' Named
@@ -214,7 +226,7 @@ JAVASCRIPT, TYPESCRIPT = _ecma(0), _ecma(1)
 JAVA = """
 Package = Annot* 'package' Name ';'
 Import = 'import' 'static'? Name ('.' '*')? ';' | 'import' 'module' Name ';'
-Decl = TypeDecl | ';'
+Decl = ';'* TypeDecl ';'* | ';'+
 Module = Annot* 'open'? 'module' Name c:Directives
 Directives = (('requires' ('transitive' | 'static')* Name | ('exports' | 'opens') Name ('to' Name (',' Name)*)? | 'uses' Name | 'provides' Name 'with' Name (',' Name)*) ';')*
 Unit = PACKAGE? IMPORT* DECL* | IMPORT* MODULE
