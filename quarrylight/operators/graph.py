@@ -81,28 +81,64 @@ def statistics(edges: DataFrame) -> DataFrame:
     return n.join(m, "g").withColumn("density", F.when(F.col("nodes") > 1, F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1))).otherwise(F.lit(0.0)))
 
 
-def _reach_in_tasks(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
-    """Breadth first search of each small graph in one task."""
+class Seen:
+    """The rows that a frontier loop has reached, in few tables.
+
+    Levels are merged like digits of a counter: two tables of one order become
+    one of the next, so an anti-join reads a logarithm of the levels and a row
+    is rewritten a logarithm of times. Merged tables are deleted.
+    """
+
+    def __init__(self, key: list[str]) -> None:
+        self.key = key
+        self.parts: list[tuple[int, DataFrame]] = []
+
+    def new(self, rows: DataFrame) -> DataFrame:
+        """The rows whose key was not reached before."""
+        return rows.join(self.all().select(*self.key), self.key, "left_anti") if self.parts else rows
+
+    def add(self, rows: DataFrame) -> None:
+        """A written table of new rows; the last two stay apart, as the next step still reads them."""
+        self.parts.append((0, rows))
+        while len(self.parts) > 2 and self.parts[-3][0] == self.parts[-2][0]:
+            (order, a), (_, b) = self.parts[-3:-1]
+            self.parts[-3:-1] = [(order + 1, materialize(a.unionByName(b), "seen"))]
+            release(a)
+            release(b)
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [x for _, x in self.parts])
+
+
+def _reach_in_tasks(edges: DataFrame, starts: DataFrame, max_depth: int, paths: bool = False) -> DataFrame:
+    """Breadth first search of each small graph in one task; rows leave in batches."""
     kind = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
     start_kind = dict(starts.dtypes)["start"]
 
     def walk(key, e, s):
         nexts, rows = _adjacency(e), []
         for start in sorted(set(s["start"])):
-            depth = {start: 0}
+            way = {start: (0, None)}
             level = [start]
-            while level and depth[level[0]] < max_depth:
+            # a level in the order of its paths and neighbours in order: who is met first has the smallest path
+            while level and way[level[0]][0] < max_depth:
                 below = []
                 for a in level:
                     for b in nexts.get(a, ()):
-                        if b not in depth:
-                            depth[b] = depth[a] + 1
+                        if b not in way:
+                            way[b] = (way[a][0] + 1, a)
                             below.append(b)
                 level = below
-            rows += [(key[0], start, n, d) for n, d in depth.items()]
-        return pd.DataFrame(rows, columns=["g", "start", "node", "depth"])
+            if not paths:
+                rows += [(key[0], start, n, d) for n, (d, _) in way.items()]
+                continue
+            full = {}
+            for n, (d, before) in way.items():  # parents stand before their children
+                full[n] = [*full[before], n] if before is not None else [n]
+                rows.append((key[0], start, n, d, full[n]))
+        return pd.DataFrame(rows, columns=["g", "start", "node", "depth", *(["path"] if paths else [])])
 
-    schema = f"g {kind['g']}, start {start_kind}, node {kind['src']}, depth int"
+    schema = f"g {kind['g']}, start {start_kind}, node {kind['src']}, depth int" + (f", path array<{kind['src']}>" if paths else "")
     fresh = lambda df, *names: df.select(*[F.col(c).alias(c) for c in names])  # noqa: E731  both sides may stem from one table
     return fresh(starts, "g", "start").dropna().groupBy("g").cogroup(fresh(edges, "g", "src", "dst").groupBy("g")).applyInPandas(lambda key, s, e: walk(key, e, s), schema)
 
@@ -115,11 +151,12 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int = FOREVER, paths:
     ``paths``, under the smallest of the shortest paths by code points.
     """
     edges = edges.select("g", "src", "dst")
-    if local and not paths and _fits_tasks(edges, starts):
-        return _reach_in_tasks(edges, starts, max_depth)
+    if local and _fits_tasks(edges, starts):
+        return _reach_in_tasks(edges, starts, max_depth, paths)
     front = starts.select("g", "start", F.col("start").alias("node"), F.lit(0).alias("depth"), *([F.array("start").alias("path")] if paths else [])).distinct()
     front = materialize(front, "front")
-    levels, seen = [front], front.select("g", "start", "node")
+    seen = Seen(["g", "start", "node"])
+    seen.add(front)
     depth = 0
     while depth < max_depth:
         step = front.select("g", "start", F.col("node").alias("src"), "depth", *(["path"] if paths else [])).join(edges, ["g", "src"])
@@ -128,13 +165,13 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int = FOREVER, paths:
             step = step.select("g", "start", "node", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("node")).alias("path"))
         else:
             step = step.select("g", "start", F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
-        front = materialize(step.join(seen, ["g", "start", "node"], "left_anti"), "front")
+        front = materialize(seen.new(step), "front")
         if not rows_of(front):
+            release(front)
             break
-        levels.append(front)
-        seen = reduce(DataFrame.unionByName, [x.select("g", "start", "node") for x in levels])
+        seen.add(front)
         depth += 1
-    return reduce(DataFrame.unionByName, levels)
+    return seen.all()
 
 
 def reachable_set(edges: DataFrame, starts: DataFrame) -> DataFrame:
@@ -143,14 +180,13 @@ def reachable_set(edges: DataFrame, starts: DataFrame) -> DataFrame:
     named = starts.select("g", F.col("node").alias("start"))
     if _fits_tasks(edges, named):
         return _reach_in_tasks(edges, named, FOREVER).select("g", "node").unionByName(starts.select("g", "node")).distinct()
-    seen = materialize(starts.select("g", "node").distinct(), "seen")
-    front, levels = seen, [seen]
-    while True:
+    front = materialize(starts.select("g", "node").distinct(), "front")
+    seen = Seen(["g", "node"])
+    while rows_of(front):
+        seen.add(front)
         step = front.select("g", F.col("node").alias("src")).join(edges, ["g", "src"]).select("g", F.col("dst").alias("node")).distinct()
-        front = materialize(step.join(reduce(DataFrame.unionByName, levels), ["g", "node"], "left_anti"), "front")
-        if not rows_of(front):
-            return reduce(DataFrame.unionByName, levels)
-        levels.append(front)
+        front = materialize(seen.new(step), "front")
+    return seen.all() if seen.parts else front
 
 
 def unreachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
@@ -293,7 +329,8 @@ def strong_components(edges: DataFrame, local: bool = True) -> DataFrame:
     if not found:
         return nodes(edges).where("false").withColumn("component", F.col("node"))
     out = reduce(DataFrame.unionByName, found)
-    return out.withColumn("component", F.min("node").over(Window.partitionBy("g", "component")))
+    least = out.groupBy("g", "component").agg(F.min("node").alias("least"))
+    return out.join(least, ["g", "component"]).select("g", "node", F.col("least").alias("component"))
 
 
 def cycle_summary(edges: DataFrame) -> DataFrame:
@@ -381,14 +418,15 @@ def nearest_reachable(edges: DataFrame, live: DataFrame, lost: DataFrame) -> Dat
     """
     both = undirected(edges)
     label = materialize(live.select("g", "node", F.col("node").alias("nearest"), F.lit(0).alias("depth")), "near")
-    front, levels = label, [label]
+    front, seen = label, Seen(["g", "node"])
+    seen.add(label)
     while True:
         step = front.select("g", F.col("node").alias("src"), "nearest", "depth").join(both, ["g", "src"]).groupBy("g", F.col("dst").alias("node")).agg(F.min("nearest").alias("nearest"), (F.min("depth") + 1).alias("depth"))
-        front = materialize(step.join(reduce(DataFrame.unionByName, levels).select("g", "node"), ["g", "node"], "left_anti"), "near")
+        front = materialize(seen.new(step), "near")
         if not rows_of(front):
             break
-        levels.append(front)
-    return lost.select("g", "node").join(reduce(DataFrame.unionByName, levels), ["g", "node"], "left")
+        seen.add(front)
+    return lost.select("g", "node").join(seen.all(), ["g", "node"], "left")
 
 
 def levels(edges: DataFrame) -> DataFrame:
@@ -457,11 +495,11 @@ def dead_code(edges: DataFrame, entries: DataFrame) -> DataFrame:
 def reading_scores(edges: DataFrame, entries: DataFrame) -> DataFrame:
     """(g, node, score): 100 for an entry + 50 * centrality + 30 * share of the largest in-degree + 15 for a core folder - 40 for a peripheral one."""
     c = centrality(edges)
-    most = Window.partitionBy("g")
     core = F.col("node").rlike("(^|[/:])(core|src|lib|app|services?|domain)/")
     outer = F.col("node").rlike("(^|[/:])(tests?|docs?|examples?|scripts|benchmarks)/")
     entry = entries.select("g", "node").distinct().withColumn("entry", F.lit(True))
-    out = c.join(entry, ["g", "node"], "left").withColumn("top", F.max("fan_in").over(most))
+    top = c.groupBy("g").agg(F.max("fan_in").alias("top"))
+    out = c.join(entry, ["g", "node"], "left").join(top, "g")
     score = F.when(F.col("entry"), 100.0).otherwise(0.0) + 50 * F.col("centrality") + F.when(F.col("top") > 0, 30 * F.col("fan_in") / F.col("top")).otherwise(0.0) + F.when(core, 15.0).otherwise(0.0) - F.when(outer, 40.0).otherwise(0.0)
     return out.select("g", "node", score.alias("score"))
 

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrylight.functions import paths
-from quarrylight.storage import materialize
+from quarrylight.operators.graph import Seen
+from quarrylight.storage import materialize, rows_of
 
 
 def normalised(path: Column) -> Column:
@@ -136,10 +137,11 @@ def resolve_calls(facts: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def inherited_methods(facts: DataFrame, depth: int = 8) -> DataFrame:
+def inherited_methods(facts: DataFrame) -> DataFrame:
     """(g, path, class, method, from_path, from_class, distance): the nearest definition up the bases, least distance first.
 
-    A base is looked for in the class's own file, else among all classes of its name.
+    A base is looked for in the class's own file, else among all classes of its
+    name. Bases are followed to the end; a circle of bases ends where it closes.
     """
     classes = facts.where("fact = 'symbol' and kind = 'class'").select("g", "path", F.col("name").alias("cls")).distinct()
     methods = facts.where("fact = 'symbol' and kind = 'method'").select("g", F.col("path").alias("from_path"), F.element_at(F.split("parent", r"\."), -1).alias("from_class"), F.col("name").alias("method")).distinct()
@@ -148,15 +150,14 @@ def inherited_methods(facts: DataFrame, depth: int = 8) -> DataFrame:
     other = base.join(local.select("g", "path", "cls", "base"), ["g", "path", "cls", "base"], "left_anti").join(classes.select("g", F.col("cls").alias("base"), F.col("path").alias("b_path")), ["g", "base"])
     up = materialize(local.select("g", "path", "cls", "base", "b_path").unionByName(other.select("g", "path", "cls", "base", "b_path")), "bases")
     level = classes.select("g", "path", "cls", F.col("path").alias("from_path"), F.col("cls").alias("from_class"), F.lit(0).alias("distance"))
-    out, seen = [level], level
-    for k in range(1, depth + 1):
+    level = materialize(level, "mro")
+    seen, k = Seen(["g", "path", "cls", "from_path", "from_class"]), 0
+    while rows_of(level):
+        seen.add(level)
+        k += 1
         step = level.select("g", "path", "cls", F.col("from_path").alias("p"), F.col("from_class").alias("c")).join(up.select("g", F.col("path").alias("p"), F.col("cls").alias("c"), F.col("b_path").alias("from_path"), F.col("base").alias("from_class")), ["g", "p", "c"])
-        level = materialize(step.select("g", "path", "cls", "from_path", "from_class", F.lit(k).alias("distance")).distinct().join(seen.select("g", "path", "cls", "from_path", "from_class"), ["g", "path", "cls", "from_path", "from_class"], "left_anti"), "mro")
-        if level.isEmpty():
-            break
-        out.append(level)
-        seen = reduce(DataFrame.unionByName, out)
-    found = reduce(DataFrame.unionByName, out).join(methods, ["g", "from_path", "from_class"])
+        level = materialize(seen.new(step.select("g", "path", "cls", "from_path", "from_class", F.lit(k).alias("distance")).distinct()), "mro")
+    found = (seen.all() if seen.parts else level).join(methods, ["g", "from_path", "from_class"])
     return found.groupBy("g", "path", F.col("cls").alias("class"), "method").agg(F.min(F.struct("distance", "from_path", "from_class")).alias("b")).select("g", "path", "class", "method", "b.from_path", "b.from_class", "b.distance")
 
 

@@ -33,7 +33,8 @@ ends as (select g, src as node from e union all select g, dst from e), nodes as
 outs as (select g, src as start, row_number() over (partition by g order by count(*) desc, src) as r from e group by g, src),
 so as (select g, start from outs where r = 1),
 ins as (select g, dst as start, row_number() over (partition by g order by count(*) desc, dst) as r from e group by g, dst),
-si as (select g, start from ins where r = 1)"""
+si as (select g, start from ins where r = 1),
+every as (select g, node as start from nodes), sizes as (select g, count(*) as n from nodes group by g)"""
 
 _DEG = """deg as (select g, node, sum(i)::bigint as fan_in, sum(o)::bigint as fan_out from (select g, src as node, 0 as i, 1 as o from e union all select g, dst, 1, 0 from e) group by all),
 sz as (select g, count(*) as n from nodes group by g),
@@ -53,60 +54,49 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-@query("g01_bfs", f"""with recursive {E_SQL}, w as (select g, start, start as node, 0 as depth from so union select w.g, w.start, e.dst, w.depth + 1 from w join e on e.g = w.g and e.src = w.node where w.depth < 5)
-select g, start, node, min(depth) as depth from w group by all""")
-def g01_bfs(s: SparkSession, d: str) -> DataFrame:
-    """Breadth first from the node with the most dependencies of each graph, five levels; g01_bfs_all has every start and level."""
-    e = dependencies(s, d)
-    return graph.reach(e, graph.small_starts(e), 5)
-
-
-@query("g02_reverse_bfs", f"""with recursive {E_SQL}, w as (select g, start, start as node, 0 as depth from si union select w.g, w.start, e.src, w.depth + 1 from w join e on e.g = w.g and e.dst = w.node where w.depth < 3)
-select g, start, node, min(depth) as depth from w where node <> start group by all""")
-def g02_reverse_bfs(s: SparkSession, d: str) -> DataFrame:
-    """Who depends on the most used node, up to three steps, the start left out; g02_reverse_bfs_all has every node and step."""
-    e = dependencies(s, d)
-    return graph.reach(graph.reverse(e), graph.small_starts(e, "dst"), 3).where("node <> start")
-
-
 def every_node(e: DataFrame) -> DataFrame:
     """(g, start): each node of each graph."""
     return graph.nodes(e).withColumnRenamed("node", "start")
 
 
-@query("g01_bfs_all", None)
-def g01_bfs_all(s: SparkSession, d: str) -> DataFrame:
+# a shortest path has fewer steps than its graph has nodes
+_WALK = f"""with recursive {E_SQL}, w as (select g, start, start as node, 0 as depth from every
+  union select w.g, w.start, e.dst, w.depth + 1 from w join e on e.g = w.g and e.src = w.node join sizes z on z.g = w.g where w.depth < z.n),
+b as materialized (select g, start, node, min(depth) as depth from w group by all)"""
+
+
+@query("g01_bfs", f"{_WALK} select * from b")
+def g01_bfs(s: SparkSession, d: str) -> DataFrame:
     """Breadth first from every node of each graph, over any number of levels."""
     e = dependencies(s, d)
     return graph.reach(e, every_node(e))
 
 
-@query("g02_reverse_bfs_all", None)
-def g02_reverse_bfs_all(s: SparkSession, d: str) -> DataFrame:
+@query("g02_reverse_bfs", f"{_WALK} select g, node as start, start as node, depth from b where node <> start")
+def g02_reverse_bfs(s: SparkSession, d: str) -> DataFrame:
     """Who depends on each node, over any number of steps, the start left out."""
     e = dependencies(s, d)
     return graph.reach(graph.reverse(e), every_node(e)).where("node <> start")
 
 
-@query("g04_closure", f"""with recursive {E_SQL}, w as (select g, start, start as node from so union select w.g, w.start, e.dst from w join e on e.g = w.g and e.src = w.node)
+@query("g04_closure", f"""with recursive {E_SQL}, w as (select g, start, start as node from every union select w.g, w.start, e.dst from w join e on e.g = w.g and e.src = w.node)
 select g, start, count(*) - 1 as reached from w group by all""")
 def g04_closure(s: SparkSession, d: str) -> DataFrame:
-    """How many nodes the start reaches over any number of steps."""
+    """How many nodes each node reaches over any number of steps."""
     e = dependencies(s, d)
-    return graph.reach(e, graph.small_starts(e)).groupBy("g", "start").agg((F.count(F.lit(1)) - 1).alias("reached"))
+    return graph.reach(e, every_node(e)).groupBy("g", "start").agg((F.count(F.lit(1)) - 1).alias("reached"))
 
 
-_PATHS = f"""with recursive {E_SQL}, w as (select g, start, start as node, 0 as depth, [start] as path from so
-  union all select w.g, w.start, e.dst, w.depth + 1, list_append(w.path, e.dst) from w join e on e.g = w.g and e.src = w.node where w.depth < 3 and not list_contains(w.path, e.dst)),
-b as (select g, start, node, min(depth) as depth from w group by all),
-p as (select b.g, b.start, b.node, b.depth, min(w.path) as path from b join w on w.g = b.g and w.start = b.start and w.node = b.node and w.depth = b.depth group by all)"""
+_PATHS = f"""{_WALK}, p as (select g, start, start as node, 0 as depth, [start] as path from every
+  union all select p.g, p.start, e.dst, p.depth + 1, min(list_append(p.path, e.dst)) from p join e on e.g = p.g and e.src = p.node
+    join b on b.g = p.g and b.start = p.start and b.node = e.dst and b.depth = p.depth + 1 group by all)"""
 
 
 @query("g05_shortest_paths", f"{_PATHS} select g, start, node, depth, array_to_string(path, ' > ') as path from p")
 def g05_shortest_paths(s: SparkSession, d: str) -> DataFrame:
-    """The smallest shortest path from the start to everything within three steps."""
+    """The smallest shortest path from every node to all it reaches, without a bound."""
     e = dependencies(s, d)
-    return graph.reach(e, graph.small_starts(e), 3, paths=True).withColumn("path", F.array_join("path", " > "))
+    return graph.reach(e, every_node(e), paths=True).withColumn("path", F.array_join("path", " > "))
 
 
 @query("g07_strong_components", f"""with recursive {E_SQL}, e2 as (select * from e where src <> dst), w as (select g, src as a, dst as b from e2 union select w.g, w.a, e2.dst from w join e2 on e2.g = w.g and e2.src = w.b)
@@ -133,41 +123,41 @@ def g08_short_cycles(s: SparkSession, d: str) -> DataFrame:
     return graph.short_cycles(dependencies(s, d), 3).select("g", F.array_join("cycle", " > ").alias("cycle"))
 
 
-@query("g09_blast_radius", f"""with recursive {E_SQL}, w as (select g, start, start as node, 0 as depth from si union select w.g, w.start, e.src, w.depth + 1 from w join e on e.g = w.g and e.dst = w.node where w.depth < 10),
+@query("g09_blast_radius", f"""with recursive {E_SQL}, w as (select g, start, start as node, 0 as depth from every union select w.g, w.start, e.src, w.depth + 1 from w join e on e.g = w.g and e.dst = w.node where w.depth < 10),
 n as (select g, start, count(distinct node) filter (node <> start) as affected from w group by all)
 select g, start, affected, case when affected >= 20 then 'high' when affected >= 5 then 'medium' else 'low' end as risk from n""")
 def g09_blast_radius(s: SparkSession, d: str) -> DataFrame:
-    """What a change of the most used node affects within ten steps, with a risk label."""
+    """What a change of each node affects within ten steps, with a risk label."""
     e = dependencies(s, d)
-    return graph.blast_radius(e, graph.small_starts(e, "dst"))
+    return graph.blast_radius(e, every_node(e))
 
 
 @query("g10_call_tree", f"""with recursive {E_SQL}, w as (select g, start, start as node, 0 as depth, [start] as path, false as back_edge from so
-  union all select w.g, w.start, e.dst, w.depth + 1, list_append(w.path, e.dst), list_contains(w.path, e.dst) from w join e on e.g = w.g and e.src = w.node where w.depth < 3 and not w.back_edge)
+  union all select w.g, w.start, e.dst, w.depth + 1, list_append(w.path, e.dst), list_contains(w.path, e.dst) from w join e on e.g = w.g and e.src = w.node where w.depth < 8 and not w.back_edge)
 select g, start, array_to_string(path, ' > ') as path, depth, back_edge from w""")
 def g10_call_tree(s: SparkSession, d: str) -> DataFrame:
-    """The tree of dependencies to a depth of three, repeats on a path marked."""
+    """The tree of dependencies of the node with the most of them in each graph, to a depth of eight, repeats on a path marked."""
     e = dependencies(s, d)
-    return graph.call_tree(e, graph.small_starts(e), 3).withColumn("path", F.array_join("path", " > "))
+    return graph.call_tree(e, graph.small_starts(e), 8).withColumn("path", F.array_join("path", " > "))
 
 
-@query("g11_neighbours", f"""with {E_SQL} select e.g, start, 'out' as direction, dst as node from e join so on e.g = so.g and e.src = so.start
-union select e.g, start, 'in', src from e join so on e.g = so.g and e.dst = so.start""")
+@query("g11_neighbours", f"""with {E_SQL} select e.g, start, 'out' as direction, dst as node from e join every v on e.g = v.g and e.src = v.start
+union select e.g, start, 'in', src from e join every v on e.g = v.g and e.dst = v.start""")
 def g11_neighbours(s: SparkSession, d: str) -> DataFrame:
-    """Direct predecessors and successors of the start."""
+    """Direct predecessors and successors of each node."""
     e = dependencies(s, d)
-    return graph.neighbours(e, graph.small_starts(e))
+    return graph.neighbours(e, every_node(e))
 
 
-@query("g14_module_blast", f"""with recursive {E_SQL}, w as (select e.g, start, e.src as node from si join e on e.g = si.g and e.dst = si.start union select w.g, w.start, e.src from w join e on e.g = w.g and e.dst = w.node),
+@query("g14_module_blast", f"""with recursive {E_SQL}, w as (select e.g, start, e.src as node from every v join e on e.g = v.g and e.dst = v.start union select w.g, w.start, e.src from w join e on e.g = w.g and e.dst = w.node),
 n as (select g, start, count(*) as total, count_if(contains(lower(node), 'api') or contains(lower(node), 'router')) as apis, count_if(contains(lower(node), 'service')) as services,
   count_if(contains(lower(node), 'test') or contains(lower(node), 'spec')) as tests from w group by all)
-select g, start, total, apis::bigint as apis, services::bigint as services, tests::bigint as tests, case when total > 15 or apis > 3 then 'Critical' when total > 8 then 'High' when total > 3 then 'Medium' else 'Low' end as risk,
-  least(100, total * 5) as percent from n""")
+select v.g, v.start, coalesce(total, 0) as total, coalesce(apis, 0)::bigint as apis, coalesce(services, 0)::bigint as services, coalesce(tests, 0)::bigint as tests, case when total > 15 or apis > 3 then 'Critical' when total > 8 then 'High' when total > 3 then 'Medium' else 'Low' end as risk,
+  least(100, coalesce(total, 0) * 5) as percent from every v left join n using (g, start)""")
 def g14_module_blast(s: SparkSession, d: str) -> DataFrame:
-    """All consumers of the most used node with parts by name, risk and percentage."""
+    """All consumers of each node with parts by name, risk and percentage."""
     e = dependencies(s, d)
-    return graph.module_blast(e, graph.small_starts(e, "dst"))
+    return graph.module_blast(e, every_node(e))
 
 
 @query("g15_dead_code", f"""with recursive {E_SQL}, {_DEG}, r as (select g, start as node from so union select r.g, e.dst from r join e on e.g = r.g and e.src = r.node),
@@ -202,12 +192,12 @@ def g17_nearest_reachable(s: SparkSession, d: str) -> DataFrame:
     return graph.nearest_reachable(e, live, lost)
 
 
-@query("g18_ego", f"""with recursive {E_SQL}, u as (select g, src, dst from e union select g, dst, src from e), w as (select g, start, start as node, 0 as depth from so union select w.g, w.start, u.dst, w.depth + 1 from w join u on u.g = w.g and u.src = w.node where w.depth < 2)
+@query("g18_ego", f"""with recursive {E_SQL}, u as (select g, src, dst from e union select g, dst, src from e), w as (select g, start, start as node, 0 as depth from every union select w.g, w.start, u.dst, w.depth + 1 from w join u on u.g = w.g and u.src = w.node where w.depth < 2)
 select g, start, node, min(depth) as depth from w group by all""")
 def g18_ego(s: SparkSession, d: str) -> DataFrame:
-    """Two steps around the start in both directions."""
+    """Two steps around each node in both directions."""
     e = dependencies(s, d)
-    return graph.ego(e, graph.small_starts(e), 2)
+    return graph.ego(e, every_node(e), 2)
 
 
 @query("g28_levels", """with recursive t as (select 0::bigint as node, 0 as level union all select p.p_partkey, t.level + 1 from t join part p on p.p_partkey // 2 = t.node and p.p_partkey > 0)
