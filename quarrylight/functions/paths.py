@@ -268,15 +268,15 @@ def is_valid_relative(path: Column) -> Column:
 
 #: fixed values: components by words in a path
 COMPONENTS = {
-    "API": r"(^|[/_.-])(api|routes?|router|endpoints?)([/_.-]|$)",
-    "Auth": r"auth|login|session|token",
-    "Data": r"(^|[/_.-])(db|database|models?|storage|store)([/_.-]|$)",
-    "Frontend": r"(^|[/_.-])(ui|web|frontend|components?)([/_.-]|$)",
-    "Infrastructure": r"infra|deploy|docker",
-    "Jobs": r"(^|[/_.-])(jobs?|workers?|queue|tasks?)([/_.-]|$)",
-    "Search": r"search|index|query",
-    "Services": r"(^|[/_.-])services?([/_.-]|$)",
-    "Tests": r"(^|[/_.-])(tests?|specs?)([/_.-]|$)",
+    "Authentication": r"auth|oauth|login|token|jwt|session",
+    "API Layer": r"api|route|endpoint|controller|view",
+    "Database": r"db|database|model|migration|schema|orm|sql|chroma|sqlite",
+    "Frontend": r"front|ui|component|page|template|html|css|tsx|jsx",
+    "Services": r"service|retriev|embed|chunk|github|mcp",
+    "Models": r"model|schema|pydantic|dataclass",
+    "Agents": r"agent|evaluat|explainer|analyzer|mapper",
+    "Memory": r"memory|cache|store|chroma",
+    "Tests": r"test|spec|fixture|mock",
 }
 
 

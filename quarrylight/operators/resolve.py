@@ -179,27 +179,58 @@ def lookup_nodes(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
     return wanted.join(every.join(best, ["wanted", "tier"]), "wanted", "left")
 
 
+#: fixed values: parts of a lower-case path by which a symbol is a test helper, private or public
+TEST_PARTS = ("/test", "/tests", "/spec", "/specs", "__test__", ".test.", ".spec.")
+PRIVATE_PARTS = ("/_internal/", "/internal/", "/private/", "/_private/", "/_helpers/", "/helpers/")
+API_PARTS = ("/api/", "/routes/", "/endpoints/", "/controllers/", "/views/", "/handlers/")
+
+VISIBILITY_INPUT = "entry boolean, main_guard boolean, decorators string, nearby string, exported boolean, exports int, fan_in bigint"
+
+
 def visibility(symbols: DataFrame) -> DataFrame:
-    """(.., visibility, confidence, is_orphan) of symbols (g, path, name, kind, parent, exported, route, fan_in) by the first rule that holds."""
-    python = F.col("path").endswith(".py")
-    name = F.col("name")
+    """(.., visibility, api_kind, confidence, rule, is_orphan) of symbols by the first of 17 rules that holds.
+
+    symbols: (g, path, name, kind, parent) and, null where nothing is known, of
+    :data:`VISIBILITY_INPUT`: whether the file is an entry point or has a main
+    guard, the symbol's decorators, the source lines around it, whether the file
+    exports it (in Python by ``__all__``), how many names the file exports (null
+    where exports were not read), and its callers. ``rule`` counts from 1.
+    """
+    low, name, kind = F.lower(F.translate("path", "\\", "/")), F.col("name"), F.col("kind")
+    python = low.endswith(".py")
+    typed = low.rlike(r"\.tsx?$")
+    script = typed | low.rlike(r"\.[cm]?jsx?$")
+
+    def part(of: tuple[str, ...]) -> Column:
+        return reduce(lambda a, b: a | b, [low.contains(x) for x in of])
+
+    by_kind = lambda cls, other: F.when(kind == "class", cls).otherwise(other)
+    exported = F.when(kind == "class", "PUBLIC_CLASS").when(kind == "interface", "INTERFACE").when(kind == "enum", "ENUM_TYPE").otherwise("EXPORTED")
+    helper = F.lit("INTERNAL_HELPER")
     rules = [
-        (F.col("route"), "PUBLIC", 0.95),
-        (F.col("exported"), "PUBLIC", 0.95),
-        (python & name.rlike("^__"), "PRIVATE", 0.90),
-        (python & name.startswith("_"), "INTERNAL", 0.88),
-        (~python & ~F.col("exported"), "INTERNAL", 0.70),
-        (paths.in_directory(F.lower("path"), paths.TEST_DIRS), "INTERNAL", 0.85),
-        (paths.in_directory(F.lower("path"), ["internal", "private", "_internal"]), "INTERNAL", 0.80),
-        (paths.in_directory(F.lower("path"), ["api", "routes", "routers", "public"]), "PUBLIC", 0.75),
-        (python & F.col("parent").isNull(), "PUBLIC", 0.65),
+        (F.col("entry"), "PUBLIC", F.lit("MAIN_ENTRY"), 0.95),
+        (python & name.isin("main", "__main__") & F.col("main_guard"), "PUBLIC", F.lit("MAIN_ENTRY"), 0.90),
+        (python & F.col("decorators").rlike(r"(?i)\w+\.(get|post|put|patch|delete|head|options|route|websocket)\b"), "PUBLIC", F.lit("ROUTE"), 0.95),
+        (script & F.col("nearby").rlike(r"(?i)\b(router|app|express)\s*\.\s*(get|post|put|patch|delete|use|all)\s*\("), "PUBLIC", F.lit("ROUTE"), 0.88),
+        (python & F.col("decorators").rlike(r"(?i)\w+\.(command|group)\b"), "PUBLIC", F.lit("CLI_ENTRY"), 0.90),
+        (script & F.col("exported"), "PUBLIC", exported, 0.95),
+        (python & F.col("exported"), "PUBLIC", by_kind("PUBLIC_CLASS", "PUBLIC_FUNCTION"), 0.95),
+        (python & name.rlike("^__[^_]"), "PRIVATE", helper, 0.90),
+        (python & name.rlike("^_[^_]"), "INTERNAL", helper, 0.88),
+        (script & (F.col("exports") == 0), "INTERNAL", helper, 0.70),
+        (part(TEST_PARTS), "INTERNAL", helper, 0.85),
+        (part(PRIVATE_PARTS), "PRIVATE", helper, 0.80),
+        (part(API_PARTS), "PUBLIC", F.when(kind == "function", "ROUTE").otherwise("PUBLIC_CLASS"), 0.75),
+        (typed & kind.isin("interface", "enum"), "PUBLIC", F.when(kind == "interface", "INTERFACE").otherwise("ENUM_TYPE"), 0.70),
+        (python & kind.isin("function", "class") & F.col("parent").isNull(), "PUBLIC", by_kind("PUBLIC_CLASS", "PUBLIC_FUNCTION"), 0.65),
+        ((kind == "method") & F.col("parent").isNotNull(), "INTERNAL", F.lit("PUBLIC_METHOD"), 0.60),
     ]
-    out = F.lit(None)
-    for hit, label, confidence in reversed(rules):
-        out = F.when(F.coalesce(hit, F.lit(False)), F.struct(F.lit(label).alias("v"), F.lit(confidence).alias("c"))).otherwise(out)
-    rows = symbols.withColumn("_r", F.coalesce(out, F.struct(F.lit("INTERNAL").alias("v"), F.lit(0.50).alias("c"))))
-    rows = rows.withColumn("visibility", F.col("_r.v")).withColumn("confidence", F.col("_r.c")).drop("_r")
-    return rows.withColumn("is_orphan", (F.col("visibility") == "PUBLIC") & (F.coalesce("fan_in", F.lit(0)) == 0) & F.col("kind").isin("function", "method", "class"))
+    out = F.struct(F.lit("UNKNOWN").alias("v"), F.lit("UNKNOWN").alias("k"), F.lit(0.0).alias("c"), F.lit(len(rules) + 1).alias("n"))
+    for n, (hit, label, api, confidence) in reversed(list(enumerate(rules, 1))):
+        out = F.when(F.coalesce(hit, F.lit(False)), F.struct(F.lit(label).alias("v"), api.alias("k"), F.lit(confidence).alias("c"), F.lit(n).alias("n"))).otherwise(out)
+    rows = symbols.withColumn("_r", out)
+    rows = rows.withColumns({"visibility": F.col("_r.v"), "api_kind": F.col("_r.k"), "confidence": F.col("_r.c"), "rule": F.col("_r.n")}).drop("_r")
+    return rows.withColumn("is_orphan", (F.col("visibility") == "PUBLIC") & (F.coalesce("fan_in", F.lit(0)) == 0) & kind.isin("function", "method", "class"))
 
 
 def lifecycle(around: Column) -> Column:

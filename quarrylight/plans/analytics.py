@@ -137,20 +137,8 @@ def f01_repository_hash(s: SparkSession, d: str) -> DataFrame:
     return units.groupBy("repository_id", "commit_sha").agg(text.ordered_hash(F.col("path"), F.col("content_hash")).alias("hash"))
 
 
-@query("f02_cache_key", r"select m.model_name, s.repository_id, s.content_hash, sha256(m.model_name || ':' || m.model_version || ':onnx:int8:' || regexp_replace(s.content, '^\s+|\s+$', '', 'g')) as chunk_hash from source_files s join embedding_model m on length(s.content) <= 300 where s.content is not null and regexp_full_match(s.content, '[\x09-\x7e]*')")
+@query("f02_cache_key", None)
 def f02_cache_key(s: SparkSession, d: str) -> DataFrame:
-    """The cache key of every short plain body for each model, the part that the SQL states; f02_cache_keys has them all."""
-    short = table(s, d, "source_files").where("char_length(content) <= 300").where(F.col("content").rlike(r"^[\x09-\x7e]*$"))
-    models = table(s, d, "embedding_model").select("model_name", "model_version").limit(1001).collect()
-    if len(models) > 1000:
-        raise ValueError("more than 1000 models where a small table was expected")
-    each = F.inline(F.array(*[F.struct(F.lit(m[0]).alias("model_name"), F.lit(m[1]).alias("model_version")) for m in models]))
-    short = short.select("repository_id", "content_hash", "content", each)
-    return short.select("model_name", "repository_id", "content_hash", text.cache_key(F.col("model_name"), F.col("model_version"), F.col("content")).alias("chunk_hash"))
-
-
-@query("f02_cache_keys", None)
-def f02_cache_keys(s: SparkSession, d: str) -> DataFrame:
     """the cache key of every body that is one piece for a model, in any script; p3_pieces keys the pieces of longer ones."""
     models = table(s, d, "embedding_model").select("model_name", "model_version", "max_chars").limit(1001).collect()
     if len(models) > 1000:
@@ -396,12 +384,12 @@ def a25_coverage(s: SparkSession, d: str) -> DataFrame:
     return by.withColumn("percent", F.round(100.0 * F.col("loc") / F.sum("loc").over(Window.partitionBy()), 6))
 
 
-@query("r02_impact_risk", "with c as (select o_custkey as k, count(*) as n, count(*) filter (o_orderstatus = 'F') as f, count(*) filter (o_orderpriority = '1-URGENT') as u from orders group by 1), p as (select k, case when n >= 15 then 4 when n >= 6 then 3 when n >= 3 then 2 else 0 end + case when f >= 8 then 3 when f >= 3 then 2 when f >= 1 then 1 else 0 end + case when u >= 4 then 2 when u >= 1 then 1 else 0 end + case when u >= 2 then 2 when u >= 1 then 1 else 0 end + least(f, 3) as points from c) select k, points::bigint as points, case when points >= 10 then 'extreme' when points >= 6 then 'high' when points >= 3 then 'medium' else 'low' end as risk from p")
+@query("r02_impact_risk", "with c as (select o_custkey as k, count(*) as n, count(*) filter (o_orderstatus = 'F') as f, count(*) filter (o_orderpriority = '1-URGENT') as u from orders group by 1), p as (select k, n, f, case when n >= 15 then 4 when n >= 6 then 2 when n >= 3 then 1 else 0 end + case when f >= 8 then 3 when f >= 3 then 2 when f >= 1 then 1 else 0 end + case when u >= 4 then 4 when u >= 1 then 2 else 0 end + case when u >= 2 then 2 when u >= 1 then 1 else 0 end + least(f, 3) as points from c) select k, points::bigint as points, case when points >= 10 then 'extreme' when points >= 6 then 'high' when points >= 3 then 'medium' else 'low' end as risk, least(95, 65 + least(2 * n, 20) + least(2 * f, 10))::bigint as confidence, case when n <= 2 then 'XS' when n <= 5 then 'S' when n <= 12 then 'M' when n <= 25 then 'L' else 'XL' end as blast from p")
 def r02_impact_risk(s: SparkSession, d: str) -> DataFrame:
-    """Points and risk of a change from counted facts."""
+    """Points, risk, confidence and blast class of a change from counted facts."""
     c = table(s, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("o_orderstatus = 'F'")).alias("f"), F.count_if(F.expr("o_orderpriority = '1-URGENT'")).alias("u"))
     points, risk = scoring.impact_risk(F.col("n"), F.col("f"), F.col("u"), F.col("u"), F.lit(0), F.col("f"), F.lit(False))
-    return c.select("k", points.cast("bigint").alias("points"), risk.alias("risk"))
+    return c.select("k", points.cast("bigint").alias("points"), risk.alias("risk"), scoring.impact_confidence(F.col("n"), F.col("f"), F.col("n")).alias("confidence"), scoring.blast_class(F.col("n")).alias("blast"))
 
 
 @query("r05_commit_sizes", "select repository_id, sha, round(s, 6)::double as score, case when s <= 20 then 'XS' when s <= 40 then 'S' when s <= 60 then 'M' when s <= 80 then 'L' else 'XL' end as size from (select *, least(files_changed * 3.0, 30) + least(files_changed * 1.5, 30) + least((insertions + deletions) * 0.1, 40) as s from ria_commit)")
@@ -476,32 +464,18 @@ def v14_highlight(s: SparkSession, d: str) -> DataFrame:
     return _symbols(s, d).select("symbol_id", search.highlighted(F.col("name"), "red").alias("name"))
 
 
-@query("v02_nearest", "with q as (select embedding::double[] as q from embeddings order by vec_id limit 1) select vec_id, greatest(0, round(1 - list_cosine_similarity(embedding::double[], q), 4))::double as distance from embeddings, q order by distance, vec_id limit 10")
-def v02_nearest(s: SparkSession, d: str) -> DataFrame:
-    """The vectors nearest to the first vector by cosine, a top-k report; v02_nearest_each asks for many."""
-    v = table(s, d, "embeddings")
-    return search.nearest_to(v, v.orderBy("vec_id").first()["embedding"])
-
-
-@query("v03_nearest_l2", "with q as (select embedding::double[] as q from embeddings order by vec_id limit 1) select vec_id, round(list_sum(list_transform(list_zip(embedding::double[], q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6) as distance from embeddings, q order by distance, vec_id limit 10")
-def v03_nearest_l2(s: SparkSession, d: str) -> DataFrame:
-    """The same by squared distance."""
-    v = table(s, d, "embeddings")
-    return search.nearest_l2(v, v.orderBy("vec_id").first()["embedding"])
-
-
 _EACH = "with q as (select vec_id as query_id, embedding::double[] as q from embeddings where vec_id % 50 = 0), r as (select query_id, vec_id, {} as distance from embeddings, q) select * from r qualify row_number() over (partition by query_id order by distance, vec_id) <= 10"
 
 
-@query("v02_nearest_each", _EACH.format("greatest(0, round(1 - list_cosine_similarity(embedding::double[], q), 4))::double"))
-def v02_nearest_each(s: SparkSession, d: str) -> DataFrame:
+@query("v02_nearest", _EACH.format("greatest(0, round(1 - list_cosine_similarity(embedding::double[], q), 4))::double"))
+def v02_nearest(s: SparkSession, d: str) -> DataFrame:
     """The 10 vectors nearest to every vector with an id divisible by 50, by cosine."""
     v = table(s, d, "embeddings")
     return search.nearest_each(v, v.where("vec_id % 50 = 0"))
 
 
-@query("v03_nearest_l2_each", _EACH.format("round(list_sum(list_transform(list_zip(embedding::double[], q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6)"))
-def v03_nearest_l2_each(s: SparkSession, d: str) -> DataFrame:
+@query("v03_nearest_l2", _EACH.format("round(list_sum(list_transform(list_zip(embedding::double[], q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6)"))
+def v03_nearest_l2(s: SparkSession, d: str) -> DataFrame:
     """The same by squared distance."""
     v = table(s, d, "embeddings")
     return search.nearest_each(v, v.where("vec_id % 50 = 0"), squared=True)

@@ -110,13 +110,16 @@ def j09_inherited(s: SparkSession, d: str) -> DataFrame:
 
 @query("p05_visibility")
 def p05_visibility(s: SparkSession, d: str) -> DataFrame:
-    """Symbols by visibility, with those nobody calls."""
-    f = facts(s, d)
-    exported = f.where("fact = 'export'").select("g", "path", "name", F.lit(True).alias("exported")).distinct()
-    route = f.where("fact = 'decorator'").where(F.col("detail").rlike(r"\.(get|post|put|delete|route|patch)$")).select("g", "path", "name", F.lit(True).alias("route")).distinct()
+    """Symbols by visibility and rule, with those nobody calls."""
+    f, key = facts(s, d), ["g", "path", "name"]
+    exported = f.where("fact = 'export'").select(*key, F.lit(True).alias("exported")).distinct()
+    exports = f.where("fact = 'export'").groupBy("g", "path").agg(F.countDistinct("name").cast("int").alias("exports"))
+    marks = f.where("fact = 'decorator'").groupBy(*key).agg(F.concat_ws(" ", F.array_sort(F.collect_set("detail"))).alias("decorators"))
     fan = f.where("fact = 'call'").groupBy("g", "name").agg(F.count(F.lit(1)).alias("fan_in"))
-    sym = f.where("fact = 'symbol'").join(exported, ["g", "path", "name"], "left").join(route, ["g", "path", "name"], "left").join(fan, ["g", "name"], "left").na.fill(False, ["exported", "route"])
-    return resolve.visibility(sym).groupBy("g", "visibility", "kind").agg(F.count(F.lit(1)).alias("symbols"), F.count_if(F.col("is_orphan")).alias("orphans"))
+    lines = bodies(s, d).select("g", "path", F.split("content", "\n").alias("lines"), (F.col("content").contains("__name__") & F.col("content").contains("__main__")).alias("main_guard"))
+    sym = f.where("fact = 'symbol'").join(exported, key, "left").join(exports, ["g", "path"], "left").join(marks, key, "left").join(fan, ["g", "name"], "left").join(lines, ["g", "path"], "left")
+    sym = sym.withColumns({"entry": F.lit(False), "exports": F.coalesce("exports", F.lit(0)), "nearby": F.array_join(F.slice("lines", F.greatest(F.lit(1), F.col("start") - 2), F.lit(5)), "\n")}).drop("lines")
+    return resolve.visibility(sym).groupBy("g", "visibility", "rule", "kind").agg(F.count(F.lit(1)).alias("symbols"), F.count_if(F.col("is_orphan")).alias("orphans"))
 
 
 @query("j17_test_evidence")
