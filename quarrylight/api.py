@@ -134,8 +134,9 @@ def same_name_symbols(f: Facts, name: str) -> DataFrame:
 
 def cross_references(f: Facts, needle: str) -> DataFrame:
     """Relations of which either end's name holds the text, both ends known."""
-    n = f.s.select("moniker", "name")
-    both = f.r.join(n.select(F.col("moniker").alias("source"), F.col("name").alias("source_name")), "source").join(n.select(F.col("moniker").alias("target"), F.col("name").alias("target_name")), "target")
+    commit = ["repository_id", "commit_sha"]
+    n = f.s.select(*commit, "moniker", "name")
+    both = f.r.join(n.select(*commit, F.col("moniker").alias("source"), F.col("name").alias("source_name")), [*commit, "source"]).join(n.select(*commit, F.col("moniker").alias("target"), F.col("name").alias("target_name")), [*commit, "target"])
     return both.where(F.col("source_name").contains(needle) | F.col("target_name").contains(needle))
 
 

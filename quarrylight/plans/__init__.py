@@ -1,7 +1,7 @@
 """The registry of core queries and their SQL counterparts."""
 
-from quarrylight.plans import analytics, code, graphs, pipeline
+from quarrylight.plans import analytics, answers, code, graphs, pipeline
 
-_MODULES = (pipeline, graphs, analytics, code)
+_MODULES = (pipeline, graphs, analytics, code, answers)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}

@@ -29,9 +29,9 @@ def query(name: str, sql: str | None = None):
 
 
 def bodies(s: SparkSession, d: str) -> DataFrame:
-    """(g, path, language, content): every fetched body of a repository under its least path."""
-    unit = table(s, d, "ria_file_unit").where("content_hash is not null").groupBy("repository_id", "content_hash").agg(F.min(F.struct("path", "language")).alias("u"))
-    return table(s, d, "source_files").where("content is not null").join(unit, ["repository_id", "content_hash"]).select(F.col("repository_id").alias("g"), "u.path", "u.language", "content")
+    """(g, path, language, content): every fetched body of a repository under each of its paths."""
+    unit = table(s, d, "ria_file_unit").where("content_hash is not null and path is not null").groupBy("repository_id", "content_hash", "path").agg(F.min("language").alias("language"))
+    return table(s, d, "source_files").where("content is not null").join(unit, ["repository_id", "content_hash"]).select(F.col("repository_id").alias("g"), "path", "language", "content")
 
 
 def facts(s: SparkSession, d: str) -> DataFrame:
