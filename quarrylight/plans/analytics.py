@@ -90,8 +90,8 @@ def p02_layers(s: SparkSession, d: str) -> DataFrame:
 
 @query("p03_patterns", None)
 def p03_patterns(s: SparkSession, d: str) -> DataFrame:
-    """Design patterns named by paths and bodies, with the number of bodies."""
-    units = table(s, d, "ria_file_unit").select("repository_id", "content_hash", "path").groupBy("repository_id", "content_hash").agg(F.min("path").alias("path"))
+    """Design patterns named by paths and bodies, with the number of bodies, each under all its paths."""
+    units = table(s, d, "ria_file_unit").select("repository_id", "content_hash", "path").where("path is not null").distinct()
     bodies = table(s, d, "source_files").where("content is not null").join(units, ["repository_id", "content_hash"])
     tags = bodies.select(F.explode(paths.design_patterns(F.col("path"), F.col("content"))).alias("pattern"))
     return tags.groupBy("pattern").agg(F.count(F.lit(1)).alias("bodies"))
