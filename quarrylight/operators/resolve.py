@@ -225,11 +225,17 @@ def visibility(symbols: DataFrame) -> DataFrame:
         (python & kind.isin("function", "class") & F.col("parent").isNull(), "PUBLIC", by_kind("PUBLIC_CLASS", "PUBLIC_FUNCTION"), 0.65),
         ((kind == "method") & F.col("parent").isNotNull(), "INTERNAL", F.lit("PUBLIC_METHOD"), 0.60),
     ]
-    out = F.struct(F.lit("UNKNOWN").alias("v"), F.lit("UNKNOWN").alias("k"), F.lit(0.0).alias("c"), F.lit(len(rules) + 1).alias("n"))
-    for n, (hit, label, api, confidence) in reversed(list(enumerate(rules, 1))):
-        out = F.when(F.coalesce(hit, F.lit(False)), F.struct(F.lit(label).alias("v"), api.alias("k"), F.lit(confidence).alias("c"), F.lit(n).alias("n"))).otherwise(out)
-    rows = symbols.withColumn("_r", out)
-    rows = rows.withColumns({"visibility": F.col("_r.v"), "api_kind": F.col("_r.k"), "confidence": F.col("_r.c"), "rule": F.col("_r.n")}).drop("_r")
+    rule = F.coalesce(*[F.when(hit, F.lit(n)) for n, (hit, *_) in enumerate(rules, 1)], F.lit(len(rules) + 1))
+
+    def given(values: list[Column]) -> Column:
+        return F.element_at(F.array(*values), F.col("rule"))
+
+    rows = symbols.withColumn("rule", rule)
+    rows = rows.withColumns({
+        "visibility": given([F.lit(v) for _, v, _, _ in rules] + [F.lit("UNKNOWN")]),
+        "api_kind": given([k for _, _, k, _ in rules] + [F.lit("UNKNOWN")]),
+        "confidence": given([F.lit(c) for *_, c in rules] + [F.lit(0.0)]),
+    })
     return rows.withColumn("is_orphan", (F.col("visibility") == "PUBLIC") & (F.coalesce("fan_in", F.lit(0)) == 0) & kind.isin("function", "method", "class"))
 
 
