@@ -406,6 +406,29 @@ def induced(edges: DataFrame, keep: DataFrame) -> DataFrame:
     return edges.join(keep.select("g", F.col("node").alias("src")), ["g", "src"], "left_semi").join(keep.select("g", F.col("node").alias("dst")), ["g", "dst"], "left_semi")
 
 
+#: fixed values: kinds of nodes and of edges of the named projections; None takes all edges
+PROJECTIONS: dict[str, tuple[tuple[str, ...], tuple[str, ...] | None]] = {
+    "call": (("function", "method"), ("calls",)),
+    "import": (("file", "module", "package"), ("imports",)),
+    "inheritance": (("class", "interface", "struct", "enum"), ("extends", "implements", "overrides")),
+    "dependency": ((), ("imports", "calls", "uses", "extends", "implements")),
+    "module": (("module", "file"), None),
+    "namespace": (("namespace",), None),
+    "package": (("package",), None),
+    "symbol": (("class", "interface", "struct", "enum", "function", "method", "field", "variable", "parameter", "symbol"), None),
+    "repository": (("repository", "commit", "branch", "file", "module", "package"), None),
+}
+
+
+def project(edges: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+    """The edges (g, src, dst, kind) of a named projection: both ends among its kinds of nodes (g, node, kind), and of its kinds of edges."""
+    node_kinds, edge_kinds = PROJECTIONS[name]
+    out = edges.select("g", "src", "dst", "kind")
+    if edge_kinds:
+        out = out.where(F.col("kind").isin(*edge_kinds))
+    return induced(out, nodes.where(F.col("kind").isin(*node_kinds))) if node_kinds else out
+
+
 def ego(edges: DataFrame, starts: DataFrame, depth: int = 3) -> DataFrame:
     """(g, start, node, depth) around each start in both directions."""
     return reach(undirected(edges), starts, depth)

@@ -155,6 +155,14 @@ def coupling_findings(mutual: DataFrame) -> DataFrame:
     return _found(mutual, "dependency", "high", F.concat_ws(" <-> ", "a", "b"))
 
 
+def cyclic_pair_findings(edges: DataFrame, most: int = 30) -> DataFrame:
+    """Nodes that depend on each other, from either end, and graphs of more than ``most`` dependencies."""
+    e = edges.select("g", "src", "dst").where("src <> dst").distinct()
+    both = e.join(e.select("g", F.col("dst").alias("src"), F.col("src").alias("dst")), ["g", "src", "dst"], "left_semi")
+    many = edges.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    return _found(both, "dependency", "high", F.concat_ws(" -> ", "src", "dst")).unionByName(_found(many, "dependency", "medium", F.concat("n", F.lit(" dependencies"))))
+
+
 def dead_code_findings(dead: DataFrame) -> DataFrame:
     """Nodes no entry reaches."""
     return _found(dead, "dead_code", "low", F.col("node"))

@@ -239,10 +239,15 @@ def visibility(symbols: DataFrame) -> DataFrame:
     return rows.withColumn("is_orphan", (F.col("visibility") == "PUBLIC") & (F.coalesce("fan_in", F.lit(0)) == 0) & kind.isin("function", "method", "class"))
 
 
+#: fixed values: marks of deprecated and of experimental definitions
+DEPRECATED = r"(?i)@deprecated|#\s*deprecated|\.\.\s+deprecated::|DeprecationWarning|FutureWarning|deprecated::\s*\d|@obsolete"
+EXPERIMENTAL = r"(?i)@experimental|@beta|@alpha|#\s*experimental|experimental::|beta feature|alpha feature"
+
+
 def lifecycle(around: Column) -> Column:
-    """Deprecated, experimental or stable by the words around a definition."""
-    t = F.lower(F.coalesce(around, F.lit("")))
-    return F.when(t.rlike(r"\bdeprecated\b|@deprecated|warnings\.warn\([^)]*deprecat"), "deprecated").when(t.rlike(r"\bexperimental\b|\bbeta\b|\bunstable\b"), "experimental").otherwise("stable")
+    """Deprecated, experimental or stable by marks in the lines around a definition."""
+    t = F.coalesce(around, F.lit(""))
+    return F.when(t.rlike(DEPRECATED), "deprecated").when(t.rlike(EXPERIMENTAL), "experimental").otherwise("stable")
 
 
 def test_evidence(tests: DataFrame, targets: DataFrame) -> DataFrame:

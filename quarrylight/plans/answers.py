@@ -661,4 +661,128 @@ def t01_plan(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame(rows, "run string, stage string, build string")
 
 
+# ---------------------------------------------------------------- further views
+
+_KIND_OF = "split_part({}, ':', 1)"
+
+
+@query("p17_projections", f"with {_CAT}, n as (select repository_id || '@' || commit_sha as g, s as src, t as dst, kind, {_KIND_OF.format('s')} as a, {_KIND_OF.format('t')} as b from live) "
+    + " union all ".join(f"select '{name}' as projection, g, count(*) as edges from n where " + (f"kind in ({', '.join(repr(k) for k in ek)})" if ek else "true") + (f" and a in ({', '.join(repr(k) for k in nk)}) and b in ({', '.join(repr(k) for k in nk)})" if nk else "") + " group by g" for name, (nk, ek) in graph.PROJECTIONS.items()))
+def p17_projections(s: SparkSession, d: str) -> DataFrame:
+    """Edges of all nine named projections of each graph."""
+    from functools import reduce
+
+    from quarrylight.plans.graphs import kind_edges
+
+    e = materialize(kind_edges(s, d).select("g", "src", "dst", "kind").distinct(), "kinds")
+    n = graph.nodes(e).withColumn("kind", F.split("node", ":")[0])
+    parts = [graph.project(e, n, name).groupBy("g").agg(F.count(F.lit(1)).alias("edges")).withColumn("projection", F.lit(name)) for name in graph.PROJECTIONS]
+    return reduce(DataFrame.unionByName, parts).select("projection", "g", "edges")
+
+
+@query("a08_call_stats", f"with {E_SQL}, d as (select g, node, sum(i) as fi from (select g, src as node, 0 as i from e union all select g, dst, 1 from e) group by all) select g, count(*) as nodes, (select count(*) from e where e.g = d.g) as edges, count(*) filter (fi = 0) as entries, (select count(*) from e where e.g = d.g and src = dst) as recursive from d group by g")
+def a08_call_stats(s: SparkSession, d: str) -> DataFrame:
+    """Nodes, edges, entries and self-recursive nodes of each call graph."""
+    e = dependencies(s, d).select("g", F.col("src").alias("caller"), F.col("dst").alias("callee"), F.lit(1).alias("line"), F.lit("HIGH").alias("confidence"))
+    edges, nodes = calls.call_graph(e)
+    n = nodes.groupBy("g").agg(F.count(F.lit(1)).alias("nodes"), F.count_if("is_entry").alias("entries"), F.count_if("is_recursive").alias("recursive"))
+    return n.join(edges.groupBy("g").agg(F.count(F.lit(1)).alias("edges")), "g").select("g", "nodes", "edges", "entries", "recursive")
+
+
+@query("j29_cyclic_pairs", f"with {E_SQL} select a.g, 'high' as severity, a.src || ' -> ' || a.dst as subject from e a join e b on a.g = b.g and a.src = b.dst and a.dst = b.src where a.src <> a.dst union all select g, 'medium', count(*) || ' dependencies' from e group by g having count(*) > 30")
+def j29_cyclic_pairs(s: SparkSession, d: str) -> DataFrame:
+    """Nodes that depend on each other, and graphs of more than thirty dependencies."""
+    return knowledge.cyclic_pair_findings(dependencies(s, d)).select("g", "severity", "subject")
+
+
+_MARKED = "case o_orderkey % 5 when 0 then 'x # Deprecated y' when 1 then 'DeprecationWarning @beta' when 2 then '@Experimental' when 3 then 'an alpha feature' else 'plain beta words' end"
+
+
+@query("p06_lifecycle", f"select o_orderkey, case when regexp_matches(t, '{resolve.DEPRECATED}') then 'deprecated' when regexp_matches(t, '{resolve.EXPERIMENTAL}') then 'experimental' else 'stable' end as status from (select o_orderkey, {_MARKED} as t from orders)")
+def p06_lifecycle(s: SparkSession, d: str) -> DataFrame:
+    """The lifecycle of definitions by marks around them."""
+    return table(s, d, "orders").select("o_orderkey", resolve.lifecycle(F.expr(_MARKED)).alias("status"))
+
+
+@query("r23_concepts", "with c as (select o_custkey as concept, count(*) as files from orders group by 1), t as (select concept, least(100.0, round(files / 40.0 * 100, 1))::double as coverage from c), u as (select *, least(100, trunc(50 + 0.5 * coverage)::int) as importance from t) select concept, coverage, importance, case when coverage >= 50 then 4 when coverage >= 20 then 3 else 2 end as difficulty, case when importance >= 85 then 'essential' when importance >= 80 then 'important' when importance >= 75 then 'useful' else 'optional' end as label from u")
+def r23_concepts(s: SparkSession, d: str) -> DataFrame:
+    """Coverage, importance and difficulty of concepts."""
+    c = table(s, d, "orders").groupBy(F.col("o_custkey").alias("concept")).agg(F.count(F.lit(1)).alias("files"))
+    return c.select("concept", *[v.alias(k) for k, v in scoring.concept_scores(F.col("files"), F.lit(40)).items()])
+
+
+@query("w05_context_ranks", "select doc_id as id, greatest(0, least(1, (doc_id % 10) / 10.0 + case when contains(text, 'scanner') then 0.2 else 0 end + case when contains(text, 'token') then 0.2 else 0 end + case when contains(source, 'issue') then 0.15 else 0 end))::double as score from documents where text is not null")
+def w05_context_ranks(s: SparkSession, d: str) -> DataFrame:
+    """Context items by target symbols and files."""
+    docs = table(s, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("source").alias("path"), (F.col("doc_id") % 10 / 10.0).cast("double").alias("score"))
+    return search.context_rank(docs, ["scanner", "token"], ["issue"])
+
+
+@query("v29_issue_files", "with q as (select embedding::double[] as q from embeddings order by vec_id limit 1), n as (select label, greatest(0, round(1 - list_cosine_similarity(embedding::double[], q), 4))::double as distance from embeddings, q order by distance, vec_id limit 40) select 'l' || label as path, round(max(1 / (1 + distance)), 3) as score from n group by 1 order by score desc, path limit 10")
+def v29_issue_files(s: SparkSession, d: str) -> DataFrame:
+    """Files of the chunks nearest to an issue's vector, a top-k report."""
+    v = table(s, d, "embeddings").withColumn("path", F.concat(F.lit("l"), "label"))
+    return context.files_for_issue(v, list(v.orderBy("vec_id").first()["embedding"]))
+
+
+@query("v28_expand", f"with {_CAT}, a as (select m as id, 'definition' as kind, 1 as priority, 1.0 as score from called union all select target, 'references', 2, 0.9 from rel where kind = 'REFERENCES' and source = (select m from called) union all select target, 'calls', 3, 0.8 from rel where kind = 'CALLS' and source = (select m from called) union all select source, 'calls', 3, 0.8 from rel where kind = 'CALLS' and target = (select m from called) union all select target, 'imports', 4, 0.7 from rel where kind = 'IMPORTS' and source = (select m from called)) select id, kind, priority, score::double as score from (select *, row_number() over (partition by id order by priority, score desc, kind) as r from a) where r = 1")
+def v28_expand(s: SparkSession, d: str) -> DataFrame:
+    """The context of the most called symbol by the executors of a policy."""
+    f = catalogue(s, d)
+    return context.retrieve("explain", s.createDataFrame([(_most(f, "CALLS", "target"),)], "moniker string"), f)
+
+
+@query("v09_entities", "select distinct task_id, unnest(list_concat(list_concat(regexp_extract_all(t, '[A-Za-z0-9_./-]+\\.(?:py|js|jsx|ts|tsx|java|go|rs|md|json)\\b'), regexp_extract_all(t, '`([^`]+)`', 1)), list_concat(regexp_extract_all(t, '\\b([A-Za-z_][A-Za-z0-9_]*)\\(', 1), regexp_extract_all(t, '\\b(?:[A-Z][a-z0-9]+){2,}\\b|\\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\\b')))) as entity from (select task_id, change_description as t from impact_tasks)")
+def v09_entities(s: SparkSession, d: str) -> DataFrame:
+    """Symbols and files named by each task description."""
+    return table(s, d, "impact_tasks").select("task_id", F.explode(api.entities(F.col("change_description"))).alias("entity"))
+
+
+_WORDS_OF = f"list_filter(list_distinct(regexp_extract_all(lower(change_description), '[a-z_][a-z0-9_]*')), lambda w: len(w) >= 4 and not list_contains([{', '.join(repr(w) for w in text.STOP_WORDS)}], w))"
+
+
+@query("r03_seed_files", f"with q as (select task_id as id, unnest(list_transform(list_sort(list_transform({_WORDS_OF}, lambda w: {{'n': -len(w), 'w': w}}))[1:20], lambda x: x.w)) as w from impact_tasks), p as (select distinct path, unnest(list_filter(list_distinct(string_split_regex(lower(path), '[^a-z0-9]+')), lambda x: len(x) >= 4)) as w from (select distinct path from ria_file_unit where path is not null)), h as (select id, path, sum(len(w))::bigint as score from q join p using (w) group by all) select id, path, score from (select *, row_number() over (partition by id order by score desc, path) as r from h) where r <= 10")
+def r03_seed_files(s: SparkSession, d: str) -> DataFrame:
+    """Seed files of every task description, ten each, a top-k report."""
+    t = table(s, d, "impact_tasks").select(F.col("task_id").alias("id"), F.col("change_description").alias("text"))
+    return context.seed_files(t, table(s, d, "ria_file_unit").select("path").where("path is not null"))
+
+
+@query("a21_efforts", None)
+def a21_efforts(s: SparkSession, d: str) -> DataFrame:
+    """The hours of all recommendations of a repository, in words."""
+    from quarrylight.plans.code import r18_recommendations
+
+    out = r18_recommendations(s, d).groupBy("g").agg(F.count(F.lit(1)).alias("items"), F.round(F.sum("hours"), 2).alias("hours"))
+    return out.withColumn("label", text.hours_label(F.col("hours")))
+
+
+@query("t13_time_trigger", "with recursive e as (select user_id as key, ts, row_number() over (partition by user_id order by ts) as n from events), f as (select key, ts, n, ts as last, true as fired from e where n = 1 union all select e.key, e.ts, e.n, case when e.ts - f.last >= interval 3600 seconds then e.ts else f.last end, e.ts - f.last >= interval 3600 seconds from f join e on e.key = f.key and e.n = f.n + 1) select key, ts from f where fired")
+def t13_time_trigger(s: SparkSession, d: str) -> DataFrame:
+    """A keyed streaming state that fires an hour or more after it fired last."""
+    from quarrylight.plans.code import _stream
+
+    return _stream(s, d, monitor.POLICIES["time"], mode="append").select("key", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query("t13_policies", "select 'immediate' as policy, count(*) as fired from events union all select 'manual', 0")
+def t13_policies(s: SparkSession, d: str) -> DataFrame:
+    """How often the policies without state fire."""
+    e = table(s, d, "events").select(F.col("user_id").alias("key"), "ts")
+    count = lambda n: monitor.POLICIES[n](e).agg(F.count(F.lit(1)).alias("fired")).select(F.lit(n).alias("policy"), "fired")
+    return count("immediate").unionByName(count("manual"))
+
+
+@query("q04_cached", f"with {_CAT} select {_REL} from rel where kind = 'CALLS' and target = (select m from called)")
+def q04_cached(s: SparkSession, d: str) -> DataFrame:
+    """An answer read from the cache after it was asked once."""
+    from quarrylight.cache import ResultCache
+
+    cache, f = ResultCache(), catalogue(s, d)
+    top = _most(f, "CALLS", "target")
+    ask = lambda: api.find_callers(f, top, 1000).select("repository_id", "commit_sha", "source", "target", "kind")
+    cache.get(("r", "c", "FIND_CALLERS", top), ask)
+    return cache.get(("r", "c", "FIND_CALLERS", top), ask)
+
+
 QUERIES, ORACLES = _Q, _O

@@ -171,13 +171,6 @@ def q11_intents(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "impact_tasks").select("task_id", api.intent(F.col("change_description")).alias("intent"))
 
 
-@query("v09_entities")
-def v09_entities(s: SparkSession, d: str) -> DataFrame:
-    """Symbols and files named by each task description."""
-    t = table(s, d, "impact_tasks")
-    return t.select("task_id", F.explode(api.entities(F.col("change_description"))).alias("entity"))
-
-
 @query("j26_knowledge_graph")
 def j26_knowledge_graph(s: SparkSession, d: str) -> DataFrame:
     """Nodes and edges of the knowledge graph by kind."""
@@ -306,21 +299,6 @@ def p18_word_references(s: SparkSession, d: str) -> DataFrame:
     return context.references_symbol(b, f.where("fact = 'symbol'")).groupBy("g", "name").agg(F.count(F.lit(1)).alias("files"))
 
 
-@query("r03_seed_files")
-def r03_seed_files(s: SparkSession, d: str) -> DataFrame:
-    """Seed files of every task description, ten each."""
-    t = table(s, d, "impact_tasks").select(F.col("task_id").alias("id"), F.col("change_description").alias("text"))
-    return context.seed_files(t, table(s, d, "ria_file_unit").select("path").where("path is not null"))
-
-
-@query("v28_expand")
-def v28_expand(s: SparkSession, d: str) -> DataFrame:
-    """Context of the most called symbol."""
-    f = catalogue(s, d)
-    top = f.r.where("kind = 'CALLS'").groupBy(F.col("target").alias("moniker")).count().orderBy(F.desc("count"), "moniker").limit(1).select("moniker")
-    return context.retrieve("explain", top, f)
-
-
 @query("v01_hashed_vectors")
 def v01_hashed_vectors(s: SparkSession, d: str) -> DataFrame:
     """Vectors of all documents by the built-in backend."""

@@ -68,23 +68,52 @@ TRIGGERS = "key long, ts timestamp, reason string"
 
 
 def count_trigger(threshold: int = 5) -> Callable[[DataFrame], DataFrame]:
-    """A keyed state that fires each time a key has seen ``threshold`` events since it fired last."""
+    """A keyed state that fires each time a key has seen ``threshold`` events since it fired last.
+
+    Events count in time order within a micro-batch, and by arrival between micro-batches.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n = state.get[0] if state.exists else 0
         fired = []
-        for batch in batches:
-            for ts in batch["ts"].sort_values():
-                n += 1
-                if n >= threshold:
-                    fired.append((key[0], ts, f"count>={threshold}"))
-                    n = 0
+        # all rows of the key in this micro-batch, in order, however many Arrow batches bring them
+        for ts in pd.concat([b["ts"] for b in batches]).sort_values():
+            n += 1
+            if n >= threshold:
+                fired.append((key[0], ts, f"count>={threshold}"))
+                n = 0
         state.update((n,))
         yield pd.DataFrame(fired, columns=["key", "ts", "reason"])
 
     return lambda stream: stream.groupBy("key").applyInPandasWithState(step, TRIGGERS, "n long", "append", GroupStateTimeout.NoTimeout)
 
 
+def time_trigger(seconds: int = 3600) -> Callable[[DataFrame], DataFrame]:
+    """A keyed state that fires at an event that comes ``seconds`` or more after it fired last, and at a key's first."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        fired = []
+        for ts in pd.concat([b["ts"] for b in batches]).sort_values():
+            now = int(ts.value // 1000)
+            if last is None or now - last >= seconds * 1_000_000:
+                fired.append((key[0], ts, f"age>={seconds}"))
+                last = now
+        state.update((last,))
+        yield pd.DataFrame(fired, columns=["key", "ts", "reason"])
+
+    return lambda stream: stream.groupBy("key").applyInPandasWithState(step, TRIGGERS, "last long", "append", GroupStateTimeout.NoTimeout)
+
+
+#: Trigger policies by name; at once fires at every event, on request at none by itself.
+POLICIES: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "count": count_trigger(5),
+    "time": time_trigger(3600),
+    "immediate": lambda stream: stream.select("key", "ts", F.lit("immediate").alias("reason")),
+    "manual": lambda stream: stream.where("false").select("key", "ts", F.lit("manual").alias("reason")),
+}
+
+
 def count_trigger_batch(events: DataFrame, threshold: int = 5) -> DataFrame:
     """The same over a table: every ``threshold``-th event of a key in time order."""
     from pyspark.sql.window import Window
