@@ -1,33 +1,39 @@
 """Filling containers of fixed capacity with texts that belong together.
 
-Texts are dealt into shards of one language. In a shard an inverted index with
+Texts are dealt into shards of one language and, where they name one, of related
+topics. In a shard an inverted index with
 BM25 weights covers every text; the longest unused text is the seed of a
 container, its unused neighbours fill the window in order of score, and what
 room is left takes the longest unused text that fits. Only a text longer than
 the capacity is split, between tokens and where possible before a word.
 
-A shard is one task of bounded size however many rows a language or source has;
-the texts are shuffled once.
+A shard is one task of bounded size however many rows a language or topic has: a
+bucket of topics with more rows is dealt over as many shards as it needs. The
+texts are shuffled once.
 """
 
 from __future__ import annotations
 
 import base64
+import os
 import re
 from functools import cache
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylight.storage import broadcast_if_small, materialize
+
 #: Where the rank file of the public tokenizer lies; a parameter, as it is not part of this package.
 RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: fixed value: the pattern that splits text before the merges of the rank files
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Texts aimed at in a shard of all languages together, and the BM25 parameters.
-SHARD, K1, B = 2_000, 1.2, 0.75
+#: Texts aimed at in a shard, and shards in a bucket of topics of all languages together; the BM25 parameters.
+SHARD, SPREAD, K1, B = 2_000, 4, 1.2, 0.75
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -205,29 +211,37 @@ PACKED = "model_name string, container string, doc_id {id}, piece_no int, start
 def pack(documents: DataFrame, capacities: dict[str, int], rows: int, ranks: str = RANKS, id_type: str = "bigint") -> DataFrame:
     """The container of each text or piece, for each capacity.
 
-    documents: (doc_id, text, lang); rows: their number, which sets the shards;
-    capacities: tokens of a container by model name.
+    documents: (doc_id, text, lang) and, if there, topic, by which related texts
+    come into one shard; rows: their number, which sets the buckets; capacities:
+    tokens of a container by model name; ranks: the tokenizer's rank file, which
+    is sent to the executors.
 
     Result: (model_name, container, doc_id, piece_no from 0, start, end, tokens);
     start and end count characters. Null and empty texts need no container;
     repeated rows are packed as often as they stand there; an unknown or null
     language is one of its own. No documents or no capacities give no rows.
     """
-    shards = max(1, -(-rows // SHARD))
+    buckets = max(1, rows // (SPREAD * SHARD))
+    topic = F.col("topic") if "topic" in documents.columns else F.lit(None)
     dealt = documents.where("text is not null and text <> ''").select(
-        "doc_id", "text", F.lower(F.coalesce("lang", F.lit(""))).alias("lang"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard")
+        "doc_id", "text", F.lower(F.coalesce("lang", F.lit(""))).alias("lang"), F.pmod(F.xxhash64(topic), F.lit(buckets)).cast("int").alias("bucket")
     )
+    sizes = dealt.groupBy("lang", "bucket").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("shards"))
+    sizes = broadcast_if_small(materialize(sizes, "buckets"))
+    dealt = dealt.join(sizes, ["lang", "bucket"]).withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.col("shards"))).drop("shards")
+    documents.sparkSession.sparkContext.addFile(ranks)
+    ranks = os.path.basename(ranks)
     schema = PACKED.format(id=id_type)
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(key, part):
-        coder = tokenizer(ranks)
+        coder = tokenizer(SparkFiles.get(ranks))
         part = part.sort_values(["doc_id", "text"], kind="stable")
         texts, ids = part["text"].tolist(), part["doc_id"].values
         index = Index(texts)
         encoded = [coder.encode(t) for t in texts]
         out = []
-        mark = f"{key[0]}-{key[1]}-"
+        mark = f"{key[0]}-{key[1]}-{key[2]}-"
         for model, capacity in capacities.items():
             cut = [coder.pieces(t, tokens, capacity) for t, tokens in zip(texts, encoded, strict=True)]
             many = np.fromiter(map(len, cut), np.int64, len(cut))
@@ -238,4 +252,4 @@ def pack(documents: DataFrame, capacities: dict[str, int], rows: int, ranks: str
             out.append(pd.DataFrame({"model_name": model, "container": [mark + str(c) for c in where], "doc_id": ids[owner], "piece_no": number, "start": start, "end": end, "tokens": size}))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=names)
 
-    return dealt.groupBy("lang", "shard").applyInPandas(run, schema)
+    return dealt.groupBy("lang", "bucket", "shard").applyInPandas(run, schema)

@@ -115,7 +115,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
     """The container of each text or piece of a text, for each model's window."""
     models = small_table(table(spark, folder, "embedding_model").select("model_name", "window_tokens"))
-    documents = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    documents = table(spark, folder, "documents").select("doc_id", "text", "lang", F.col("repository_id").alias("topic"))
     return packing.pack(documents, dict(sorted(tuple(r) for r in models)), documents.count())
 
 
