@@ -126,26 +126,33 @@ class Index:
         pair, count = np.unique(np.repeat(np.arange(self.n), lengths) * size + ids, return_counts=True)
         doc, term = pair // size, pair % size
         ends = np.searchsorted(doc, np.arange(self.n + 1))
-        self.terms = [term[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
         tf = count.astype(np.float64)
         df = np.bincount(term, minlength=len(vocabulary))
+        joint = df > 1  # a word of one text leads to no other
+        self.terms = [x[joint[x]] for x in (term[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))]
+        self.known: dict[int, np.ndarray] = {}
         idf = np.maximum(0.0, np.log((self.n - df + 0.5) / (df + 0.5)))
         length = lengths.astype(np.float64)
         norm = K1 * (1 - B + B * length / max(1.0, length.mean() if self.n else 1.0))
         weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
-        keep = weight > 0
+        keep = (weight > 0) & joint[term]
         term, doc, weight = term[keep], doc[keep], weight[keep]
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order].astype(np.float32)
         self.start = np.searchsorted(term[order], np.arange(len(vocabulary) + 1))
 
     def scores(self, seed: int) -> np.ndarray:
-        """BM25 of every text for the words of text ``seed``."""
+        """BM25 of every text for the words of text ``seed`` that other texts have; made once for all capacities."""
+        if seed not in self.known:
+            self.known[seed] = self._scores(seed)
+        return self.known[seed]
+
+    def _scores(self, seed: int) -> np.ndarray:
         low, high = self.start[self.terms[seed]], self.start[self.terms[seed] + 1]
         size = high - low
         total = int(size.sum())
         at = np.arange(total) + np.repeat(low - (np.cumsum(size) - size), size)
-        return np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n)
+        return np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n).astype(np.float32)
 
 
 def fill(index: Index, owner: np.ndarray, size: np.ndarray, capacity: int) -> list[int]:
