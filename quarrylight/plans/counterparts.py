@@ -91,3 +91,9 @@ ORACLES = {
       select answer_id, path, first, coalesce(l, first) as last, coalesce(first >= 1 and first <= coalesce(l, first) and coalesce(l, first) <= lines, false) as valid from p left join k using (path)""",
     "v01_hashed_vectors": "select doc_id as id, 64 as dims from documents where text is not null",
 }
+ORACLES["a21_efforts"] = f"""with r as ({ORACLES['r18_recommendations']}), h as (select g, count(*) as items, round(sum(hours), 2) as hours from r group by 1)
+  select *, case when hours < 2 then 'under 2 hours' when hours < 8 then 'half a day' when hours < 24 then '1-3 days' when hours < 80 then '1-2 weeks' else 'over 2 weeks' end as label from h"""
+ORACLES["v19_novelty"] = f"""with t as (select task_id, change_description as a, lag(change_description) over (partition by repository order by task_id) as b from impact_tasks),
+  k as (select task_id, {_tokens('a')} as a, {_tokens('b')} as b from t where b is not null),
+  j as (select task_id, len(list_intersect(a, b)) as i, len(list_distinct(list_concat(a, b))) as u from k)
+  select task_id, case when u > 0 and i / u > 0.65 then -80 else 60 end as novelty from j"""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quarrylight.operators import context, resolve
 from quarrylight.sources import files as source_files
 from quarrylight.sources.parse import FACTS
-from quarrylight.storage import table
+from quarrylight.storage import materialize, table
 
 _Q: dict = {}
 _O: dict = {}
@@ -187,7 +187,7 @@ def s20_linked_entries(s: SparkSession, d: str) -> DataFrame:
         "case p_partkey % 4 when 0 then concat('a', p_partkey, '/package.json') when 1 then concat('a', p_partkey - 1, '/src/start.js') when 2 then concat('b', p_partkey, '/main.py') else concat('b', p_partkey, '/util.py') end as path",
         "case when p_partkey % 4 = 0 then '{\"main\": \"./src/start.js\"}' else '' end as content",
     )
-    return source_files.entry_points(f)
+    return source_files.entry_points(materialize(f, "files"))
 
 
 QUERIES, ORACLES = _Q, _O

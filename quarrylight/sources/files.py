@@ -117,7 +117,7 @@ def entry_points(files: DataFrame) -> DataFrame:
     named = manifest.where("main is not null").select(F.regexp_replace(F.concat_ws("/", F.expr("nullif(dir, '')"), F.regexp_replace("main", r"^\./", "")), "^/", "").alias("path"), F.lit("manifest").alias("reason"), F.lit(1).alias("priority"))
     named = named.join(files.select("path").distinct(), "path", "left_semi")
     name = F.lower(paths.file_name(F.col("path")))
-    code = files.where(~paths.is_test_path(F.col("path")) & ~paths.is_generated_path(F.col("path")))
+    code = files.where(~F.coalesce(paths.category(F.col("path")).isin("test", "generated"), F.lit(False)))
     by_name = F.when(name.isin("main.py", "__main__.py", "main.go", "main.rs", "main.tsx", "main.ts"), F.struct(F.lit("main"), F.lit(2))).when(name.isin("app.py", "application.py", "server.py", "api.py", "server.js", "app.js", "app.tsx"), F.struct(F.lit("server"), F.lit(3))).when(
         name.isin("manage.py", "wsgi.py", "asgi.py", "run.py", "cli.py"), F.struct(F.lit("runner"), F.lit(4))
     ).when(name.isin("index.js", "index.ts"), F.struct(F.lit("index"), F.lit(5)))

@@ -102,3 +102,21 @@ def test_evidence_weights_by_kind(spark):
     rows = spark.createDataFrame([("r", k, k) for k in kinds], "g string, file string, kind string")
     got = {r.file: (r.score, r.tier) for r in knowledge.impact_tiers(rows).collect()}
     assert [got[k][0] for k in kinds] == [1.0, 0.95, 0.85, 0.80, 0.75, 0.5, 0.25, 0.25] and got[kinds[2]][1] == "HIGH" and got[kinds[3]][1] == "MEDIUM" and got["other"][1] == "LOW"
+
+
+def test_hybrid_rank_by_its_formula(spark):
+    question = "does the frozen scanner change src/a.py"
+    rows = [("1", "src/a.py", "frozen scanner", 0.5), ("2", "tests/test_b.py", "frozen scanner of tests", 0.0), ("3", "lib/c.py", "nothing here", 0.1), ("4", "lib/d.py", "nothing here ", 0.0), ("5", "lib/e.py", "other", 0.3), ("6", "lib/e.py", "others", 0.2), ("7", "lib/e.py", "another", 0.4)]
+    words = {"frozen", "scanner", "change", "src", "py"}
+    want = {}
+    for i, path, content, distance in rows:
+        kind = 1e6 if path == "src/a.py" else 1e4 if path.startswith("tests") else 7e5
+        share = len(words & set(content.split())) / len(words)
+        total = kind + 1e4 / (1 + distance) + 5e3 * share + 1e3 / (len(path) + 1)
+        want[i] = total * (0.3 if i == "7" else 1.0)  # the third chunk of its file by distance: max(0.3, 1 - 0.3 * 2) is 0.4
+    want["7"] = want["7"] / 0.3 * max(0.3, 1 - 0.3 * 2)
+    del want["3"]  # the text of 4, which ranks higher
+    got = search.hybrid_rank(spark.createDataFrame(rows, "chunk_id string, path string, content string, distance double"), question, 10).collect()
+    order = sorted(want, key=lambda i: (-want[i], i))
+    assert [r.chunk_id for r in got] == order
+    assert all(abs(r.total - want[r.chunk_id]) < 1e-3 for r in got), [(r.chunk_id, r.total, want[r.chunk_id]) for r in got]
