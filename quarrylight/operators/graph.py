@@ -10,20 +10,28 @@ gives an empty result.
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrylight.storage import materialize, release, rows_of
+from quarrylight.storage import broadcast_if_small, materialize, release, rows_of
 
 FOREVER = 1_000_000
-#: A graph of at most so many edges may be walked inside one task, and only if
-#: edges times starts stay within the work; the bound is checked before, and
-#: larger graphs take the frontier loops.
-LOCAL_EDGES, LOCAL_WORK = 200_000, 20_000_000
+#: A graph of at most so many edges may be walked inside one task; the bound is
+#: checked before, and larger graphs take the frontier loops. The starts of a
+#: graph are dealt over blocks, a task's part each, so that edges times starts
+#: of one stay within the work, as far as MOST_BLOCKS copies of the edges allow.
+LOCAL_EDGES, LOCAL_WORK, MOST_BLOCKS = 200_000, 20_000_000, 64
+#: Values in a batch that leaves such a task.
+BATCH = 200_000
 
 
 def _fits_tasks(edges: DataFrame, starts: DataFrame | None = None) -> bool:
@@ -110,49 +118,102 @@ class Seen:
         return reduce(DataFrame.unionByName, [x for _, x in self.parts])
 
 
-def _reach_in_tasks(edges: DataFrame, starts: DataFrame, max_depth: int, paths: bool = False) -> DataFrame:
-    """Breadth first search of each small graph in one task; rows leave in batches."""
+def _reach_in_tasks(edges: DataFrame, starts: DataFrame, blocks: DataFrame, max_depth: int, paths: bool = False, toward: bool = False) -> DataFrame:
+    """Breadth first search of each small graph, a block of its starts in one task; rows leave in batches.
+
+    blocks: (g, blocks), into how many the starts of a graph are dealt.
+    """
     kind = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
     start_kind = dict(starts.dtypes)["start"]
-
-    def walk(key, e, s):
-        nexts, rows = _adjacency(e), []
-        for start in sorted(set(s["start"])):
-            way = {start: (0, None)}
-            level = [start]
+    names = ["g", "start", "node", "depth", *(["path"] if paths else [])]
+
+    def walk(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        src, dst = t.column("src").combine_chunks(), t.column("dst").combine_chunks()
+        is_edge = pc.is_valid(dst)
+        known = pc.unique(pa.concat_arrays([src, dst.filter(is_edge)]))
+        known = known.take(pc.sort_indices(known))  # numbers in the order of names
+        code = lambda x: pc.index_in(x, value_set=known).to_numpy(zero_copy_only=False).astype(np.int64)
+        pairs = np.unique(code(src.filter(is_edge)) * len(known) + code(dst.filter(is_edge)))
+        ends = np.searchsorted(pairs // len(known), np.arange(len(known) + 1))
+        below_of, ends = (pairs % len(known)).tolist(), ends.tolist()
+        nexts = [below_of[ends[i] : ends[i + 1]] for i in range(len(known))]
+        met = [-1] * len(known)  # by which start last
+
+        def batch(start: array, node: array, depth: array, size: array, path: array) -> pa.RecordBatch:
+            of = lambda x: known.take(pa.array(np.frombuffer(x, np.int64)))
+            out = [pa.array([key[0].as_py()] * len(start), t.schema.field("g").type), of(start), of(node), pa.array(np.frombuffer(depth, np.int64).astype(np.int32))]
+            if paths:
+                at = np.concatenate([[0], np.cumsum(np.frombuffer(size, np.int64))]).astype(np.int32)
+                out.append(pa.ListArray.from_arrays(pa.array(at), of(path)))
+            return pa.RecordBatch.from_arrays(out, names=names)
+
+        fresh = lambda: [array("q") for _ in range(5)]
+        rows = fresh()
+        for start in np.unique(code(src.filter(pc.invert(is_edge)))).tolist():
+            met[start] = start
+            full = {start: (start,)}
+            level, depth = [start], 0
             # a level in the order of its paths and neighbours in order: who is met first has the smallest path
-            while level and way[level[0]][0] < max_depth:
-                below = []
+            while level:
+                rows[0].extend([start] * len(level))
+                rows[1].extend(level)
+                rows[2].extend([depth] * len(level))
+                if paths:
+                    rows[3].extend([depth + 1] * len(level))
+                    for a in level:
+                        rows[4].extend(full[a])
+                if len(rows[0]) >= BATCH or len(rows[4]) >= BATCH:
+                    yield batch(*rows)
+                    rows = fresh()
+                if depth == max_depth:
+                    break
+                below, longer = [], {}
                 for a in level:
-                    for b in nexts.get(a, ()):
-                        if b not in way:
-                            way[b] = (way[a][0] + 1, a)
+                    for b in nexts[a]:
+                        if met[b] != start:
+                            met[b] = start
                             below.append(b)
-                level = below
-            if not paths:
-                rows += [(key[0], start, n, d) for n, (d, _) in way.items()]
-                continue
-            full = {}
-            for n, (d, before) in way.items():  # parents stand before their children
-                full[n] = [*full[before], n] if before is not None else [n]
-                rows.append((key[0], start, n, d, full[n]))
-        return pd.DataFrame(rows, columns=["g", "start", "node", "depth", *(["path"] if paths else [])])
-
-    schema = f"g {kind['g']}, start {start_kind}, node {kind['src']}, depth int" + (f", path array<{kind['src']}>" if paths else "")
-    fresh = lambda df, *names: df.select(*[F.col(c).alias(c) for c in names])  # noqa: E731  both sides may stem from one table
-    return fresh(starts, "g", "start").dropna().groupBy("g").cogroup(fresh(edges, "g", "src", "dst").groupBy("g")).applyInPandas(lambda key, s, e: walk(key, e, s), schema)
+                            if paths:
+                                longer[b] = (b, *full[a]) if toward else (*full[a], b)
+                if toward:
+                    below.sort()
+                level, depth, full = below, depth + 1, longer
+        if len(rows[0]):
+            yield batch(*rows)
+
+    schema = f"g {kind['g']}, start {kind['src']}, node {kind['src']}, depth int" + (f", path array<{kind['src']}>" if paths else "")
+    dealt = broadcast_if_small(blocks)
+    every = edges.select("g", "src", "dst").dropna().join(dealt, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "src", "dst")
+    named = starts.select("g", "start").dropna().join(dealt, "g", "left")
+    named = named.select("g", F.pmod(F.xxhash64("start"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"), F.col("start").cast(kind["src"]).alias("src"), F.lit(None).cast(kind["dst"]).alias("dst"))
+    found = every.unionByName(named).groupBy("g", "block").applyInArrow(walk, schema)
+    return found if start_kind == kind["src"] else found.withColumn("start", F.col("start").cast(start_kind))
+
+
+def _blocks(edges: DataFrame, starts: DataFrame) -> DataFrame | None:
+    """(g, blocks) for :func:`_reach_in_tasks`, or None if a graph is too large for a task."""
+    n = edges.groupBy("g").agg(F.count(F.lit(1)).alias("e"))
+    s = starts.groupBy("g").agg(F.count(F.lit(1)).alias("s"))
+    blocks = F.least(F.ceil(F.col("e") * F.coalesce("s", F.lit(0)) / LOCAL_WORK), F.lit(MOST_BLOCKS))
+    out = materialize(n.join(s, "g").select("g", "e", F.greatest(blocks, F.lit(1)).cast("int").alias("blocks")), "blocks")
+    if (out.agg(F.max("e")).first()[0] or 0) <= LOCAL_EDGES:
+        return out.select("g", "blocks")
+    release(out)
+    return None
 
 
-def reach(edges: DataFrame, starts: DataFrame, max_depth: int = FOREVER, paths: bool = False, local: bool = True) -> DataFrame:
+def reach(edges: DataFrame, starts: DataFrame, max_depth: int = FOREVER, paths: bool = False, local: bool = True, toward: bool = False) -> DataFrame:
     """What can be reached from each start.
 
     starts: (g, start). Result: (g, start, node, depth[, path]), the start itself
     at depth 0. A node is listed once for each start, at its least depth; with
-    ``paths``, under the smallest of the shortest paths by code points.
+    ``paths``, under the smallest of the shortest paths by code points. With
+    ``toward`` paths are listed, and compared, from the node to the start.
     """
     edges = edges.select("g", "src", "dst")
-    if local and _fits_tasks(edges, starts):
-        return _reach_in_tasks(edges, starts, max_depth, paths)
+    if local and (blocks := _blocks(edges, starts)) is not None:
+        return _reach_in_tasks(edges, starts, blocks, max_depth, paths, toward)
     front = starts.select("g", "start", F.col("start").alias("node"), F.lit(0).alias("depth"), *([F.array("start").alias("path")] if paths else [])).distinct()
     front = materialize(front, "front")
     seen = Seen(["g", "start", "node"])
@@ -162,7 +223,8 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int = FOREVER, paths:
         step = front.select("g", "start", F.col("node").alias("src"), "depth", *(["path"] if paths else [])).join(edges, ["g", "src"])
         if paths:
             step = step.groupBy("g", "start", F.col("dst").alias("node")).agg(F.min("depth").alias("depth"), F.min("path").alias("path"))
-            step = step.select("g", "start", "node", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("node")).alias("path"))
+            longer = F.concat(F.array("node"), "path") if toward else F.concat("path", F.array("node"))
+            step = step.select("g", "start", "node", (F.col("depth") + 1).alias("depth"), longer.alias("path"))
         else:
             step = step.select("g", "start", F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
         front = materialize(seen.new(step), "front")
@@ -179,7 +241,7 @@ def reachable_set(edges: DataFrame, starts: DataFrame) -> DataFrame:
     edges = edges.select("g", "src", "dst")
     named = starts.select("g", F.col("node").alias("start"))
     if _fits_tasks(edges, named):
-        return _reach_in_tasks(edges, named, FOREVER).select("g", "node").unionByName(starts.select("g", "node")).distinct()
+        return reach(edges, named).select("g", "node").unionByName(starts.select("g", "node")).distinct()
     front = materialize(starts.select("g", "node").distinct(), "front")
     seen = Seen(["g", "node"])
     while rows_of(front):
@@ -381,9 +443,9 @@ def module_blast(edges: DataFrame, starts: DataFrame, include_start_on_cycle: bo
     hit = reach(reverse(edges), starts)
     hit = hit.where("depth > 0").select("g", "start", "node")
     if include_start_on_cycle:
-        back = hit.select("g", "start", F.col("node").alias("dst")).join(reverse(edges).select("g", F.col("src").alias("dst"), F.col("dst").alias("start")), ["g", "start", "dst"], "left_semi")
-        loop = starts.select("g", F.col("start")).join(edges.where("src = dst").select("g", F.col("src").alias("start")), ["g", "start"], "left_semi")
-        hit = hit.unionByName(back.select("g", "start").unionByName(loop.select("g", "start")).distinct().withColumn("node", F.col("start")))
+        ring = strong_components(edges).select("g", F.col("node").alias("start")).unionByName(edges.where("src = dst").select("g", F.col("src").alias("start"))).distinct()
+        back = starts.select("g", "start").distinct().join(ring, ["g", "start"], "left_semi")
+        hit = hit.unionByName(back.withColumn("node", F.col("start")))
     name = F.lower("node")
     api, service, test = name.contains("api") | name.contains("router"), name.contains("service"), name.contains("test") | name.contains("spec")
     n = hit.groupBy("g", "start").agg(F.count(F.lit(1)).alias("total"), F.count_if(api).alias("apis"), F.count_if(service).alias("services"), F.count_if(test).alias("tests"))
