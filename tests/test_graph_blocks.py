@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from quarrylight import api
 from quarrylight.operators import graph
 
 EDGE = "g string, src string, dst string"
@@ -50,3 +51,11 @@ def test_module_blast_from_every_node(edges, levels):
             todo += new
         assert got[(g, start)] == len(hit)
     assert got[("g2", "a")] == 1 and got[("g2", "b")] == 1
+
+
+@pytest.mark.parametrize("kind", ["impact"])
+def test_questions_from_every_node(edges, levels, kind):
+    """q07_impact: as the frontier loop has it, but in tasks."""
+    got = rows(api.graph_question(kind, edges, starts=every(edges)))
+    assert not levels()
+    assert got == rows(graph.reach(edges if kind == "descendants" else graph.reverse(edges), every(edges), local=False).where("depth > 0"))
