@@ -59,3 +59,9 @@ def test_questions_from_every_node(edges, levels, kind):
     got = rows(api.graph_question(kind, edges, starts=every(edges)))
     assert not levels()
     assert got == rows(graph.reach(edges if kind == "descendants" else graph.reverse(edges), every(edges), local=False).where("depth > 0"))
+
+
+def test_search_from_every_node(edges, levels):
+    """g01_bfs: blocks of starts give the rows of the frontier loop."""
+    got = rows(graph.reach(edges, every(edges)))
+    assert not levels() and got == rows(graph.reach(edges, every(edges), local=False))
