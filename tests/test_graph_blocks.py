@@ -65,3 +65,11 @@ def test_search_from_every_node(edges, levels):
     """g01_bfs: blocks of starts give the rows of the frontier loop."""
     got = rows(graph.reach(edges, every(edges)))
     assert not levels() and got == rows(graph.reach(edges, every(edges), local=False))
+
+
+def test_counts_from_every_node(edges, levels):
+    """g04_closure: the counts of the frontier loop, within a bound of depth as well."""
+    count = lambda df: rows(df.groupBy("g", "start").count())
+    got, near = count(graph.reach(edges, every(edges))), count(graph.reach(edges, every(edges), 2))
+    assert not levels()
+    assert got == count(graph.reach(edges, every(edges), local=False)) and near == count(graph.reach(edges, every(edges), 2, local=False))
