@@ -204,7 +204,13 @@ def graph_question(kind: str, edges: DataFrame, **given) -> DataFrame:
     if kind in ("ancestors", "impact"):
         return graph.reach(graph.reverse(edges), starts).where("depth > 0")
     if kind in ("shortest_path", "path"):
-        return graph.reach(edges, starts, paths=True).join(given["targets"].withColumnRenamed("target", "node"), ["g", "node"])
+        targets = given["targets"].select("g", F.col("target").alias("node")).distinct()
+        if targets.count() >= starts.count():
+            return graph.reach(edges, starts, paths=True).join(targets, ["g", "node"])
+        # fewer ends than starts: search from the ends against the edges, listing paths from the start
+        found = graph.reach(graph.reverse(edges), targets.withColumnRenamed("node", "start"), paths=True, toward=True)
+        found = found.select("g", F.col("node").alias("start"), F.col("start").alias("node"), "depth", "path")
+        return found.join(starts.select("g", "start").distinct(), ["g", "start"], "left_semi")
     if kind == "neighbours":
         return graph.neighbours(edges, starts)
     if kind == "entries":

@@ -73,3 +73,14 @@ def test_counts_from_every_node(edges, levels):
     got, near = count(graph.reach(edges, every(edges))), count(graph.reach(edges, every(edges), 2))
     assert not levels()
     assert got == count(graph.reach(edges, every(edges), local=False)) and near == count(graph.reach(edges, every(edges), 2, local=False))
+
+
+def test_paths_to_one_end(spark, edges, levels):
+    """q07_paths: searched from the end, the rows of searches from every start."""
+    target = spark.createDataFrame([("g0", "n03"), ("g1", "n07"), ("g2", "b")], "g string, target string")
+    got = rows(api.graph_question("shortest_path", edges, starts=every(edges), targets=target))
+    assert not levels()
+    whole = graph.reach(edges, every(edges), paths=True, local=False)
+    assert got == rows(whole.join(target.withColumnRenamed("target", "node"), ["g", "node"]))
+    far = graph.reach(graph.reverse(edges), target.withColumnRenamed("target", "start"), paths=True, toward=True, local=False)
+    assert got == rows(far.selectExpr("g", "node as start", "start as node", "depth", "path"))
