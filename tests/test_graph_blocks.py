@@ -84,3 +84,9 @@ def test_paths_to_one_end(spark, edges, levels):
     assert got == rows(whole.join(target.withColumnRenamed("target", "node"), ["g", "node"]))
     far = graph.reach(graph.reverse(edges), target.withColumnRenamed("target", "start"), paths=True, toward=True, local=False)
     assert got == rows(far.selectExpr("g", "node as start", "start as node", "depth", "path"))
+
+
+def test_search_against_the_edges(edges, levels):
+    """g02_reverse_bfs: blocks of starts give the rows of the frontier loop."""
+    got = rows(graph.reach(graph.reverse(edges), every(edges)))
+    assert not levels() and got == rows(graph.reach(graph.reverse(edges), every(edges), local=False))
