@@ -90,3 +90,9 @@ def test_search_against_the_edges(edges, levels):
     """g02_reverse_bfs: blocks of starts give the rows of the frontier loop."""
     got = rows(graph.reach(graph.reverse(edges), every(edges)))
     assert not levels() and got == rows(graph.reach(graph.reverse(edges), every(edges), local=False))
+
+
+def test_shortest_paths_from_every_node(edges, levels):
+    """g05_shortest_paths: the smallest shortest paths of the frontier loop."""
+    got = rows(graph.reach(edges, every(edges), paths=True))
+    assert not levels() and got == rows(graph.reach(edges, every(edges), paths=True, local=False))
