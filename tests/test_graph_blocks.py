@@ -53,9 +53,9 @@ def test_module_blast_from_every_node(edges, levels):
     assert got[("g2", "a")] == 1 and got[("g2", "b")] == 1
 
 
-@pytest.mark.parametrize("kind", ["impact"])
+@pytest.mark.parametrize("kind", ["impact", "descendants"])
 def test_questions_from_every_node(edges, levels, kind):
-    """q07_impact: as the frontier loop has it, but in tasks."""
+    """q07_impact, q07_descendants: as the frontier loop has it, but in tasks."""
     got = rows(api.graph_question(kind, edges, starts=every(edges)))
     assert not levels()
     assert got == rows(graph.reach(edges if kind == "descendants" else graph.reverse(edges), every(edges), local=False).where("depth > 0"))
