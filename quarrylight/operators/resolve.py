@@ -80,13 +80,14 @@ def enclosing_scopes(points: DataFrame, scopes: DataFrame, block: int = 256) ->
     """For each point (g, path, at, id) the smallest scope (g, path, start, end, scope) that holds it.
 
     A range join made equal: scopes are listed for each block of lines they
-    touch, so a point meets only the scopes of its file and block.
+    touch, so a point meets only the scopes of its file and block. Neither side
+    is broadcast: lists of points are many times the bytes that they are read from.
     """
     cut = scopes.select("g", "path", "start", "end", "scope", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"end div {block}"))).alias("blk"))
     at = points.withColumn("blk", F.expr(f"at div {block}"))
-    hit = at.join(cut, ["g", "path", "blk"]).where("start <= at and at <= end")
+    hit = at.join(cut.hint("merge"), ["g", "path", "blk"]).where("start <= at and at <= end")
     best = hit.groupBy("g", "path", "id").agg(F.min_by("scope", F.struct(F.col("end") - F.col("start"), F.col("scope"))).alias("scope"))
-    return points.join(best, ["g", "path", "id"], "left")
+    return points.join(best.hint("merge"), ["g", "path", "id"], "left")
 
 
 #: fixed values: tiers of a call's resolution and their confidence
