@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylight.operators.graph import reach
 from quarrylight.storage import broadcast_if_small, materialize, release, rows_of
 
 #: A level that is smaller than the one before and reaches less than this share
@@ -183,6 +184,15 @@ class Hierarchy:
             "depth",
         ).select("repository_id", "commit_sha", F.col("node_id"), "descendant_id", (F.col("depth") - F.col("at")).alias("distance"))
 
+    def rootless_pairs(self) -> DataFrame:
+        """(repository_id, commit_sha, node_id, descendant_id, distance): the same for nodes on a cycle of parents or below one, at the least distance.
+
+        On a cycle every other node of it is below; no node is below itself.
+        """
+        up = reach(self.unreached.select("g", F.col("n").alias("src"), F.col("p").alias("dst")), self.unreached.select("g", F.col("n").alias("start")))
+        found = up.where("node <> start").select("g", F.col("node").alias("node_id"), F.col("start").alias("descendant_id"), F.col("depth").alias("distance"))
+        return self._named(found).select("repository_id", "commit_sha", "node_id", "descendant_id", "distance")
+
     def cyclic(self) -> DataFrame:
         """(repository_id, commit_sha, node_id, cycle_head): nodes on a cycle of parents or below one.
 

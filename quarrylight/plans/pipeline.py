@@ -34,11 +34,17 @@ def p1_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_descendants(spark: SparkSession, folder: str) -> DataFrame:
-    """For each node with children: number of descendants and greatest distance to one."""
+    """For each node with children and a root: number of descendants and greatest distance to one; :func:`p1_descendant_list` names them."""
     pairs = _whole(spark, folder).ancestor_pairs()
     return pairs.groupBy("repository_id", "commit_sha", "node_id").agg(F.count(F.lit(1)).alias("descendants"), F.max("distance").alias("height"))
 
 
+def p1_descendant_list(spark: SparkSession, folder: str) -> DataFrame:
+    """Every descendant of every node and its distance, of nodes without a root as well."""
+    whole = _whole(spark, folder)
+    return whole.ancestor_pairs().unionByName(whole.rootless_pairs())
+
+
 def p1_conflicts(spark: SparkSession, folder: str) -> DataFrame:
     """Nodes with several parents: each of these links, and whether the trees follow it."""
     return further_parents(counting_edges(spark, folder, "kind", "source_id", "target_id"))
@@ -101,6 +107,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_hierarchy": p1_hierarchy,
     "p1_descendants": p1_descendants,
+    "p1_descendant_list": p1_descendant_list,
     "p1_conflicts": p1_conflicts,
     "p6_found": p6_found,
     "p6_change_counts": p6_change_counts,
@@ -119,6 +126,11 @@ select u.repository_id, u.commit_sha, u.n as node_id, min(u.top) as cycle_head f
 up as (select repository_id, commit_sha, n, depth, path from tree),
 pairs as (select repository_id, commit_sha, unnest(string_split(path, chr(10))) as a, unnest(range(0, depth + 1)) as i, depth from up)
 select repository_id, commit_sha, a as node_id, count(*) as descendants, max(depth - i)::int as height from pairs where i < depth group by all""",
+    "p1_descendant_list": f"""with recursive {_LINKS},
+up as (select repository_id, commit_sha, p as node_id, n as descendant_id, 1 as distance, [n, p] as way from links where p <> n
+  union all select u.repository_id, u.commit_sha, l.p, u.descendant_id, u.distance + 1, list_append(u.way, l.p) from up u join links l
+    on l.repository_id = u.repository_id and l.commit_sha = u.commit_sha and l.n = u.node_id where not list_contains(u.way, l.p))
+select repository_id, commit_sha, node_id, descendant_id, distance from up""",
     "p1_conflicts": f"""with l as (select distinct repository_id, commit_sha,
       case when lower(trim(kind)) in ('contains','owns','declares') then target_id else source_id end as node_id,
       case when lower(trim(kind)) in ('contains','owns','declares') then source_id else target_id end as parent_id
