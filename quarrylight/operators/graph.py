@@ -10,7 +10,6 @@ gives an empty result.
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 from functools import reduce
 
@@ -30,6 +29,8 @@ FOREVER = 1_000_000
 #: graph are dealt over blocks, a task's part each, so that edges times starts
 #: of one stay within the work, as far as MOST_BLOCKS copies of the edges allow.
 LOCAL_EDGES, LOCAL_WORK, MOST_BLOCKS = 200_000, 20_000_000, 64
+#: Pairs of start and node that such a task looks after at a time.
+LOCAL_CELLS = 4_000_000
 #: Values in a batch that leaves such a task.
 BATCH = 200_000
 
@@ -118,14 +119,80 @@ class Seen:
         return reduce(DataFrame.unionByName, [x for _, x in self.parts])
 
 
-def _reach_in_tasks(edges: DataFrame, starts: DataFrame, blocks: DataFrame, max_depth: int, paths: bool = False, toward: bool = False) -> DataFrame:
+def _search(ends: np.ndarray, below: np.ndarray, starts: np.ndarray, max_depth: int, toward: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Breadth first from many starts at once: (start, node, depth, row of the predecessor) in batches.
+
+    below[ends[i] : ends[i + 1]] are the successors of node i, ascending. A batch
+    holds whole searches in the order of depths; a row's predecessor is in its batch.
+    """
+    n = len(ends) - 1
+    most = max(1, min(LOCAL_CELLS // max(n, 1), len(starts)))
+    met = np.empty(most * n, np.int32)  # negative: not met by this start
+    for first in range(0, len(starts), most):
+        own = starts[first : first + most]
+        met.fill(-1)
+        who, at = np.arange(len(own)), own
+        met[who * n + at] = 0
+        rows, depth, before = [(who, at, np.full(len(own), -1))], 0, 0
+        # a level in the order of its paths and neighbours in order: who is met first has the smallest path
+        while depth < max_depth:
+            low = ends[at]
+            sizes = ends[at + 1] - low
+            up_to = np.cumsum(sizes)
+            cuts = np.unique(np.searchsorted(up_to, np.arange(LOCAL_CELLS, up_to[-1], LOCAL_CELLS), "right"))
+            cells, parents = [], []
+            for i, j in zip([0, *cuts], [*cuts, len(at)], strict=True):
+                size = sizes[i:j]
+                parent = np.repeat(np.arange(i, j), size)
+                edge = np.arange(len(parent)) + np.repeat(low[i:j] - (up_to[i:j] - size) + (up_to[i - 1] if i else 0), size)
+                cell = who[parent] * n + below[edge]
+                new = met[cell] < 0
+                cell, parent = cell[new], parent[new]
+                place = np.arange(len(cell), dtype=np.int32)
+                met[cell[::-1]] = place[::-1]  # of equal cells the first is written last
+                new = met[cell] == place
+                cells.append(cell[new])
+                parents.append(parent[new])
+            cell, parent = np.concatenate(cells), np.concatenate(parents)
+            if not len(cell):
+                break
+            if toward:
+                order = np.argsort(cell)
+                cell, parent = cell[order], parent[order]
+            parent += before
+            before += len(at)
+            who, at = np.divmod(cell, n)
+            rows.append((who, at, parent))
+            depth += 1
+        depths = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x, _, _ in rows])
+        who, at, parent = (np.concatenate(x) for x in zip(*rows, strict=True))
+        yield own[who], at, depths, parent
+
+
+def _path_nodes(node: np.ndarray, depth: np.ndarray, parent: np.ndarray, rows: slice, toward: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The paths of some rows of a batch of :func:`_search`: offsets, and nodes of all paths behind one another."""
+    at, left = np.arange(rows.start, rows.stop), depth[rows].astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(left + 1)])
+    out = np.empty(ends[-1], np.int64)
+    place, step = (ends[:-1].copy(), 1) if toward else (ends[1:] - 1, -1)
+    while len(at):
+        out[place] = node[at]
+        more = left > 0
+        at, place, left = parent[at[more]], place[more] + step, left[more] - 1
+    return ends.astype(np.int32), out
+
+
+def _reach_in_tasks(edges: DataFrame, starts: DataFrame | None, blocks: DataFrame, max_depth: int, paths: bool = False, toward: bool = False, joined: str | None = None, counts: bool = False) -> DataFrame:
     """Breadth first search of each small graph, a block of its starts in one task; rows leave in batches.
 
-    blocks: (g, blocks), into how many the starts of a graph are dealt.
+    blocks: (g, blocks), into how many the starts of a graph are dealt; without
+    starts each block takes its share of the nodes. With ``counts`` only
+    (g, start, reached) leaves the task.
     """
     kind = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
-    start_kind = dict(starts.dtypes)["start"]
-    names = ["g", "start", "node", "depth", *(["path"] if paths else [])]
+    every_node = starts is None
+    start_kind = kind["src"] if every_node else dict(starts.dtypes)["start"]
+    names = ["g", "start", *(["reached"] if counts else ["node", "depth", *(["path"] if paths else [])])]
 
     def walk(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches))
@@ -136,84 +203,71 @@ def _reach_in_tasks(edges: DataFrame, starts: DataFrame, blocks: DataFrame, max_
         code = lambda x: pc.index_in(x, value_set=known).to_numpy(zero_copy_only=False).astype(np.int64)
         pairs = np.unique(code(src.filter(is_edge)) * len(known) + code(dst.filter(is_edge)))
         ends = np.searchsorted(pairs // len(known), np.arange(len(known) + 1))
-        below_of, ends = (pairs % len(known)).tolist(), ends.tolist()
-        nexts = [below_of[ends[i] : ends[i + 1]] for i in range(len(known))]
-        met = [-1] * len(known)  # by which start last
-
-        def batch(start: array, node: array, depth: array, size: array, path: array) -> pa.RecordBatch:
-            of = lambda x: known.take(pa.array(np.frombuffer(x, np.int64)))
-            out = [pa.array([key[0].as_py()] * len(start), t.schema.field("g").type), of(start), of(node), pa.array(np.frombuffer(depth, np.int64).astype(np.int32))]
-            if paths:
-                at = np.concatenate([[0], np.cumsum(np.frombuffer(size, np.int64))]).astype(np.int32)
-                out.append(pa.ListArray.from_arrays(pa.array(at), of(path)))
-            return pa.RecordBatch.from_arrays(out, names=names)
-
-        fresh = lambda: [array("q") for _ in range(5)]
-        rows = fresh()
-        for start in np.unique(code(src.filter(pc.invert(is_edge)))).tolist():
-            met[start] = start
-            full = {start: (start,)}
-            level, depth = [start], 0
-            # a level in the order of its paths and neighbours in order: who is met first has the smallest path
-            while level:
-                rows[0].extend([start] * len(level))
-                rows[1].extend(level)
-                rows[2].extend([depth] * len(level))
+        begin = np.arange(key[2].as_py(), len(known), key[3].as_py()) if every_node else np.unique(code(src.filter(pc.invert(is_edge))))
+        g, of = key[1].cast(t.schema.field("g").type), lambda x: known.take(pa.array(x))
+
+        def batch(count: int, *columns: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.repeat(g, count), *columns], names=names)
+
+        for start, node, depth, parent in _search(ends, pairs % len(known), begin, max_depth, toward):
+            if counts:
+                own, met = np.unique(start, return_counts=True)
+                yield batch(len(own), of(own), pa.array(met - 1))
+                continue
+            at = 0
+            while at < len(node):
+                rows = slice(at, min(at + BATCH, len(node)))
+                if paths:  # depths ascend: as many rows as their nodes allow
+                    fit = np.searchsorted(np.cumsum(depth[rows] + np.int64(1)), BATCH, "right")
+                    rows = slice(at, at + max(1, int(fit)))
+                columns = [of(start[rows]), of(node[rows]), pa.array(depth[rows])]
                 if paths:
-                    rows[3].extend([depth + 1] * len(level))
-                    for a in level:
-                        rows[4].extend(full[a])
-                if len(rows[0]) >= BATCH or len(rows[4]) >= BATCH:
-                    yield batch(*rows)
-                    rows = fresh()
-                if depth == max_depth:
-                    break
-                below, longer = [], {}
-                for a in level:
-                    for b in nexts[a]:
-                        if met[b] != start:
-                            met[b] = start
-                            below.append(b)
-                            if paths:
-                                longer[b] = (b, *full[a]) if toward else (*full[a], b)
-                if toward:
-                    below.sort()
-                level, depth, full = below, depth + 1, longer
-        if len(rows[0]):
-            yield batch(*rows)
-
-    schema = f"g {kind['g']}, start {kind['src']}, node {kind['src']}, depth int" + (f", path array<{kind['src']}>" if paths else "")
+                    offsets, path = _path_nodes(node, depth, parent, rows, toward)
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), of(path))
+                    columns.append(lists if joined is None else pc.binary_join(lists, joined))
+                yield batch(rows.stop - at, *columns)
+                at = rows.stop
+
+    schema = f"g {kind['g']}, start {kind['src']}, " + ("reached bigint" if counts else f"node {kind['src']}, depth int" + (", path " + (f"array<{kind['src']}>" if joined is None else "string") if paths else ""))
     dealt = broadcast_if_small(blocks)
-    every = edges.select("g", "src", "dst").dropna().join(dealt, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "src", "dst")
-    named = starts.select("g", "start").dropna().join(dealt, "g", "left")
-    named = named.select("g", F.pmod(F.xxhash64("start"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"), F.col("start").cast(kind["src"]).alias("src"), F.lit(None).cast(kind["dst"]).alias("dst"))
-    found = every.unionByName(named).groupBy("g", "block").applyInArrow(walk, schema)
+    sent = edges.select("g", "src", "dst").dropna().join(dealt, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "blocks", "src", "dst")
+    if not every_node:
+        named = starts.select("g", "start").dropna().join(dealt, "g", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        sent = sent.unionByName(named.select("g", F.pmod(F.xxhash64("start"), "blocks").cast("int").alias("block"), "blocks", F.col("start").cast(kind["src"]).alias("src"), F.lit(None).cast(kind["dst"]).alias("dst")))
+    # sorted by a number first: names of graphs begin alike
+    found = sent.groupBy(F.xxhash64("g", "block").alias("slot"), "g", "block", "blocks").applyInArrow(walk, schema)
     return found if start_kind == kind["src"] else found.withColumn("start", F.col("start").cast(start_kind))
 
 
-def _blocks(edges: DataFrame, starts: DataFrame) -> DataFrame | None:
-    """(g, blocks) for :func:`_reach_in_tasks`, or None if a graph is too large for a task."""
+def _blocks(edges: DataFrame, starts: DataFrame | None) -> DataFrame | None:
+    """(g, blocks) for :func:`_reach_in_tasks`, or None if a graph is too large for a task; without starts about one for each edge."""
     n = edges.groupBy("g").agg(F.count(F.lit(1)).alias("e"))
-    s = starts.groupBy("g").agg(F.count(F.lit(1)).alias("s"))
-    blocks = F.least(F.ceil(F.col("e") * F.coalesce("s", F.lit(0)) / LOCAL_WORK), F.lit(MOST_BLOCKS))
-    out = materialize(n.join(s, "g").select("g", "e", F.greatest(blocks, F.lit(1)).cast("int").alias("blocks")), "blocks")
+    sized = n.withColumn("s", F.col("e")) if starts is None else n.join(starts.groupBy("g").agg(F.count(F.lit(1)).alias("s")), "g")
+    blocks = F.least(F.ceil(F.col("e") * F.col("s") / LOCAL_WORK), F.lit(MOST_BLOCKS))
+    out = materialize(sized.select("g", "e", F.greatest(blocks, F.lit(1)).cast("int").alias("blocks")), "blocks")
     if (out.agg(F.max("e")).first()[0] or 0) <= LOCAL_EDGES:
         return out.select("g", "blocks")
     release(out)
     return None
 
 
-def reach(edges: DataFrame, starts: DataFrame, max_depth: int = FOREVER, paths: bool = False, local: bool = True, toward: bool = False) -> DataFrame:
+def _every_start(edges: DataFrame) -> DataFrame:
+    return nodes(edges.dropna()).withColumnRenamed("node", "start")
+
+
+def reach(edges: DataFrame, starts: DataFrame | None, max_depth: int = FOREVER, paths: bool = False, local: bool = True, toward: bool = False, joined: str | None = None) -> DataFrame:
     """What can be reached from each start.
 
-    starts: (g, start). Result: (g, start, node, depth[, path]), the start itself
-    at depth 0. A node is listed once for each start, at its least depth; with
+    starts: (g, start), or None for every node of every graph. Result:
+    (g, start, node, depth[, path]), the start itself at depth 0. A node is listed once for each start, at its least depth; with
     ``paths``, under the smallest of the shortest paths by code points. With
-    ``toward`` paths are listed, and compared, from the node to the start.
+    ``toward`` paths are listed, and compared, from the node to the start. With
+    ``joined`` paths are texts, nodes parted by it.
     """
     edges = edges.select("g", "src", "dst")
     if local and (blocks := _blocks(edges, starts)) is not None:
-        return _reach_in_tasks(edges, starts, blocks, max_depth, paths, toward)
+        return _reach_in_tasks(edges, starts, blocks, max_depth, paths, toward, joined)
+    starts = starts if starts is not None else _every_start(edges)
     front = starts.select("g", "start", F.col("start").alias("node"), F.lit(0).alias("depth"), *([F.array("start").alias("path")] if paths else [])).distinct()
     front = materialize(front, "front")
     seen = Seen(["g", "start", "node"])
@@ -233,7 +287,7 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int = FOREVER, paths:
             break
         seen.add(front)
         depth += 1
-    return seen.all()
+    return seen.all() if joined is None else seen.all().withColumn("path", F.array_join("path", joined))
 
 
 def reachable_set(edges: DataFrame, starts: DataFrame) -> DataFrame:

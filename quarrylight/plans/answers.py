@@ -192,7 +192,7 @@ def q07_descendants(s: SparkSession, d: str) -> DataFrame:
 def q07_impact(s: SparkSession, d: str) -> DataFrame:
     """What reaches each node."""
     e = dependencies(s, d)
-    return api.graph_question("impact", e, starts=every_node(e))
+    return api.graph_question("impact", e)
 
 
 @query("q07_paths", f"{_WALK}, p as (select g, start, start as node, 0 as depth, [start] as path from every union all select p.g, p.start, e.dst, p.depth + 1, min(list_append(p.path, e.dst)) from p join e on e.g = p.g and e.src = p.node join b on b.g = p.g and b.start = p.start and b.node = e.dst and b.depth = p.depth + 1 group by all) select p.g, p.start, p.node, p.depth, array_to_string(p.path, ' > ') as path from p join si on si.g = p.g and si.start = p.node")
