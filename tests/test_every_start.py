@@ -39,3 +39,9 @@ def test_paths_toward_one_end(spark, edges):
     ends = spark.createDataFrame([("g0", "n03"), ("g1", "n07"), ("g2", "u"), ("g2", "c0")], "g string, start string")
     got, levels = (rows(graph.reach(graph.reverse(edges), ends, paths=True, toward=True, local=x)) for x in (True, False))
     assert got == levels
+
+
+def test_levels_from_every_node(edges):
+    """g01_bfs, within a bound of depth as well."""
+    assert rows(graph.reach(edges, None)) == rows(by_levels(edges))
+    assert rows(graph.reach(edges, None, 2)) == rows(by_levels(edges, max_depth=2))
