@@ -290,6 +290,14 @@ def reach(edges: DataFrame, starts: DataFrame | None, max_depth: int = FOREVER,
     return seen.all() if joined is None else seen.all().withColumn("path", F.array_join("path", joined))
 
 
+def reach_counts(edges: DataFrame, local: bool = True) -> DataFrame:
+    """(g, start, reached), how many other nodes each node reaches; of small graphs only the counts leave the tasks."""
+    edges = edges.select("g", "src", "dst")
+    if local and (blocks := _blocks(edges, None)) is not None:
+        return _reach_in_tasks(edges, None, blocks, FOREVER, counts=True)
+    return reach(edges, None, local=False).groupBy("g", "start").agg((F.count(F.lit(1)) - 1).alias("reached"))
+
+
 def reachable_set(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(g, node) reached from any of the starts (g, node), which are included."""
     edges = edges.select("g", "src", "dst")

@@ -84,7 +84,7 @@ select g, start, count(*) - 1 as reached from w group by all""")
 def g04_closure(s: SparkSession, d: str) -> DataFrame:
     """How many nodes each node reaches over any number of steps."""
     e = dependencies(s, d)
-    return graph.reach(e, every_node(e)).groupBy("g", "start").agg((F.count(F.lit(1)) - 1).alias("reached"))
+    return graph.reach_counts(e)
 
 
 _PATHS = f"""{_WALK}, p as (select g, start, start as node, 0 as depth, [start] as path from every

@@ -45,3 +45,9 @@ def test_levels_from_every_node(edges):
     """g01_bfs, within a bound of depth as well."""
     assert rows(graph.reach(edges, None)) == rows(by_levels(edges))
     assert rows(graph.reach(edges, None, 2)) == rows(by_levels(edges, max_depth=2))
+
+
+def test_counts_leave_the_tasks(edges):
+    """g04_closure"""
+    want = by_levels(edges).groupBy("g", "start").count().selectExpr("g", "start", "count - 1 as reached")
+    assert rows(graph.reach_counts(edges)) == rows(want) == rows(graph.reach_counts(edges, local=False))
