@@ -51,3 +51,9 @@ def test_counts_leave_the_tasks(edges):
     """g04_closure"""
     want = by_levels(edges).groupBy("g", "start").count().selectExpr("g", "start", "count - 1 as reached")
     assert rows(graph.reach_counts(edges)) == rows(want) == rows(graph.reach_counts(edges, local=False))
+
+
+def test_search_against_the_edges_from_every_node(edges):
+    """g02_reverse_bfs, by the frontier loop as well."""
+    back = graph.reverse(edges)
+    assert rows(graph.reach(back, None)) == rows(graph.reach(back, None, local=False)) == rows(by_levels(back))
