@@ -96,7 +96,7 @@ _PATHS = f"""{_WALK}, p as (select g, start, start as node, 0 as depth, [start]
 def g05_shortest_paths(s: SparkSession, d: str) -> DataFrame:
     """The smallest shortest path from every node to all it reaches, without a bound."""
     e = dependencies(s, d)
-    return graph.reach(e, every_node(e), paths=True).withColumn("path", F.array_join("path", " > "))
+    return graph.reach(e, None, paths=True, joined=" > ")
 
 
 @query("g07_strong_components", f"""with recursive {E_SQL}, e2 as (select * from e where src <> dst), w as (select g, src as a, dst as b from e2 union select w.g, w.a, e2.dst from w join e2 on e2.g = w.g and e2.src = w.b)

@@ -57,3 +57,10 @@ def test_search_against_the_edges_from_every_node(edges):
     """g02_reverse_bfs, by the frontier loop as well."""
     back = graph.reverse(edges)
     assert rows(graph.reach(back, None)) == rows(graph.reach(back, None, local=False)) == rows(by_levels(back))
+
+
+def test_paths_leave_the_tasks_as_texts(edges):
+    """g05_shortest_paths, in batches of few path nodes as well."""
+    want = rows(by_levels(edges, paths=True).selectExpr("g", "start", "node", "depth", "array_join(path, ' > ') as path"))
+    assert rows(graph.reach(edges, None, paths=True, joined=" > ")) == want == rows(graph.reach(edges, None, paths=True, joined=" > ", local=False))
+    assert rows(graph.reach(edges, None, paths=True).selectExpr("g", "start", "node", "depth", "array_join(path, ' > ') as path")) == want
