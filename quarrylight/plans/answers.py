@@ -185,7 +185,7 @@ def v17_api_search(s: SparkSession, d: str) -> DataFrame:
 def q07_descendants(s: SparkSession, d: str) -> DataFrame:
     """What each node reaches."""
     e = dependencies(s, d)
-    return api.graph_question("descendants", e, starts=every_node(e))
+    return api.graph_question("descendants", e)
 
 
 @query("q07_impact", f"{_WALK} select g, node as start, start as node, depth from b where depth > 0")

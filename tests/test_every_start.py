@@ -64,3 +64,8 @@ def test_paths_leave_the_tasks_as_texts(edges):
     want = rows(by_levels(edges, paths=True).selectExpr("g", "start", "node", "depth", "array_join(path, ' > ') as path"))
     assert rows(graph.reach(edges, None, paths=True, joined=" > ")) == want == rows(graph.reach(edges, None, paths=True, joined=" > ", local=False))
     assert rows(graph.reach(edges, None, paths=True).selectExpr("g", "start", "node", "depth", "array_join(path, ' > ') as path")) == want
+
+
+def test_descendants_of_every_node(edges):
+    """q07_descendants"""
+    assert rows(api.graph_question("descendants", edges)) == rows(by_levels(edges).where("depth > 0"))
