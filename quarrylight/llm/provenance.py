@@ -59,6 +59,8 @@ _LEADING = re.compile(r"(?:\s|\ufeff|#[^\n]*|//[^\n]*|/\*[\s\S]*?\*/|<!--[\s\S]*
 _CAMEL, _SNAKE = re.compile(r"[a-z0-9][A-Z]"), re.compile(r"[A-Za-z0-9]_[A-Za-z0-9]")
 #: fixed values: words that a definition's line begins with
 _DEFINERS = frozenset("def class function function* interface enum record struct trait fn func public private protected static final abstract export async const let var synchronized declare default".split())
+#: such lines of a text that begins with a line feed; a definition is behind blanks and tabs only
+_DEFINER_LINE = re.compile(r"\n([ \t]*(?:" + "|".join(map(re.escape, sorted(_DEFINERS, reverse=True))) + r")(?![^ \n])[^\n]*)")
 _DEFINED = re.compile(
     r"[ \t]*(?:(?:export|default|declare|async|public|private|protected|static|final|abstract|synchronized)[ \t]+)*"
     r"(?:(?:def|class|function\*?|interface|enum|record|struct|trait|fn)[ \t]+([A-Za-z_$][\w$]*)|func[ \t]+(?:\([^)\n]*\)[ \t]*)?([A-Za-z_]\w*)"
@@ -97,11 +99,22 @@ def bound_names(code: str) -> set[str]:
     return set(_BOUND.findall(code)) - KEYWORDS
 
 
+class _Folds(dict):
+    """Code point -> the sign that stands for it in trigrams, made on first sight."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        self[point] = out = "0" if c.isdecimal() else c if c in "abcdefghijklmnopqrstuvwxyz_$" else "?"
+        return out
+
+
+_folds = _Folds()
+
+
 def _grams(name: str) -> list[str]:
     """Trigrams of a name between edge marks; letters without case, digits and other signs folded."""
-    s = re.sub(r"[^a-z_$0]", "?", re.sub(r"\d", "0", name.lower()))
-    s = f"^{s}|"
-    return [s[max(0, i - 2) : i + 1] for i in range(1, len(s))]
+    s = f"^{name.lower().translate(_folds)}|"
+    return [s[:2], *map("".join, zip(s, s[1:], s[2:]))]
 
 
 def train(judged: DataFrame) -> dict[str, dict[str, int]]:
@@ -144,13 +157,20 @@ class Model:
         self.context: Counter = Counter()
         for g, n in counts.items():
             self.context[g[:-1]] += n
-        self.cache: dict[str, tuple[float, int]] = {}
+        self.cache: dict[str, float] = {}
+        self.known: dict[str, float] = {}
         bits = sum(n * self._bits(g) for g, n in counts.items())
         self.usual = bits / max(1, sum(counts.values()))
 
     def _bits(self, gram: str) -> float:
         return -math.log2((self.counts.get(gram, 0) + 0.2) / (self.context[gram[:-1]] + 8.0))
 
+    def _known_bits(self, gram: str) -> float:
+        v = self.known.get(gram)
+        if v is None:
+            v = self.known[gram] = self._bits(gram)  # bounded by the folded alphabet
+        return v
+
     def excess(self, names: list[str]) -> float:
         """Bits a character above the language's usual, averaged over names."""
         total = 0.0
@@ -160,7 +180,7 @@ class Model:
                 if len(self.cache) > 200_000:
                     self.cache.clear()
                 g = _grams(n)
-                v = self.cache[n] = sum(map(self._bits, g)) / len(g)
+                v = self.cache[n] = sum(map(self._known_bits, g)) / len(g)
             total += v
         return total / len(names) - self.usual if names else 0.0
 
@@ -168,8 +188,8 @@ class Model:
 def templated(text: str) -> bool:
     """Whether the defined names have the low diversity of a template's output."""
     names = []
-    for line in text.split("\n"):
-        if line.lstrip().split(" ", 1)[0] in _DEFINERS and (m := _DEFINED.match(line)):
+    for line in _DEFINER_LINE.findall("\n" + text):
+        if m := _DEFINED.match(line):
             names.append(re.sub(r"\d+", "0", m.group(m.lastindex).lower()))
     if len(names) < DEFINED:
         return False
@@ -265,10 +285,23 @@ def upstream(text: str) -> str | None:
     return next(filter(None, m.groups())).lower().rstrip(".,") if m else None
 
 
+class _Styles(dict):
+    """Name -> (inner capitals, underscores) as 0 or 1, found on first sight; none for a name in capitals."""
+
+    def __missing__(self, name: str) -> tuple[int, int]:
+        self[name] = out = (0, 0) if name.isupper() else (int(bool(_CAMEL.search(name))), int(bool(_SNAKE.search(name))))
+        return out
+
+
+_styles = _Styles()
+
+
 def style(names: set[str]) -> tuple[int, int]:
     """(names with inner capitals, names with underscores) among names in small or mixed letters."""
-    mixed = [n for n in names if not n.isupper()]
-    return sum(bool(_CAMEL.search(n)) for n in mixed), sum(bool(_SNAKE.search(n)) for n in mixed)
+    if len(_styles) > 300_000:
+        _styles.clear()
+    own = [_styles[n] for n in names]
+    return sum(c for c, _ in own), sum(u for _, u in own)
 
 
 #: fixed values: languages whose files are no code
